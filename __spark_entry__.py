@@ -132,9 +132,8 @@ def _wilson(s: Study) -> DataFrame:
 
 
 def _diff(s: Study) -> DataFrame:
-    site = exprs.scalars(s.funnel)
-    d, lo, hi = diff_ci("view_item", "sessions", site["view_item"], site["sessions"])
-    return _countries(s).select("country", d.alias("diff_pp"), lo.alias("ci_lo"), hi.alias("ci_hi"))
+    d, lo, hi = diff_ci("view_item", "sessions", "_f.view_item", "_f.sessions")
+    return exprs.attach(_countries(s), s.funnel, "_f").select("country", d.alias("diff_pp"), lo.alias("ci_lo"), hi.alias("ci_hi"))
 
 
 def _flagged(s: Study) -> DataFrame:

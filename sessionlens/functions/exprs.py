@@ -45,6 +45,15 @@ def scalars(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*[F.col(c) for c in one_row.columns])).scalar()
 
 
+def attach(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """`df` with a one-row DataFrame as struct column `name`.
+
+    The subquery stands in the plan once however often its fields are used; naming `scalars` in several
+    expressions would copy its whole plan into each.
+    """
+    return df.withColumn(name, scalars(one_row))
+
+
 def literal_rows(spark, **columns) -> DataFrame:
     """A tiny fixed dimension, one row per position of the given equally long lists."""
     names = list(columns)
@@ -53,9 +62,14 @@ def literal_rows(spark, **columns) -> DataFrame:
 
 
 def param(key: str, kind: str = "int", params="event_params") -> Column:
-    """Value of the first event parameter named `key`, null when there is none."""
-    named = F.filter(_c(params), lambda p: p["key"] == F.lit(key))
-    return F.get(named, F.lit(0))["value"][f"{kind}_value"]
+    """Value of the first event parameter named `key`, null when there is none.
+
+    Position lookup over parallel arrays instead of a lambda: it stays in generated code, and the scan
+    reads only the key and the wanted value fields of the parameter array.
+    """
+    params = _c(params)
+    place = F.array_position(params["key"], F.lit(key)).cast("int")
+    return F.get(params["value"][f"{kind}_value"], place - 1)
 
 
 def page_path(url) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.exprs import (
-    PRICE_BANDS, category_label, literal_rows, parent_node, pct, price_band, raw_category, round_half_even, scalars,
+    PRICE_BANDS, attach, category_label, literal_rows, parent_node, pct, price_band, raw_category, round_half_even, scalars,
 )
 from sessionlens.functions.ranks import average_ranks, exact_quantiles
 from sessionlens.functions.stats import t_two_sided_p, wilson_ci
@@ -182,16 +182,18 @@ def flag_categories(
     rate: str = "atc_pct",
 ) -> DataFrame:
     """Interval, below / above / neutral against the average, carts at stake for pages below it."""
-    avg = scalars(average)["average_pct"]
+    avg = F.col("average_pct")
     lo, hi = wilson_ci(k, n)
     stake = round_half_even((avg - F.col(rate)) / 100 * F.col(n)).cast("long")
     return (
-        df.withColumns({"ci_lo": lo, "ci_hi": hi, "average_pct": avg})
+        attach(df, average, "_a")
+        .withColumns({"ci_lo": lo, "ci_hi": hi, "average_pct": F.col("_a.average_pct")})
         .withColumn(
             "status",
             F.when(F.col("ci_hi") < avg, "below").when(F.col("ci_lo") > avg, "above").otherwise("neutral"),
         )
         .withColumn("carts_at_stake", F.when(F.col("status") == "below", stake).otherwise(0))
+        .drop("_a")
     )
 
 
@@ -247,14 +249,18 @@ def category_summary(ranked: DataFrame, k: int = 3) -> DataFrame:
     """Counts per status, carts at stake in total and in the top k, prices of flagged and other pages."""
     is_ = lambda s: F.col("status") == s
     top = scalars(category_targets(ranked, k).agg(F.coalesce(F.sum("carts_at_stake"), F.lit(0)).alias("n")))["n"]
-    median = lambda keep: F.percentile(F.when(keep, F.col("median_price")), F.lit(0.5))
-    return ranked.agg(
+    prices = ranked.select(is_("below").alias("flagged"), "median_price")
+    medians = exact_quantiles(prices, ["flagged"], "median_price", 0.5, few_groups=True).agg(
+        F.max(F.when(F.col("flagged"), F.col("q_cont"))).alias("flagged_median_price"),
+        F.max(F.when(~F.col("flagged"), F.col("q_cont"))).alias("other_median_price"),
+    )
+    counts = ranked.agg(
         F.count("*").alias("categories"), F.count_if(is_("below")).alias("below"),
         F.count_if(is_("above")).alias("above"), F.count_if(is_("neutral")).alias("neutral"),
         F.coalesce(F.sum("carts_at_stake"), F.lit(0)).alias("total_at_stake"),
         F.min("atc_pct").alias("rate_min"), F.max("atc_pct").alias("rate_max"),
-        median(is_("below")).alias("flagged_median_price"), median(~is_("below")).alias("other_median_price"),
-    ).withColumn("top_at_stake", top)
+    )
+    return attach(counts, medians, "_m").select(*counts.columns, "_m.*", top.alias("top_at_stake"))
 
 
 def price_rank_corr(ranked: DataFrame, min_n: int = 5) -> DataFrame:
@@ -279,18 +285,16 @@ def price_band_test(bands: DataFrame) -> DataFrame:
     labels = [label for _, label in PRICE_BANDS]
     order = literal_rows(bands.sparkSession, band_order=list(range(1, len(labels) + 1)), price_band=labels)
     rate = pct("carting_sessions", "viewing_sessions")
-    test = scalars(chi_square(bands, "carting_sessions", "viewing_sessions"))
     rows = order.join(bands, "price_band").withColumn("atc_pct", rate)
-    ends = scalars(
-        rows.agg(
-            F.min(F.struct(-F.col("atc_pct"), "band_order", "price_band"))["price_band"].alias("best"),
-            F.min(F.struct("atc_pct", "band_order", "price_band"))["price_band"].alias("worst"),
-        )
+    ends = rows.agg(
+        F.min(F.struct(-F.col("atc_pct"), "band_order", "price_band"))["price_band"].alias("best"),
+        F.min(F.struct("atc_pct", "band_order", "price_band"))["price_band"].alias("worst"),
     )
     lo, hi = wilson_ci("carting_sessions", "viewing_sessions")
-    return rows.select(
+    test = chi_square(bands, "carting_sessions", "viewing_sessions")
+    return attach(attach(rows, ends, "_e"), test, "_t").select(
         F.col("band_order").cast("long").alias("band_order"), "price_band", "viewing_sessions", "carting_sessions",
         "atc_pct", lo.alias("ci_lo"), hi.alias("ci_hi"),
-        (F.col("price_band") == ends["best"]).alias("is_best"), (F.col("price_band") == ends["worst"]).alias("is_worst"),
-        *[test[c].alias(c) for c in ("chi2", "dof", "p", "cramers_v")],
+        (F.col("price_band") == F.col("_e.best")).alias("is_best"),
+        (F.col("price_band") == F.col("_e.worst")).alias("is_worst"), "_t.*",
     ).orderBy("band_order")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.functions.exprs import pct, ratio, round_half_even, scalars
+from sessionlens.functions.exprs import attach, pct, ratio, round_half_even, scalars
 from sessionlens.functions.stats import wilson_ci
 from sessionlens.model import COUNT_COLUMNS, NOT_SET, STEP_COUNTS, STEP_LABELS, STEPS
 from sessionlens.operators.inference import BORDERLINE_PP, DRIVER_PP, chi_square, spread_verdict
@@ -17,36 +17,39 @@ def channel_table(
     counts: DataFrame, min_share: float = 1.0, min_coverage: float = 0.5, low_n: int = LOW_N
 ) -> DataFrame:
     """Channels of the two-way funnel: basis by tag coverage, small ones pooled, shares and rates."""
-    total = scalars(
-        counts.agg(
-            F.sum("sessions").alias("n"),
-            F.sum(F.when(F.col("session_medium") == NOT_SET, F.col("sessions")).otherwise(0)).alias("untagged"),
-        )
+    total = counts.agg(
+        F.sum("sessions").alias("n"),
+        F.sum(F.when(F.col("session_medium") == NOT_SET, F.col("sessions")).otherwise(0)).alias("untagged"),
     )
-    covered = 1 - total["untagged"] / total["n"] >= min_coverage
+    covered = 1 - F.col("_t.untagged") / F.col("_t.n") >= min_coverage
     sums = [F.sum(c).alias(c) for c in _METRICS]
     by_channel = (
-        counts.withColumn("channel", F.when(covered, F.col("session_medium")).otherwise(F.col("first_touch_medium")))
-        .groupBy("channel")
+        attach(counts, total, "_t")
+        .withColumn("basis", F.when(covered, "session_medium").otherwise("first_touch_medium"))
+        .groupBy(
+            F.when(F.col("basis") == "session_medium", F.col("session_medium"))
+            .otherwise(F.col("first_touch_medium")).alias("channel"),
+            "basis", F.col("_t.n").alias("total"),
+        )
         .agg(*sums)
-        .withColumn("small", F.col("sessions") / total["n"] < F.lit(min_share / 100))
+        .withColumn("small", F.col("sessions") / F.col("total") < F.lit(min_share / 100))
     )
-    n_small = scalars(by_channel.agg(F.count_if("small").alias("n")))["n"]
+    n_small = F.col("_s.n")
     pooled = F.concat(F.lit("other ("), n_small.cast("string"), F.lit(" small channels)"))
     regrouped = (
-        by_channel.withColumn("channel", F.when(F.col("small") & (n_small > 1), pooled).otherwise(F.col("channel")))
-        .groupBy("channel")
+        attach(by_channel, by_channel.agg(F.count_if("small").alias("n")), "_s")
+        .groupBy(F.when(F.col("small") & (n_small > 1), pooled).otherwise(F.col("channel")).alias("channel"), "basis", "total")
         .agg(*sums)
     )
     return regrouped.select(
         "channel", "sessions", "view_item", "add_to_cart", "purchase", F.round("revenue", 2).alias("revenue"),
-        pct("sessions", total["n"]).alias("share"),
+        pct("sessions", "total").alias("share"),
         pct("view_item", "sessions").alias("view_pct"),
         pct("add_to_cart", "view_item").alias("cart_from_view"),
         pct("purchase", "sessions").alias("purch_pct"),
         ratio(F.round("revenue", 2), "sessions").alias("rev_per_session"),
         (F.col("purchase") < low_n).alias("low_n"),
-        F.when(covered, "session_medium").otherwise("first_touch_medium").alias("basis"),
+        "basis",
     ).orderBy(F.desc("sessions"), "channel")
 
 
@@ -71,23 +74,21 @@ def channel_verdict(
         ~F.col("low_n"),
         F.struct(-F.col("rev_per_session"), -F.col("sessions"), F.col("channel").alias("c"), "rev_per_session"),
     )
-    test = scalars(chi_square(named, "view_item", "sessions"))
     untagged = F.col("channel") == NOT_SET
-    ns = scalars(
-        channels.agg(
-            F.coalesce(F.max(F.when(untagged, F.col("share"))), F.lit(0.0)).alias("share"),
-            F.max(F.when(untagged, F.col("view_pct"))).alias("view_pct"),
-        )
+    ns = channels.agg(
+        F.coalesce(F.max(F.when(untagged, F.col("share"))), F.lit(0.0)).alias("notset_share"),
+        F.max(F.when(untagged, F.col("view_pct"))).alias("notset_view_pct"),
     )
     ends = named.agg(best.alias("b"), worst.alias("w"), F.min(paying).alias("r"))
+    ends = attach(attach(ends, chi_square(named, "view_item", "sessions"), "_t"), ns, "_n")
     spread = F.col("b.view_pct") - F.col("w.view_pct")
     return ends.select(
         F.col("b.c").alias("best_channel"), F.col("b.view_pct").alias("best_view_pct"),
         F.col("w.c").alias("worst_channel"), F.col("w.view_pct").alias("worst_view_pct"),
         spread.alias("spread_pp"), spread_verdict(spread, driver_pp, borderline_pp).alias("verdict"),
-        *[test[c].alias(c) for c in ("chi2", "dof", "p", "cramers_v")],
+        "_t.*",
         F.col("r.c").alias("top_rev_channel"), F.col("r.rev_per_session").alias("top_rev_per_session"),
-        ns["share"].alias("notset_share"), ns["view_pct"].alias("notset_view_pct"),
+        "_n.*",
     )
 
 
@@ -115,20 +116,17 @@ def device_table(counts: DataFrame) -> DataFrame:
     """Share and rates per device, Wilson interval of the purchase rate, gap and test over devices."""
     total = scalars(counts.agg(F.sum("sessions").alias("n")))["n"]
     rate = pct("purchase", "sessions")
-    gap = scalars(
-        counts.agg(
-            round_half_even(F.max(rate) - F.min(rate), 2).alias("gap_pp"),
-            F.min(F.struct(-rate, -F.col("sessions"), F.col("device_category").alias("d")))["d"].alias("top"),
-        )
+    gap = counts.agg(
+        round_half_even(F.max(rate) - F.min(rate), 2).alias("gap_pp"),
+        F.min(F.struct(-rate, -F.col("sessions"), F.col("device_category").alias("d")))["d"].alias("top"),
     )
-    test = scalars(chi_square(counts, "purchase", "sessions"))
     lo, hi = wilson_ci("purchase", "sessions")
-    return counts.select(
+    rows = attach(attach(counts, gap, "_g"), chi_square(counts, "purchase", "sessions"), "_t")
+    return rows.select(
         "device_category", "sessions", "purchase", pct("sessions", total).alias("share"),
         pct("view_item", "sessions").alias("view_pct"), pct("add_to_cart", "sessions").alias("cart_pct"),
         rate.alias("purch_pct"), lo.alias("ci_lo"), hi.alias("ci_hi"),
-        gap["gap_pp"].alias("gap_pp"), (F.col("device_category") == gap["top"]).alias("is_top"),
-        *[test[c].alias(c) for c in ("chi2", "dof", "p", "cramers_v")],
+        "_g.gap_pp", (F.col("device_category") == F.col("_g.top")).alias("is_top"), "_t.*",
     ).orderBy(F.desc("sessions"), "device_category")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sessionlens.functions.exprs import null_safe_key, pct, round_half_even, scalars, week_start
+from sessionlens.functions.exprs import attach, null_safe_key, pct, round_half_even, scalars, week_start
 from sessionlens.model import NOT_SET, EventWindow
 
 
@@ -100,15 +100,14 @@ def retention_by_month(matrix: DataFrame, window: EventWindow) -> DataFrame:
             F.count("*").alias("n"), F.avg("retention_pct").alias("mean"),
         )
     )
-    ends = scalars(
-        months.agg(
-            F.min(F.struct(-F.col("mean"), "month"))["month"].alias("peak"),
-            F.min(F.struct("mean", "month"))["month"].alias("trough"),
-        )
+    ends = months.agg(
+        F.min(F.struct(-F.col("mean"), "month"))["month"].alias("peak"),
+        F.min(F.struct("mean", "month"))["month"].alias("trough"),
     )
-    return months.select(
+    return attach(months, ends, "_e").select(
         "month", "lo", "hi", "n", F.round("mean", 6).alias("mean_pct"),
-        (F.col("month") == ends["peak"]).alias("is_peak"), (F.col("month") == ends["trough"]).alias("is_trough"),
+        (F.col("month") == F.col("_e.peak")).alias("is_peak"),
+        (F.col("month") == F.col("_e.trough")).alias("is_trough"),
     ).orderBy("month")
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sessionlens.functions.exprs import pct, round_half_even, scalars, visitor_type
+from sessionlens.functions.exprs import attach, pct, round_half_even, scalars, visitor_type
 from sessionlens.model import (
     COUNT_COLUMNS,
     NOT_SET,
     STEP_COUNTS,
     STEP_LABELS,
+    STEP_TS,
     STEPS,
     EventWindow,
     FunnelSpec,
 )
-from sessionlens.operators.sessions import funnel_sessions, sessions, with_step_flags
+from sessionlens.operators.sessions import sessions, with_step_flags
 from sessionlens.sources.events import PARTITION
 
 
@@ -51,7 +52,8 @@ def session_funnel(ss: DataFrame) -> DataFrame:
 def shoppers_funnel(base: DataFrame) -> DataFrame:
     """Funnel of sessions that saw a product; needs no session_start."""
     spec = FunnelSpec(entry="view_item")
-    return funnel(with_step_flags(base, spec), spec)
+    steps = base.select(*[STEP_TS[s] for s in spec.active])
+    return funnel(with_step_flags(steps, spec), spec)
 
 
 def device_funnel(ss: DataFrame) -> DataFrame:
@@ -144,13 +146,11 @@ def funnel_segments(ss: DataFrame, min_share: float = 1.0) -> DataFrame:
     flags = [F.grouping(c).alias(f"_{c}") for c in cuts]
     by_set = rows.groupingSets([[], *[[c] for c in cuts]], *cuts).agg(*step_counts(), *flags)
     of = lambda c: F.col(f"_{c}") == 0
-    total = scalars(ss.where("s1").agg(
+    visitor = visitor_type("session_number")
+    total = ss.where("s1").agg(
         F.count("*").alias("n"),
-        (
-            (F.count_if(visitor_type("session_number") == "new") > 0)
-            & (F.count_if(visitor_type("session_number") == "returning") > 0)
-        ).alias("both"),
-    ))
+        ((F.count_if(visitor == "new") > 0) & (F.count_if(visitor == "returning") > 0)).alias("both"),
+    )
     device = F.concat(F.upper(F.substring("device_category", 1, 1)), F.lower(F.expr("substring(device_category, 2)")))
     kind = (
         F.when(of("attributed"), 2)
@@ -169,12 +169,12 @@ def funnel_segments(ss: DataFrame, min_share: float = 1.0) -> DataFrame:
     )
     kept = (
         F.when(of("attributed"), F.col("attributed"))
-        .when(of("visitor"), F.col("visitor").isin("new", "returning") & total["both"])
+        .when(of("visitor"), F.col("visitor").isin("new", "returning") & F.col("_t.both"))
         .when(of("device_category"), F.col("device_category").isNotNull())
-        .when(of("channel"), F.col("sessions") * 100 >= F.lit(min_share) * total["n"])
+        .when(of("channel"), F.col("sessions") * 100 >= F.lit(min_share) * F.col("_t.n"))
         .otherwise(True)
     )
-    out = by_set.where(kept).select(kind.cast("long").alias("kind"), label.alias("segment"), *COUNT_COLUMNS)
+    out = attach(by_set, total, "_t").where(kept).select(kind.cast("long").alias("kind"), label.alias("segment"), *COUNT_COLUMNS)
     return out.orderBy("kind", F.desc("sessions"), "segment")
 
 
@@ -189,7 +189,3 @@ def period_funnels(ev: DataFrame, current: EventWindow, previous: EventWindow) -
     )
     counted = funnel(sessions(rows, extra_keys=("period",)), group_by={"period": F.col("period")})
     return counted.orderBy("period")
-
-
-def base_funnel(base: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFrame:
-    return funnel(funnel_sessions(base, spec), spec)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sessionlens.functions.exprs import pct, scalars
+from sessionlens.functions.exprs import attach, pct, scalars
 from sessionlens.functions.stats import chi2_sf, diff_ci
 from sessionlens.model import NOT_SET
 
@@ -28,13 +28,12 @@ def chi_square(df: DataFrame, successes: str, totals: str, by: tuple[str, ...] =
     """
     k, n = F.col(successes).cast("double"), F.col(totals).cast("double")
     pooled = df.groupBy(*by).agg(
-        F.sum(k).alias("_k"), F.sum(n).alias("_n"), F.count("*").alias("_groups"), F.min(n).alias("_least")
+        F.sum(k).alias("_k"), F.sum(n).alias("_n"), F.min(n).alias("_least")
     )
     if by:
         rows = df.join(pooled, list(by))
     else:
-        t = scalars(pooled)
-        rows = df.withColumns({c: t[c] for c in ("_k", "_n", "_groups", "_least")})
+        rows = attach(df, pooled, "_t").select(*df.columns, "_t.*")
     share = F.col("_k") / F.col("_n")
     testable = (F.col("_least") > 0) & (F.col("_k") > 0) & (F.col("_k") < F.col("_n"))
     cell = F.when(testable, F.pow(k - n * share, 2) / (n * share * (1 - share)))
@@ -76,12 +75,12 @@ def segment_spread(
     """One row: best and worst segment, spread in points, chi-square, verdict on practical size."""
     rows = segment_rows(df, segment, success, base, min_share, exclude)
     place = F.struct((-F.col("rate")).alias("r"), F.col(segment).alias("s"))
-    test = scalars(chi_square(rows, success, base))
     ends = rows.agg(F.count("*").alias("n_segments"), F.min(place).alias("b"), F.max(place).alias("w"))
     enough = F.col("n_segments") >= 2
     spread = F.col("w.r") - F.col("b.r")
     only = lambda c: F.when(enough, c)
-    return ends.select(
+    test = F.col("_t")
+    return attach(ends, chi_square(rows, success, base), "_t").select(
         "n_segments",
         only(F.col("b.s")).alias("best"), only(-F.col("b.r")).alias("best_rate"),
         only(F.col("w.s")).alias("worst"), only(-F.col("w.r")).alias("worst_rate"),
@@ -94,7 +93,7 @@ def segment_spread(
 
 def compare_periods(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Five funnel rates in two periods (one row of counts each): change, interval, real or not."""
-    prev = scalars(previous)
+    prev = F.col("_prev")
     rows = []
     for i, (label, num, den) in enumerate(FUNNEL_RATES):
         d, lo, hi = diff_ci(num, den, prev[num], prev[den])
@@ -106,7 +105,8 @@ def compare_periods(current: DataFrame, previous: DataFrame) -> DataFrame:
                 F.coalesce((lo > 0) | (hi < 0), F.lit(False)).alias("changed"),
             )
         )
-    return current.select(F.explode(F.array(*rows)).alias("r")).select("r.*").orderBy("rate_order")
+    both = attach(current, previous, "_prev")
+    return both.select(F.explode(F.array(*rows)).alias("r")).select("r.*").orderBy("rate_order")
 
 
 def mix_decomposition(

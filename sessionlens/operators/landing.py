@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions.exprs import (
-    is_shopping_page, null_safe_key, pct, round_half_even, scalars, week_start,
+    attach, is_shopping_page, null_safe_key, pct, round_half_even, week_start,
 )
 from sessionlens.model import NO_PAGE_VIEW
 
@@ -35,20 +35,21 @@ def weak_landing_pages(
     `totals` is the one-row funnel: shares are of every session, not of the listed pages. At most
     100 / min_share pages can qualify, which bounds everything derived from this table.
     """
-    t = scalars(totals.select("sessions", "view_item"))
     gap = F.col("gap_pp")
+    rows = attach(pages, totals.select("sessions", "view_item"), "_t")
     return (
-        pages.where((F.col("landing_page") != NO_PAGE_VIEW) & is_shopping_page("landing_page"))
+        rows.where((F.col("landing_page") != NO_PAGE_VIEW) & is_shopping_page("landing_page"))
         .withColumns(
             {
-                "share": F.coalesce(pct("sessions", t["sessions"]), F.lit(0.0)),
+                "share": F.coalesce(pct("sessions", "_t.sessions"), F.lit(0.0)),
                 "view_pct": pct("view_item", "sessions"),
-                "site_view_pct": pct(t["view_item"], t["sessions"]),
+                "site_view_pct": pct("_t.view_item", "_t.sessions"),
             }
         )
         .withColumn("gap_pp", F.col("site_view_pct") - F.col("view_pct"))
         .where((F.col("share") >= min_share) & (gap >= min_gap_pp))
         .withColumn("extra_views", round_half_even(gap / 100 * F.col("sessions")).cast("long"))
+        .drop("_t")
         .orderBy(F.desc("extra_views"), "landing_page")
     )
 
@@ -149,8 +150,7 @@ def landing_verdict(
     min_sessions: int = 100,
 ) -> DataFrame:
     """tracking / page / entry traffic / unclear per page, with the rates the rule uses."""
-    t = scalars(totals.select("sessions", "view_item"))
-    site = pct(t["view_item"], t["sessions"])
+    site = pct("_t.view_item", "_t.sessions")
     of = lambda entry, col: F.coalesce(F.sum(F.when(F.col("entry") == entry, F.col(col))), F.lit(0))
     rates = diag.groupBy("page_path").agg(
         of("landed", "sessions").alias("landed_sessions"), of("inside", "sessions").alias("inside_sessions"),
@@ -169,7 +169,7 @@ def landing_verdict(
         .otherwise("unclear")
     )
     return (
-        rates.join(gaps, "page_path", "left")
+        attach(rates.join(gaps, "page_path", "left"), totals.select("sessions", "view_item"), "_t")
         .withColumn("verdict", verdict)
         .select(
             "page_path", "landed_sessions", "inside_sessions", "landed_rate", "inside_rate", "landed_untagged_pct",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.exprs import (
-    SIZE_BUCKETS, carted_items, items_count, literal_rows, pct, ratio, scalars, size_bucket, visitor_type,
+    SIZE_BUCKETS, attach, carted_items, items_count, literal_rows, pct, ratio, size_bucket, visitor_type,
 )
 from sessionlens.functions.ranks import exact_quantiles
 from sessionlens.functions.stats import chi2_sf, wilson_ci
@@ -115,12 +115,12 @@ def untagged_overall(quality: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("cut") == "all", F.col("sessions"))).alias("all_sessions"),
         F.sum(F.when(F.col("cut") == "all", F.col("view_item"))).alias("all_views"),
     )
-    share = scalars(
+    share = (
         quality.where("cut = 'device'").groupBy("dev")
         .agg(_when_tagged(False, "sessions").alias("u"), F.sum("sessions").alias("n"))
         .agg(F.min(pct("u", "n")).alias("lo"), F.max(pct("u", "n")).alias("hi"))
     )
-    return overall.select(
+    return attach(overall, share, "_dev").select(
         "ua_sessions", pct("ua_sessions", "all_sessions").alias("ua_share"),
         pct("ua_view_item", "ua_sessions").alias("ua_view_pct"),
         pct("at_view_item", "at_sessions").alias("at_view_pct"),
@@ -128,7 +128,7 @@ def untagged_overall(quality: DataFrame) -> DataFrame:
         pct("at_with_page_view", "at_sessions").alias("at_pv_pct"),
         "ua_median_engaged_s", "at_median_engaged_s", "ua_median_events", "at_median_events",
         pct(F.col("ua_sessions") - F.col("ua_view_item"), F.col("all_sessions") - F.col("all_views")).alias("ua_lost_share"),
-        share["lo"].alias("ua_device_min_pct"), share["hi"].alias("ua_device_max_pct"),
+        F.col("_dev.lo").alias("ua_device_min_pct"), F.col("_dev.hi").alias("ua_device_max_pct"),
     )
 
 
@@ -166,16 +166,14 @@ def new_vs_returning(quality: DataFrame) -> DataFrame:
     n1, k1, n2, k2 = (F.col(c) for c in ("new_sessions", "new_purchase", "returning_sessions", "returning_purchase"))
     p = (k1 + k2) / (n1 + n2)
     chi2 = F.try_divide(F.pow(k1 - n1 * p, 2), n1 * p * (1 - p)) + F.try_divide(F.pow(k2 - n2 * p, 2), n2 * p * (1 - p))
-    test = scalars(
-        both.select(
-            F.try_divide(k2 / n2, k1 / n1).alias("cvr_ratio"), chi2.alias("chi2"),
-            chi2_sf(chi2, F.lit(1)).alias("p"), F.sqrt(chi2 / (n1 + n2)).alias("cramers_v"),
-        )
+    test = both.select(
+        F.try_divide(k2 / n2, k1 / n1).alias("cvr_ratio"), chi2.alias("chi2"),
+        F.sqrt(chi2 / (n1 + n2)).alias("cramers_v"),
     )
     lo, hi = wilson_ci("purchase", "sessions")
-    return vis.select(
+    return attach(vis, test, "_t").select(
         "visitor", "sessions", "purchase", *_rates(), lo.alias("ci_lo"), hi.alias("ci_hi"),
-        *[test[c].alias(c) for c in ("cvr_ratio", "chi2", "p", "cramers_v")],
+        "_t.cvr_ratio", "_t.chi2", chi2_sf("_t.chi2", F.lit(1)).alias("p"), "_t.cramers_v",
     ).orderBy("visitor")
 
 
@@ -217,9 +215,9 @@ def session_start_check(ev: DataFrame) -> DataFrame:
         F.count_if(repeated & (F.col("n_ts") < F.col("n"))).alias("repeats_with_identical_timestamp"),
         F.max(F.when(repeated, F.col("span_s"))).alias("max_seconds_between_repeats"),
     )
-    events = scalars(starts.agg(F.count("*").alias("n"), F.count_if(~has_ids).alias("bad")))
-    return summary.select(
-        events["n"].alias("session_start_events"), events["bad"].alias("events_without_ids"), *summary.columns
+    events = starts.agg(F.count("*").alias("n"), F.count_if(~has_ids).alias("bad"))
+    return attach(summary, events, "_e").select(
+        F.col("_e.n").alias("session_start_events"), F.col("_e.bad").alias("events_without_ids"), *summary.columns
     )
 
 
@@ -250,8 +248,8 @@ def event_quality_rates(eq: DataFrame, ttc: DataFrame) -> DataFrame:
             for c in ("events", "avg_items", "multi_item_events", "no_item_events", "one_carted_item_events")
         ]
     )
-    t = scalars(ttc)
-    return row.select(
+    t = F.col("_t")
+    return attach(row, ttc, "_t").select(
         F.col("vi_avg_items"), pct("vi_multi_item_events", "vi_events").alias("vi_multi_pct"),
         pct("vi_no_item_events", "vi_events").alias("vi_no_item_pct"),
         F.col("atc_avg_items"), pct("atc_one_carted_item_events", "atc_events").alias("atc_one_pct"),

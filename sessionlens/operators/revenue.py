@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.functions.exprs import ratio, scalars
+from sessionlens.functions.exprs import attach, ratio, scalars
 from sessionlens.functions.ranks import exact_quantiles
 from sessionlens.model import MICROS_PER_MINUTE, MICROS_PER_SECOND
 
@@ -68,13 +68,11 @@ def time_to_convert(ss: DataFrame) -> DataFrame:
     )
     long = ss.where("s5").select(F.explode(gaps).alias("g")).select("g.*")
     medians = exact_quantiles(long, ["gap"], "minutes", 0.5, few_groups=True)
-    m = scalars(
-        medians.agg(
-            *[F.round(F.max(F.when(F.col("gap") == n, F.col("q_cont"))), 1).alias(n) for n, _, _ in _GAPS]
-        )
+    by_gap = medians.agg(
+        *[F.round(F.max(F.when(F.col("gap") == n, F.col("q_cont"))), 1).alias(n) for n, _, _ in _GAPS]
     )
     v, c = F.col("ts_v"), F.col("ts_c")
-    return (
+    counts = (
         ss.where(c.isNotNull())
         .agg(
             F.count_if("s5").alias("converting_sessions"),
@@ -84,8 +82,8 @@ def time_to_convert(ss: DataFrame) -> DataFrame:
             F.count_if(v.isNull() | (c < v)).alias("cart_before_or_without_view"),
             F.count_if((c > v) & (c - v < MICROS_PER_SECOND)).alias("cart_within_1s_after_view"),
         )
-        .select(
-            *[m[n].alias(n) for n, _, _ in _GAPS], "converting_sessions", "converting_same_ts",
-            "carting_sessions", "cart_same_ts_as_view", "cart_before_or_without_view", "cart_within_1s_after_view",
-        )
+    )
+    return attach(counts, by_gap, "_m").select(
+        "_m.*", "converting_sessions", "converting_same_ts", "carting_sessions", "cart_same_ts_as_view",
+        "cart_before_or_without_view", "cart_within_1s_after_view",
     )

@@ -89,26 +89,29 @@ def session_base(ev: DataFrame, dims: dict[str, Column] | None = None) -> DataFr
 
     Conditional minima replace the per-event-name pivot and the joins to attributes and landing
     pages; partial aggregation runs before the shuffle, so one huge session costs one row per task.
+    Step flags are stored with it, so filters on them reach the scan of the written table.
     """
     dims = shop_dims() if dims is None else dims
-    return (
+    return with_step_flags(
         ev.where(F.col("session_id").isNotNull())
         .groupBy(*SESSION)
         .agg(*_step_aggs(FunnelSpec(), dims, True), *_attribute_aggs(), *_entry_aggs())
     )
 
 
-def funnel_sessions(base: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFrame:
-    """Rows of `session_base` with any funnel event from the entry on, with step flags.
+def _any_step(spec: FunnelSpec) -> Column:
+    return F.coalesce(*[F.col(STEP_TS[s]) for s in spec.active]).isNotNull()
 
-    Attributes belong to a known user: they are null where the user id is.
-    """
+
+def _of_known_users(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Attributes belong to a known user: they are null where the user id is."""
     known = F.col("user_pseudo_id").isNotNull()
-    masked = {c: F.when(known, F.col(c)).alias(c) for c in (*ATTRIBUTES, "landing_page", "session_date")}
-    return with_step_flags(
-        base.where(F.coalesce(*[F.col(STEP_TS[s]) for s in spec.active]).isNotNull()).withColumns(masked),
-        spec,
-    )
+    return df.withColumns({c: F.when(known, F.col(c)) for c in columns})
+
+
+def funnel_sessions(base: DataFrame) -> DataFrame:
+    """Rows of `session_base` with any funnel event."""
+    return _of_known_users(base.where(_any_step(FunnelSpec())), (*ATTRIBUTES, "landing_page", "session_date"))
 
 
 def sessions(
@@ -132,9 +135,7 @@ def sessions(
         rows = rows.where(F.col("event_name").isin(*spec.active))
     out = rows.groupBy(*keys).agg(*aggs)
     if attributes:
-        known = F.col("user_pseudo_id").isNotNull()
-        out = out.where(F.coalesce(*[F.col(STEP_TS[s]) for s in spec.active]).isNotNull())
-        out = out.withColumns({c: F.when(known, F.col(c)) for c in ATTRIBUTES})
+        out = _of_known_users(out.where(_any_step(spec)), ATTRIBUTES)
     return with_step_flags(out, spec)
 
 

@@ -6,12 +6,10 @@ Their natural sort keys are in EXPORT_ORDER for consumers that want one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens.functions.exprs import (
-    PRICE_BANDS, literal_rows, scalars, session_key, visitor_type,
+    PRICE_BANDS, attach, literal_rows, scalars, session_key, visitor_type,
 )
 from sessionlens.model import COUNT_COLUMNS, MICROS_PER_MINUTE, NO_PAGE_VIEW, NOT_SET
 from sessionlens.operators.catalog import listing_levels, session_listing_steps, session_price_band_steps
@@ -33,12 +31,13 @@ def fct_sessions(ss: DataFrame, min_share: float = 1.0) -> DataFrame:
     by_channel = rows.groupBy("channel").agg(F.count("*").alias("n"))
     total = scalars(by_channel.agg(F.sum("n").alias("n")))["n"]
     # At most 100 / min_share channels are large, so their names fit one array whatever the data.
-    large = by_channel.where(F.col("n") / total >= F.lit(min_share / 100))
-    names = scalars(large.agg(F.collect_set("channel").alias("large")))["large"]
-    n_small = scalars(by_channel.agg(F.count_if(F.col("n") / total < F.lit(min_share / 100)).alias("n")))["n"]
-    is_small = ~F.array_contains(names, F.col("channel"))
+    named = F.when(F.col("n") / total >= F.lit(min_share / 100), F.col("channel"))
+    sizes = by_channel.agg(
+        F.collect_set(named).alias("large"), (F.count("*") - F.count(named)).alias("n_small")
+    )
+    is_small, n_small = ~F.array_contains("_c.large", F.col("channel")), F.col("_c.n_small")
     pooled = F.concat(F.lit("other ("), n_small.cast("string"), F.lit(" small channels)"))
-    return rows.select(
+    return attach(rows, sizes, "_c").select(
         session_key("user_pseudo_id", "session_id").alias("session_key"), "user_pseudo_id", "session_date",
         "device_category", "channel",
         F.when(is_small & (n_small > 1), pooled).otherwise(F.col("channel")).alias("channel_group"),
@@ -107,19 +106,20 @@ def landing_diagnosis_table(verdicts: DataFrame) -> DataFrame:
 def stats_tests(fct: DataFrame) -> DataFrame:
     """Three chi-square tests over the exported sessions."""
     named = ~(F.col("channel_group").startswith("other (") | F.col("channel_group").startswith(NOT_SET))
-    tests = (
-        ("device × purchase", fct, "device_category", "purchased"),
-        ("channel × saw a product (named channels)", fct.where(named), "channel_group", "saw_product"),
-        ("new vs returning × purchase", fct.where(F.col("visitor_type").isin("new", "returning")), "visitor_type", "purchased"),
+    known = F.col("visitor_type").isin("new", "returning")
+    entry = lambda test, segment, flag, keep=F.lit(True): F.struct(
+        F.lit(test).alias("test"), F.col(segment).alias("segment"), F.col(flag).alias("flag"), keep.alias("keep")
+    )
+    # One scan: each session enters the table of every test it belongs to.
+    tables = F.array(
+        entry("device × purchase", "device_category", "purchased"),
+        entry("channel × saw a product (named channels)", "channel_group", "saw_product", named),
+        entry("new vs returning × purchase", "visitor_type", "purchased", known),
     )
-    counted = reduce(
-        DataFrame.unionByName,
-        [
-            rows.groupBy(F.col(group).alias("segment")).agg(F.count("*").alias("n"), F.count_if(flag).alias("k")).select(
-                F.lit(name).alias("test"), "segment", "n", "k"
-            )
-            for name, rows, group, flag in tests
-        ],
+    counted = (
+        fct.select(F.explode(tables).alias("t")).select("t.*").where("keep")
+        .groupBy("test", "segment")
+        .agg(F.count("*").alias("n"), F.count_if("flag").alias("k"))
     )
     return chi_square(counted, "k", "n", by=("test",)).orderBy("test")
 
@@ -132,7 +132,7 @@ def reconcile(fct: DataFrame, funnel: DataFrame, channels: DataFrame | None = No
         F.count("*").alias("sessions"),
         *[F.count_if(flag).alias(step) for flag, step in zip(flags, COUNT_COLUMNS[1:])],
     )
-    f = scalars(funnel)
+    f = F.col("_f")
     check = lambda name, got, want: F.struct(F.lit(name).alias("check"), got.cast("long").alias("actual"), want.cast("long").alias("expected"))
     rows = [check(c, F.col(c), f[c]) for c in COUNT_COLUMNS]
     if channels is not None:
@@ -142,7 +142,7 @@ def reconcile(fct: DataFrame, funnel: DataFrame, channels: DataFrame | None = No
         rows.append(check("quality sessions", scalars(q)["n"], f["sessions"]))
     if revenue is not None:
         rows.append(check("revenue purchases", scalars(revenue.select("purchasing_sessions"))["purchasing_sessions"], f["purchase"]))
-    return actual.select(F.explode(F.array(*rows)).alias("r")).select(
+    return attach(actual, funnel, "_f").select(F.explode(F.array(*rows)).alias("r")).select(
         "r.*", F.col("r.actual").eqNullSafe(F.col("r.expected")).alias("ok")
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens.model import EventWindow
 from sessionlens.operators import (
@@ -45,10 +45,14 @@ class Study:
         thresholds: Thresholds = Thresholds(),
         staged: bool = True,
         by_day: bool = True,
+        day_aligned: bool = False,
     ):
-        """`by_day` writes the flat events in day folders, worth it when a day fills a file."""
+        """`by_day` writes the flat events in day folders, worth it when a day fills a file.
+
+        `day_aligned` says `raw` is read from day folders, so writing them again needs no shuffle.
+        """
         self.raw, self.window, self.thresholds = raw, window, thresholds
-        self.staged, self.by_day = staged, by_day
+        self.staged, self.by_day, self.day_aligned = staged, by_day, day_aligned
 
     @property
     def spark(self) -> SparkSession:
@@ -61,7 +65,8 @@ class Study:
         flat = flatten_events(self.raw)
         if not self.staged:
             return flat, None
-        return stage(flat, "events", PARTITION if self.by_day else None)
+        day = PARTITION if self.by_day else None
+        return stage(flat, "events", day, sort_by="event_name", aligned=self.day_aligned)
 
     @property
     def events(self) -> DataFrame:
@@ -86,11 +91,20 @@ class Study:
     def user_sessions(self) -> DataFrame:
         return sessions.user_sessions(self.sessions)
 
+    @cached_property
+    def intent_sessions(self) -> DataFrame:
+        """User-ordered sessions with a cart or a purchase, all that paths and recovery look at."""
+        keep = F.col("ts_c").isNotNull() | F.col("ts_p").isNotNull()
+        table = self.user_sessions.where(keep).select(
+            "ts_c", "ts_k", "ts_p", "s5", "revenue", "rn", "prev_cart_ts", "prev_cart_rn", "next_purchase_ts", "window_end_ts"
+        )
+        return stage(table, "intent-sessions")[0] if self.staged else table
+
     # report tables ------------------------------------------------------------
 
     def _small(self, table: DataFrame, name: str) -> DataFrame:
         """An aggregated table several reports build on, written once."""
-        return stage(table.coalesce(1), name)[0] if self.staged else table
+        return stage(table, name)[0] if self.staged else table
 
     @cached_property
     def funnel(self) -> DataFrame:
@@ -191,11 +205,11 @@ class Study:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return paths.purchase_paths(self.user_sessions)
+        return paths.purchase_paths(self.intent_sessions)
 
     @cached_property
     def carts(self) -> DataFrame:
-        return paths.cart_recovery(self.user_sessions)
+        return paths.cart_recovery(self.intent_sessions)
 
     @cached_property
     def totals(self) -> DataFrame:

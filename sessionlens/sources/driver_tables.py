@@ -61,7 +61,7 @@ def _session_spans(events: DataFrame) -> DataFrame:
 
 
 def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
-    """Per user: device, country, first touch and the three items a list of theirs can show."""
+    """Per user: device, country, first touch and the items a list of theirs can show."""
     part = table(spark, sf_dir, "part")
     n_parts = scalars(part.agg(F.count("*").alias("n")))["n"]
     slots = users.select(
@@ -73,21 +73,27 @@ def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("Home/Apparel/"), "p_type", F.lit("/")))
         .otherwise(F.col("p_type"))
     )
+    listed = F.struct(
+        "slot",
+        F.col("p_name").alias("item_name"),
+        category.alias("item_category"),
+        F.col("p_size").cast("double").alias("price"),
+    )
+    # A list shows the shelf from its first slot on; carting an event carts the first item only.
+    as_items = lambda carted: F.transform(
+        "slots",
+        lambda it: F.struct(
+            it["item_name"].alias("item_name"),
+            it["item_category"].alias("item_category"),
+            it["price"].alias("price"),
+            F.when((it["slot"] == 0) & F.lit(carted), 1).cast("long").alias("quantity"),
+        ),
+    )
     items = (
         slots.join(part.select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
         .groupBy("user_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "slot",
-                        F.col("p_name").alias("item_name"),
-                        category.alias("item_category"),
-                        F.col("p_size").cast("double").alias("price"),
-                    )
-                )
-            ).alias("shelf")
-        )
+        .agg(F.array_sort(F.collect_list(listed)).alias("slots"))
+        .select("user_id", as_items(False).alias("shelf"), as_items(True).alias("carted_shelf"))
     )
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("long").alias("nation_id"), "n_name"
@@ -99,6 +105,7 @@ def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
         .select(
             "user_id",
             "shelf",
+            "carted_shelf",
             F.when(user % 10 == 0, "").otherwise(F.col("n_name")).alias("country"),
             _pick(DEVICES, user % 3).alias("device"),
             _pick(FIRST_TOUCH, user % 3).alias("first_touch"),
@@ -107,14 +114,14 @@ def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
 
 
 def _named_params(**values) -> Column:
-    """Parameter array holding only the parameters that have a value."""
+    """Parameter array, one entry per name; a parameter without a value holds nulls."""
     entries = []
     for key, (kind, value) in values.items():
         text = value if kind == "string" else F.lit(None).cast("string")
-        number = value if kind == "int" else F.lit(None).cast("long")
+        number = value if kind == "int" else F.lit(None)
         pair = F.struct(text.alias("string_value"), number.cast("long").alias("int_value"))
-        entries.append(F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), pair.alias("value"))))
-    return F.filter(F.array(*entries), lambda p: p.isNotNull())
+        entries.append(F.struct(F.lit(key).alias("key"), pair.alias("value")))
+    return F.array(*entries)
 
 
 def _canonical(df: DataFrame) -> DataFrame:
@@ -138,7 +145,9 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_pages = scalars(pages.agg(F.count("*").alias("n")))["n"]
 
     placed = (
-        events.join(spans.join(dims, "user_id"), ["user_id", "bucket"])
+        # Neither side has a size bound, so this is a shuffle join; a heavy (user, hour) is split by
+        # adaptive execution.
+        events.join(spans.join(dims, "user_id").hint("merge"), ["user_id", "bucket"])
         # Low page ids come up more often, so a few pages take most landings.
         .withColumn("page_id", F.floor(F.col("k") * F.col("k") * n_pages / 10000))
         .join(pages, "page_id", "left")
@@ -162,15 +171,8 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     is_own, name, k = F.col("row.own"), F.col("row.name"), F.col("k")
     carries_items = is_own & name.isin("view_item", "add_to_cart") & (k % 4 > 0)
-    shown = F.transform(
-        F.slice("shelf", F.lit(1), (k % 4).cast("int")),
-        lambda it: F.struct(
-            it["item_name"].alias("item_name"),
-            it["item_category"].alias("item_category"),
-            it["price"].alias("price"),
-            F.when((name == "add_to_cart") & (it["slot"] == 0), F.lit(1)).cast("long").alias("quantity"),
-        ),
-    )
+    shelf = F.when(name == "add_to_cart", F.col("carted_shelf")).otherwise(F.col("shelf"))
+    shown = F.slice(shelf, F.lit(1), (k % 4).cast("int"))
     ts = F.timestamp_micros(F.col("us"))
     day_number = F.floor(F.col("us") / (86_400 * MICROS_PER_SECOND)).cast("int")
     day = F.date_from_unix_date(day_number)

@@ -26,15 +26,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sessionlens/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
+def stage(
+    df: DataFrame, name: str, partition_by: str | None = None, sort_by: str | None = None, aligned: bool = False
+) -> tuple[DataFrame, str]:
     """Write `df` as parquet in the shared folder; returns it read back (lineage cut) and its path.
 
     With `partition_by`, a rebalance on that column lets adaptive execution split a heavy day over
-    several tasks and merge light ones, instead of every task writing a file per day.
+    several tasks and merge light ones, instead of every task writing a file per day; `aligned` says
+    tasks already hold few days each and saves that shuffle. `sort_by` orders the rows inside each file,
+    so that filters on it skip pages.
     """
     path = scratch_path(df.sparkSession, name)
-    if partition_by:
-        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
-    else:
-        df.write.parquet(path)
+    order = [c for c in (partition_by, sort_by) if c]
+    if partition_by and not aligned:
+        df = df.hint("rebalance", partition_by)
+    if order:
+        df = df.sortWithinPartitions(*order)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
