@@ -90,7 +90,26 @@ COUNTS = (
     "CAST(count(*) FILTER (WHERE s5) AS BIGINT) AS purchase"
 )
 REVENUE = "round(sum(CASE WHEN s5 THEN coalesce(revenue,0) ELSE 0 END),2) AS revenue"
-SIX = "sessions, view_item, add_to_cart, begin_checkout, purchase"
+# The four purchase paths.
+PATHS = (
+    "sequential, in one session",
+    "carted in the session, out of order",
+    "carted in an earlier session",
+    "no cart seen in the window",
+)
+CUTS = {"all": ("attributed",), "size": ("size_bucket", "attributed"), "device": ("dev", "attributed"), "visitor": ("visitor",)}
+
+
+def cut(name: str) -> str:
+    """One grouping of the quality table; the dimensions it does not use are null."""
+    used = CUTS[name]
+    kinds = {"size_bucket": "VARCHAR", "dev": "VARCHAR", "attributed": "BOOLEAN", "visitor": "VARCHAR"}
+    dims = ", ".join(d if d in used else f"CAST(NULL AS {t}) AS {d}" for d, t in kinds.items())
+    return f"""SELECT '{name}' AS cut, {dims}, {COUNTS}, {REVENUE}, {count_if('n_page_view>0')} AS with_page_view,
+        quantile_cont(CAST(engaged_s AS DOUBLE),0.5) AS median_engaged_s, CAST(quantile_disc(n_events,0.5) AS BIGINT) AS median_events
+        FROM @qf GROUP BY {', '.join(used)}"""
+
+
 RATES = ", ".join(
     [
         f"{pct('view_item','sessions')} AS view_pct",
@@ -180,11 +199,7 @@ CTE: dict[str, str] = {
         {count_if('ts_c>ts_v AND ts_c-ts_v<1000000')} AS cart_within_1s_after_view FROM @ss WHERE ts_c IS NOT NULL) k""",
     # quality
     "qf": f"SELECT *, n_medium>0 AS attributed, {VISITOR} AS visitor, {SIZE} AS size_bucket, device_category AS dev FROM @ss WHERE s1",
-    "sq": f"""SELECT CASE WHEN grouping(size_bucket)=0 THEN 'size' WHEN grouping(dev)=0 THEN 'device' WHEN grouping(visitor)=0 THEN 'visitor'
-        ELSE 'all' END AS cut, size_bucket, dev, attributed, visitor, {COUNTS}, {REVENUE},
-        CAST(count(*) FILTER (WHERE n_page_view>0) AS BIGINT) AS with_page_view,
-        quantile_cont(CAST(engaged_s AS DOUBLE),0.5) AS median_engaged_s, CAST(quantile_disc(n_events,0.5) AS BIGINT) AS median_events
-        FROM @qf GROUP BY GROUPING SETS ((attributed),(size_bucket,attributed),(dev,attributed),(visitor))""",
+    "sq": None,
     "vis": "SELECT * FROM @sq WHERE cut='visitor' AND visitor IN ('new','returning')",
     "nvr": None,
     "eq": f"""SELECT name AS event_name, CAST(count(*) AS BIGINT) AS events, round(avg(n_items),1) AS avg_items,
@@ -296,19 +311,19 @@ CTE: dict[str, str] = {
     "ya": "SELECT medium, sum(users) AS users, sum(wk1_users) AS successes FROM @cc WHERE year(cohort_week)=1995 GROUP BY 1",
     "yb": "SELECT medium, sum(users) AS users, sum(wk1_users) AS successes FROM @cc WHERE year(cohort_week)=1996 GROUP BY 1",
     # cross-session paths
-    "us0": """SELECT *, coalesce(ts_s,ts_v,ts_c,ts_k,ts_p) AS t0,
-        row_number() OVER (PARTITION BY user_pseudo_id ORDER BY coalesce(ts_s,ts_v,ts_c,ts_k,ts_p), session_id) AS rn FROM @ss""",
-    "us": """SELECT *, max(ts_c) OVER b AS prev_cart_ts, max(CASE WHEN ts_c IS NOT NULL THEN rn END) OVER b AS prev_cart_rn,
-        min(ts_p) OVER a AS next_purchase_ts, max(t0) OVER () AS window_end_ts FROM @us0
-        WINDOW b AS (PARTITION BY user_pseudo_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-               a AS (PARTITION BY user_pseudo_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""",
-    "pp": """SELECT CASE WHEN s5 THEN 'sequential, in one session' WHEN ts_c IS NOT NULL THEN 'carted in the session, out of order'
-        WHEN prev_cart_ts IS NOT NULL THEN 'carted in an earlier session' ELSE 'no cart seen in the window' END AS path,
-        coalesce(revenue,0.0) AS revenue, rn AS session_number_in_window,
-        CASE WHEN ts_c IS NULL AND prev_cart_ts IS NOT NULL THEN (ts_p-prev_cart_ts)/CAST(3.6e9 AS DOUBLE) END AS hours_since_cart,
-        CASE WHEN ts_c IS NULL AND prev_cart_ts IS NOT NULL THEN rn-prev_cart_rn END AS sessions_since_cart FROM @us WHERE ts_p IS NOT NULL""",
-    "cr": """SELECT ts_k IS NOT NULL AS reached_checkout, (next_purchase_ts-ts_c)/CAST(3.6e9 AS DOUBLE) AS hours_to_next_purchase,
-        (window_end_ts-ts_c)/CAST(3.6e9 AS DOUBLE) AS hours_left FROM @us WHERE ts_c IS NOT NULL AND ts_p IS NULL""",
+    "us0": """SELECT s.*, coalesce(ts_s,ts_v,ts_c,ts_k,ts_p) AS t0 FROM @ss s""",
+    "us1": """SELECT a.*, (SELECT count(*)+1 FROM @us0 b WHERE b.user_pseudo_id=a.user_pseudo_id AND (b.t0,b.session_id)<(a.t0,a.session_id)) AS rn FROM @us0 a""",
+    "us": """SELECT a.*, (SELECT max(b.ts_c) FROM @us1 b WHERE b.user_pseudo_id=a.user_pseudo_id AND b.rn<a.rn) AS prev_cart_ts,
+        (SELECT max(b.rn) FROM @us1 b WHERE b.user_pseudo_id=a.user_pseudo_id AND b.rn<a.rn AND b.ts_c IS NOT NULL) AS prev_cart_rn,
+        (SELECT min(b.ts_p) FROM @us1 b WHERE b.user_pseudo_id=a.user_pseudo_id AND b.rn>a.rn) AS next_purchase_ts,
+        (SELECT max(t0) FROM @us1) AS window_end_ts FROM @us1 a""",
+    # with a cart in the session there is nothing to look back at
+    "pp": f"""SELECT CASE WHEN s5 THEN '{PATHS[0]}' ELSE '{PATHS[1]}' END AS path, coalesce(revenue,0.0) AS revenue, rn AS session_number_in_window,
+        CAST(NULL AS DOUBLE) AS hours_since_cart, CAST(NULL AS BIGINT) AS sessions_since_cart FROM @us WHERE ts_p IS NOT NULL AND ts_c IS NOT NULL
+        UNION ALL SELECT CASE WHEN prev_cart_rn IS NULL THEN '{PATHS[3]}' ELSE '{PATHS[2]}' END, coalesce(revenue,0.0), rn,
+        (ts_p-prev_cart_ts)/CAST(3600000000 AS DOUBLE), rn-prev_cart_rn FROM @us WHERE ts_p IS NOT NULL AND ts_c IS NULL""",
+    "cr": """SELECT ts_k IS NOT NULL AS reached_checkout, (next_purchase_ts-ts_c)/CAST(3600000000 AS DOUBLE) AS hours_to_next_purchase,
+        (window_end_ts-ts_c)/CAST(3600000000 AS DOUBLE) AS hours_left FROM @us WHERE ts_c IS NOT NULL AND ts_p IS NULL""",
     # export
     "fct0": "SELECT *, coalesce(session_medium,'(not set)') AS channel FROM @ss WHERE s1",
     "fsm": "SELECT channel, count(*)/sum(count(*)) OVER ()<0.01 AS small FROM @fct0 GROUP BY 1",
@@ -325,6 +340,7 @@ CTE: dict[str, str] = {
         UNION ALL SELECT 'new vs returning × purchase', visitor_type, count(*), count(*) FILTER (WHERE purchased) FROM @fct
           WHERE visitor_type IN ('new','returning') GROUP BY 2""",
 }
+CTE["sq"] = " UNION ALL ".join(cut(name) for name in CUTS)
 _lo, _hi = wilson("purchase", "sessions")
 CTE["nvr"] = f"""SELECT visitor, sessions, purchase, {RATES}, {_lo} AS ci_lo, {_hi} AS ci_hi,
     (SELECT max(purchase/sessions) FILTER (WHERE visitor='returning')/nullif(max(purchase/sessions) FILTER (WHERE visitor='new'),0) FROM @vis) AS cvr_ratio,

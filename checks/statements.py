@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.oracles import (
-    CTE, COUNTS, RATE_COLUMNS, RATES, REVENUE, VISITOR, chi2_cte, count_if, newcombe, pct, ratio, statement, total,
+    CTE, COUNTS, PATHS, RATE_COLUMNS, RATES, REVENUE, VISITOR, chi2_cte, count_if, newcombe, pct, ratio, statement, total,
     wilson,
 )
 
@@ -17,10 +17,6 @@ _FUNNEL_RATES = (
     ("Cart → checkout", "begin_checkout", "add_to_cart"), ("Checkout → purchase", "purchase", "begin_checkout"),
     ("Session → purchase", "purchase", "sessions"),
 )
-_PATHS = (
-    "sequential, in one session", "carted in the session, out of order", "carted in an earlier session",
-    "no cart seen in the window",
-)
 _BANDS = ("under $10", "$10–20", "$20–30", "$30–50", "$50+")
 _BUCKETS = ("1–3", "4–5", "6–8", "9–15", "16+")
 
@@ -314,7 +310,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "purchase_paths": ("SELECT * FROM @pp", "revenue hours_since_cart"),
     "cart_recovery": ("SELECT * FROM @cr", "hours_to_next_purchase hours_left"),
     "purchase_path_summary": (f"""SELECT o.i AS path_order, o.b AS path, coalesce(n,0) AS sessions, coalesce(r,0) AS revenue, coalesce({pct('n','(SELECT count(*) FROM @pp)')},0) AS share_pct, h AS median_hours_since_cart, m AS median_sessions_since_cart
-        FROM {_values(_PATHS)} o(i,b) LEFT JOIN (SELECT path, CAST(count(*) AS BIGINT) AS n, round(sum(revenue),2) AS r, quantile_cont(hours_since_cart,0.5) AS h, quantile_cont(CAST(sessions_since_cart AS DOUBLE),0.5) AS m FROM @pp GROUP BY 1) z ON z.path=o.b""",
+        FROM {_values(PATHS)} o(i,b) LEFT JOIN (SELECT path, CAST(count(*) AS BIGINT) AS n, round(sum(revenue),2) AS r, quantile_cont(hours_since_cart,0.5) AS h, quantile_cont(CAST(sessions_since_cart AS DOUBLE),0.5) AS m FROM @pp GROUP BY 1) z ON z.path=o.b""",
         "revenue share_pct median_hours_since_cart median_sessions_since_cart"),
     "recovery_curve": (f"""SELECT days, eligible_carts, recovered, {pct('recovered','eligible_carts')} AS recovered_pct, {_w['rec'][0]} AS ci_lo, {_w['rec'][1]} AS ci_hi FROM (SELECT days, CAST(count(*) AS BIGINT) AS eligible_carts,
         {count_if('hours_to_next_purchase<=days*24')} AS recovered FROM @cr, (VALUES (CAST(1 AS BIGINT)),(7),(14)) v(days) WHERE hours_left>=days*24 GROUP BY 1)""", "recovered_pct ci_lo ci_hi"),

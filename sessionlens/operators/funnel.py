@@ -19,6 +19,17 @@ from sessionlens.operators.sessions import sessions, with_step_flags
 from sessionlens.sources.events import PARTITION
 
 
+# Labels of the funnel segments; device and channel names follow theirs.
+SEGMENTS = {
+    "all": "All sessions",
+    "tagged": "Excluding (not set) · biased up",
+    "new": "New sessions",
+    "returning": "Returning sessions",
+    "device": "Device · ",
+    "channel": "Channel · ",
+}
+
+
 def step_counts(spec: FunnelSpec = FunnelSpec()) -> list[Column]:
     """Count columns of a funnel over rows where s1 holds."""
     first, *rest = zip(spec.active, spec.flags)
@@ -161,11 +172,11 @@ def funnel_segments(ss: DataFrame, min_share: float = 1.0) -> DataFrame:
         .otherwise(1)
     )
     label = (
-        F.when(of("attributed"), "Excluding (not set) · biased up")
-        .when(of("visitor"), F.when(F.col("visitor") == "new", "New sessions").otherwise("Returning sessions"))
-        .when(of("device_category"), F.concat(F.lit("Device · "), device))
-        .when(of("channel"), F.concat(F.lit("Channel · "), F.col("channel")))
-        .otherwise("All sessions")
+        F.when(of("attributed"), SEGMENTS["tagged"])
+        .when(of("visitor"), F.when(F.col("visitor") == "new", SEGMENTS["new"]).otherwise(SEGMENTS["returning"]))
+        .when(of("device_category"), F.concat(F.lit(SEGMENTS["device"]), device))
+        .when(of("channel"), F.concat(F.lit(SEGMENTS["channel"]), F.col("channel")))
+        .otherwise(SEGMENTS["all"])
     )
     kept = (
         F.when(of("attributed"), F.col("attributed"))

@@ -11,6 +11,14 @@ from sessionlens.model import NO_PAGE_VIEW
 
 SESSION = ["user_pseudo_id", "session_id"]
 
+# The diagnosis thresholds.
+GAP_SHARE = 0.10  # a silent week's view rate is under this share of the page's working rate
+WORKING_QUANTILE = 0.75  # the working rate is this quantile of the weekly rates
+GAP_WEEKS = 3
+BUSY_SESSIONS = 100
+SCROLL_KEPT = 0.5  # behaviour is unchanged while scrolling keeps this share of its usual rate
+INSIDE_LIFT_PP = 10
+
 
 def landing_pages(ss: DataFrame, min_sessions: int = 100) -> DataFrame:
     """Funnel by the path of the session's first page_view; rare pages left out."""
@@ -97,7 +105,8 @@ def landing_diagnosis(
 
 
 def tracking_gaps(
-    diag: DataFrame, min_sessions: int = 100, gap_share: float = 0.10, quantile: float = 0.75, min_weeks: int = 3
+    diag: DataFrame, min_sessions: int = BUSY_SESSIONS, gap_share: float = GAP_SHARE,
+    quantile: float = WORKING_QUANTILE, min_weeks: int = GAP_WEEKS,
 ) -> DataFrame:
     """Per page, the longest run of silent busy weeks (first on ties), if long enough.
 
@@ -146,8 +155,8 @@ def tracking_gaps(
 
 
 def landing_verdict(
-    diag: DataFrame, gaps: DataFrame, totals: DataFrame, scroll_kept: float = 0.5, inside_lift_pp: float = 10,
-    min_sessions: int = 100,
+    diag: DataFrame, gaps: DataFrame, totals: DataFrame, scroll_kept: float = SCROLL_KEPT,
+    inside_lift_pp: float = INSIDE_LIFT_PP, min_sessions: int = BUSY_SESSIONS,
 ) -> DataFrame:
     """tracking / page / entry traffic / unclear per page, with the rates the rule uses."""
     site = pct("_t.view_item", "_t.sessions")
