@@ -214,7 +214,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "period_funnels": lambda s: funnel.period_funnels(s.events, SECOND_HALF, FIRST_HALF),
     "revenue_summary": lambda s: revenue.revenue_summary(s.sessions),
     "revenue_reconcile": lambda s: revenue.revenue_reconcile(s.revenue),
-    "session_quality": lambda s: quality.session_quality(s.sessions),
+    "session_quality": lambda s: quality.session_quality(s.sessions, s.materialise),
     "untagged_profile": lambda s: quality.untagged_profile(s.quality),
     "untagged_overall": lambda s: quality.untagged_overall(s.quality),
     "sensitivity_funnel": lambda s: quality.sensitivity_funnel(s.quality),

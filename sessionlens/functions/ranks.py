@@ -9,6 +9,8 @@ binning decides only which rows are looked at, counting decides the answer.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionlens.functions.exprs import null_safe_key
@@ -23,14 +25,26 @@ def value_bin(value) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, q: float = 0.5, few_groups: bool = False
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    q: float = 0.5,
+    few_groups: bool = False,
+    materialise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Per group of `by`: n, q_cont (interpolated) and q_disc (first value reaching q); nulls ignored.
 
-    `few_groups` states that the grouping columns come from a fixed set of labels, so the located bins
-    (at most three rows per group) are broadcast and the input is read twice instead of shuffled.
-    Otherwise distinct values are counted first and matched to their bins by a shuffle join.
+    The located bins are a few rows per group. How the values meet them depends on the groups:
+
+    - `few_groups`: the grouping columns come from a fixed set of labels, so the bins are broadcast.
+    - `materialise`: a function that writes a table and reads it back. The written bins have a known size, so
+      Spark broadcasts them while they are small and shuffles when they are not.
+    - neither: distinct values are counted first and matched to their bins by a shuffle join; right
+      where values repeat, as prices do.
+
+    In the first two, values outside the located bins are dropped before anything is shuffled.
     """
+    two_reads = few_groups or materialise is not None
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     group_cols = [null_safe_key(F.col(c).cast("string")).alias(k) for c, k in zip(by, keys)] or [
         F.lit("").alias("_g0")
@@ -38,7 +52,7 @@ def exact_quantiles(
     values = df.where(F.col(value).isNotNull()).select(
         *by, *group_cols, F.col(value).cast("double").alias("_v")
     ).withColumn("_bin", value_bin("_v"))
-    if not few_groups:
+    if not two_reads:
         values = values.groupBy(*by, *keys, "_bin", "_v").agg(F.count("*").alias("_c"))
         counted = values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n"))
     else:
@@ -63,11 +77,13 @@ def exact_quantiles(
         )
     )
     if few_groups:
-        candidates = values.join(F.broadcast(located), [*keys, "_bin"]).groupBy(
-            *by, *keys, "_bin", "_v", "_total", "_lo", "_hi", "_di", "_pos", "_before"
-        ).agg(F.count("*").alias("_c"))
-    else:
-        candidates = values.join(located, [*keys, "_bin"])
+        located = F.broadcast(located)
+    elif materialise is not None:
+        located = materialise(located)
+    candidates = values.join(located, [*keys, "_bin"])
+    if two_reads:
+        carried = [F.first(c).alias(c) for c in ("_total", "_lo", "_hi", "_di", "_pos", "_before")]
+        candidates = candidates.groupBy(*by, *keys, "_bin", "_v").agg(F.count("*").alias("_c"), *carried)
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     reached = candidates.withColumn("_cum", F.col("_before") + F.sum("_c").over(in_bin))
     at = lambda rank: F.min(F.when(F.col("_cum") >= F.col(rank), F.col("_v")))

@@ -135,7 +135,7 @@ def step_losses(counts: DataFrame) -> DataFrame:
 def channel_basis(ss: DataFrame, min_coverage: float = 0.5) -> Column:
     """'session_medium' when enough funnel sessions carry one, else 'first_touch_medium' (subquery)."""
     tagged = ss.where("s1").agg(
-        (F.count("session_medium") >= F.lit(min_coverage) * F.count("*")).alias("ok")
+        (F.count_if(F.col("session_medium") != NOT_SET) >= F.lit(min_coverage) * F.count("*")).alias("ok")
     )
     return F.when(scalars(tagged)["ok"], "session_medium").otherwise("first_touch_medium")
 

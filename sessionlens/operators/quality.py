@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.exprs import (
@@ -15,11 +17,14 @@ from sessionlens.operators.funnel import funnel_revenue, step_counts
 CUT_KEYS = ["cut", "size_bucket", "dev", "attributed", "visitor"]
 
 
-def session_quality(ss: DataFrame) -> DataFrame:
+def session_quality(
+    ss: DataFrame, materialise: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Funnel counts, revenue and exact medians by tagging, session length, device and visitor type.
 
     Counts come from grouping sets over one scan. The medians need every session once per cut, as two
-    (measure, value) rows; only located bins of them are ever ranked.
+    (measure, value) rows; only located bins of them are ever ranked. `materialise` as in
+    `exact_quantiles`: with it no more than those rows is shuffled.
     """
     f = ss.where("s1").select(
         "s1", "s2", "s3", "s4", "s5", "revenue", "n_page_view", "engaged_s", "n_events",
@@ -60,7 +65,7 @@ def session_quality(ss: DataFrame) -> DataFrame:
         .select(*CUT_KEYS, "m.measure", "m.value")
     )
     medians = (
-        exact_quantiles(long, [*CUT_KEYS, "measure"], "value", 0.5)
+        exact_quantiles(long, [*CUT_KEYS, "measure"], "value", 0.5, materialise=materialise)
         .groupBy(*CUT_KEYS)
         .agg(
             F.max(F.when(F.col("measure") == "engaged_s", F.col("q_cont"))).alias("median_engaged_s"),

@@ -106,6 +106,11 @@ class Study:
         """An aggregated table several reports build on, written once."""
         return stage(table, name)[0] if self.staged else table
 
+    @property
+    def materialise(self):
+        """Writes a table and reads it back with a known size; None in an unstaged study."""
+        return (lambda table: stage(table, "bins")[0]) if self.staged else None
+
     @cached_property
     def funnel(self) -> DataFrame:
         return self._small(funnel.session_funnel(self.sessions), "funnel")
@@ -116,7 +121,7 @@ class Study:
 
     @cached_property
     def quality(self) -> DataFrame:
-        return self._small(quality.session_quality(self.sessions), "quality")
+        return self._small(quality.session_quality(self.sessions, self.materialise), "quality")
 
     @cached_property
     def convert(self) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from sessionlens.functions.ranks import average_ranks, exact_quantiles, value_bin
+from sessionlens.sources.staging import stage
 
 
 def _expected(values, q):
@@ -9,16 +10,21 @@ def _expected(values, q):
     return float(np.quantile(v, q)), float(v[max(int(np.ceil(q * len(v))) - 1, 0)])
 
 
-@pytest.mark.parametrize("few", [True, False])
-@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.75, 1.0])
-def test_quantiles_are_exact(frame, few, q):
+MODES = {
+    "broadcast": {"few_groups": True}, "counted": {}, "written": {"materialise": lambda t: stage(t, "bins")[0]},
+}
+
+
+@pytest.mark.parametrize("mode", MODES)
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 1.0])
+def test_quantiles_are_exact(frame, mode, q):
     rng = np.random.default_rng(7)
     groups = {
         "wide": rng.lognormal(5, 3, 401), "tiny": rng.random(6) * 1e-6, "one": [4.25], "two": [1.0, 1e9],
         "zeros": [0.0] * 50 + [3.0, 7.0], "signed": rng.normal(0, 1000, 200), "close": 1e6 + rng.random(300),
     }
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("none", None), ("one", None)]
-    got = {r["g"]: r for r in exact_quantiles(frame("g string, v double", rows), ["g"], "v", q, few).collect()}
+    got = {r["g"]: r for r in exact_quantiles(frame("g string, v double", rows), ["g"], "v", q, **MODES[mode]).collect()}
     assert set(got) == set(groups)
     for g, xs in groups.items():
         cont, disc = _expected(xs, q)
