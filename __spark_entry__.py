@@ -240,10 +240,10 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "landing_verdict": lambda s: landing.landing_verdict(
         s.diagnosis, s.gaps, s.funnel, min_sessions=THRESHOLDS.inside_sessions
     ),
-    "listing_pages": lambda s: catalog.listing_pages(s.events),
+    "listing_pages": lambda s: catalog.listing_pages(s.events, s.cells),
     "listing_coverage": lambda s: catalog.listing_coverage(s.listing, THRESHOLDS.category_views),
-    "category_overlap": lambda s: catalog.category_overlap(s.events),
-    "overlap_summary": lambda s: catalog.overlap_summary(catalog.category_overlap(s.events)),
+    "category_overlap": lambda s: catalog.category_overlap(s.cells),
+    "overlap_summary": lambda s: catalog.overlap_summary(catalog.category_overlap(s.cells)),
     "price_bands": lambda s: catalog.price_bands(s.events),
     "listing_levels": lambda s: catalog.listing_levels(s.listing),
     "site_average": lambda s: catalog.site_average(s.listing),

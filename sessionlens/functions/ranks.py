@@ -31,9 +31,12 @@ def exact_quantiles(
     q: float = 0.5,
     few_groups: bool = False,
     materialise: Callable[[DataFrame], DataFrame] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per group of `by`: n, q_cont (interpolated) and q_disc (first value reaching q); nulls ignored.
 
+    `weight` names a column with the number of times a row counts (rows counted beforehand).
+
     The located bins are a few rows per group. How the values meet them depends on the groups:
 
     - `few_groups`: the grouping columns come from a fixed set of labels, so the bins are broadcast.
@@ -50,13 +53,12 @@ def exact_quantiles(
         F.lit("").alias("_g0")
     ]
     values = df.where(F.col(value).isNotNull()).select(
-        *by, *group_cols, F.col(value).cast("double").alias("_v")
+        *by, *group_cols, F.col(value).cast("double").alias("_v"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"),
     ).withColumn("_bin", value_bin("_v"))
     if not two_reads:
-        values = values.groupBy(*by, *keys, "_bin", "_v").agg(F.count("*").alias("_c"))
-        counted = values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n"))
-    else:
-        counted = values.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+        values = values.groupBy(*by, *keys, "_bin", "_v").agg(F.sum("_w").alias("_w"))
+    counted = values.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_n"))
 
     group = Window.partitionBy(*keys)
     upto = F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
@@ -83,9 +85,9 @@ def exact_quantiles(
     candidates = values.join(located, [*keys, "_bin"])
     if two_reads:
         carried = [F.first(c).alias(c) for c in ("_total", "_lo", "_hi", "_di", "_pos", "_before")]
-        candidates = candidates.groupBy(*by, *keys, "_bin", "_v").agg(F.count("*").alias("_c"), *carried)
+        candidates = candidates.groupBy(*by, *keys, "_bin", "_v").agg(F.sum("_w").alias("_w"), *carried)
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    reached = candidates.withColumn("_cum", F.col("_before") + F.sum("_c").over(in_bin))
+    reached = candidates.withColumn("_cum", F.col("_before") + F.sum("_w").over(in_bin))
     at = lambda rank: F.min(F.when(F.col("_cum") >= F.col(rank), F.col("_v")))
     return (
         reached.groupBy(*by, *keys)

@@ -65,6 +65,19 @@ def listing_items(ev: DataFrame) -> DataFrame:
     return _items(ev, "view_item", "add_to_cart").withColumn("item_category", category_label("raw_category"))
 
 
+def item_cells(ev: DataFrame) -> DataFrame:
+    """Items counted by event, product, raw label and price.
+
+    The table grows with the catalogue, not with the traffic, and one pass over the items serves labels,
+    parents, prices and product overlap.
+    """
+    return (
+        _items(ev, "view_item", "add_to_cart")
+        .groupBy("event_name", "item_name", "raw_category", "price").agg(F.count("*").alias("n"))
+        .withColumn("item_category", category_label("raw_category"))
+    )
+
+
 def session_listing_steps(ev: DataFrame) -> DataFrame:
     return _seen_carted(listing_items(ev), "item_category")
 
@@ -74,14 +87,14 @@ def session_price_band_steps(ev: DataFrame) -> DataFrame:
     return _seen_carted(items, "price_band")
 
 
-def listing_pages(ev: DataFrame) -> DataFrame:
+def listing_pages(ev: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Seen → carted by listing label, with its raw labels, median listed price and parent node.
 
     Labels are normalised before the session grouping, so two spellings in one session count once.
-    Raw labels are counted once per (label, raw); names and parents come from that small table.
+    `cells` is `item_cells(ev)`, if it has been written already.
     """
-    items = listing_items(ev)
-    spellings = items.groupBy("item_category", "raw_category").agg(F.count("*").alias("n"))
+    cells = item_cells(ev) if cells is None else cells
+    spellings = cells.groupBy("item_category", "raw_category").agg(F.sum("n").alias("n"))
     labels = spellings.groupBy("item_category").agg(
         F.count("*").alias("n_source_labels"),
         F.array_join(F.array_sort(F.collect_set("raw_category")), SEPARATOR).alias("source_labels"),
@@ -93,12 +106,12 @@ def listing_pages(ev: DataFrame) -> DataFrame:
         .groupBy("item_category")
         .agg(F.min(F.struct(-F.col("n"), F.col("parent")))["parent"].alias("parent_node"))
     )
-    seen_prices = items.where(F.col("event_name") == "view_item").select("item_category", "price")
-    prices = exact_quantiles(seen_prices, ["item_category"], "price", 0.5).select(
+    seen = cells.where(F.col("event_name") == "view_item")
+    prices = exact_quantiles(seen, ["item_category"], "price", 0.5, weight="n").select(
         "item_category", F.col("q_cont").alias("median_price")
     )
     return (
-        _seen_carted_counts(_seen_carted(items, "item_category"), "item_category")
+        _seen_carted_counts(session_listing_steps(ev), "item_category")
         .join(labels, "item_category")
         .join(prices, "item_category", "left")
         .join(parents, "item_category", "left")
@@ -110,14 +123,12 @@ def listing_pages(ev: DataFrame) -> DataFrame:
     )
 
 
-def category_overlap(ev: DataFrame) -> DataFrame:
-    """Per product, the listing labels it was seen under; most-viewed first."""
+def category_overlap(cells: DataFrame) -> DataFrame:
+    """Per product, the listing labels it was seen under, from `item_cells`; most-viewed first."""
     return (
-        _items(ev, "view_item")
-        .where(F.col("item_name").isNotNull())
-        .withColumn("item_category", category_label("raw_category"))
+        cells.where((F.col("event_name") == "view_item") & F.col("item_name").isNotNull())
         .where(F.col("item_category") != NOT_SET)
-        .groupBy("item_name", "item_category").agg(F.count("*").alias("n"))
+        .groupBy("item_name", "item_category").agg(F.sum("n").alias("n"))
         .groupBy("item_name")
         .agg(
             F.sum("n").alias("sightings"), F.count("*").alias("n_categories"),

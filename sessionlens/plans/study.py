@@ -168,9 +168,13 @@ class Study:
         )
         return self._small(table, "verdicts")
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        return self._small(catalog.item_cells(self.events), "item-cells")
+
     @cached_property
     def listing(self) -> DataFrame:
-        return self._small(catalog.listing_pages(self.events), "listing")
+        return self._small(catalog.listing_pages(self.events, self.cells), "listing")
 
     @cached_property
     def ranking(self) -> DataFrame:

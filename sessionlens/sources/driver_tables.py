@@ -173,7 +173,6 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     carries_items = is_own & name.isin("view_item", "add_to_cart") & (k % 4 > 0)
     shelf = F.when(name == "add_to_cart", F.col("carted_shelf")).otherwise(F.col("shelf"))
     shown = F.slice(shelf, F.lit(1), (k % 4).cast("int"))
-    ts = F.timestamp_micros(F.col("us"))
     day_number = F.floor(F.col("us") / (86_400 * MICROS_PER_SECOND)).cast("int")
     day = F.date_from_unix_date(day_number)
     return _canonical(

@@ -40,6 +40,13 @@ def test_quantiles_null_group_and_no_group(frame):
     assert exact_quantiles(df, [], "v").first()["q_cont"] == 4.0
 
 
+def test_weighted_values_count_that_often(frame):
+    df = frame("g string, v double, n long", [("a", 1.0, 3), ("a", 5.0, 2), ("a", 9.0, 1), ("b", 2.0, 1), ("b", 4.0, 1)])
+    for mode in MODES.values():
+        got = {r["g"]: (r["n"], r["q_cont"], r["q_disc"]) for r in exact_quantiles(df, ["g"], "v", weight="n", **mode).collect()}
+        assert got == {"a": (6, 3.0, 1.0), "b": (2, 3.0, 2.0)}
+
+
 def test_hot_group_with_one_value_collapses(spark):
     """A group of many equal rows is one counted value, however many rows it has."""
     df = spark.range(300_000).selectExpr("IF(id % 3 = 0, 'cold', 'hot') AS g", "IF(id % 3 = 0, id * 1.5, 7.0) AS v")
