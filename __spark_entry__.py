@@ -122,18 +122,14 @@ def _window_counts(ev: DataFrame, window: EventWindow) -> DataFrame:
     return funnel.session_funnel(sessions.sessions(in_window(ev, window)))
 
 
-def _countries(s: Study) -> DataFrame:
-    return funnel.country_funnel(s.sessions)
-
-
 def _wilson(s: Study) -> DataFrame:
     lo, hi = wilson_ci("purchase", "sessions")
-    return _countries(s).select("country", "sessions", "purchase", lo.alias("ci_lo"), hi.alias("ci_hi"))
+    return s.country_counts.select("country", "sessions", "purchase", lo.alias("ci_lo"), hi.alias("ci_hi"))
 
 
 def _diff(s: Study) -> DataFrame:
     d, lo, hi = diff_ci("view_item", "sessions", "_f.view_item", "_f.sessions")
-    return exprs.attach(_countries(s), s.funnel, "_f").select("country", d.alias("diff_pp"), lo.alias("ci_lo"), hi.alias("ci_hi"))
+    return exprs.attach(s.country_counts, s.funnel, "_f").select("country", d.alias("diff_pp"), lo.alias("ci_lo"), hi.alias("ci_hi"))
 
 
 def _flagged(s: Study) -> DataFrame:
@@ -195,7 +191,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "is_shopping_page": lambda s: _counted(
         s.events, "events", page_path=F.col("page_path"), is_shopping_page=exprs.is_shopping_page("page_path")
     ),
-    "p_label": lambda s: star.stats_tests(s.fct_sessions).select("test", exprs.p_label("p").alias("p_label")),
+    "p_label": lambda s: star.stats_tests(s.fct_sessions, s.materialise).select("test", exprs.p_label("p").alias("p_label")),
     "session_attrs": lambda s: sessions.session_attrs(s.events),
     "sessions": lambda s: sessions.sessions(
         s.events, event_dims={"device_category": F.col("device_category")}, revenue=True, attributes=True
@@ -206,7 +202,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "session_funnel": lambda s: funnel.session_funnel(s.sessions),
     "shoppers_funnel": lambda s: funnel.shoppers_funnel(s.base),
     "device_funnel": lambda s: funnel.device_funnel(s.sessions),
-    "country_funnel": _countries,
+    "country_funnel": lambda s: funnel.country_funnel(s.sessions),
     "channel_funnel": lambda s: funnel.channel_funnel(s.sessions),
     "funnel_rates": lambda s: funnel.funnel_rates(s.funnel),
     "step_losses": lambda s: funnel.step_losses(s.funnel),
@@ -231,8 +227,8 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "device_table": lambda s: channels.device_table(s.device_counts),
     "device_steps": lambda s: channels.device_steps(s.device_counts),
     "channel_verdict": lambda s: channels.channel_verdict(s.channels),
-    "segment_rows": lambda s: inference.segment_rows(_countries(s), "country"),
-    "segment_spread": lambda s: inference.segment_spread(_countries(s), "country"),
+    "segment_rows": lambda s: inference.segment_rows(s.country_counts, "country"),
+    "segment_spread": lambda s: inference.segment_spread(s.country_counts, "country"),
     "landing_pages": lambda s: landing.landing_pages(s.sessions, THRESHOLDS.landing_sessions),
     "weak_landing_pages": lambda s: landing.weak_landing_pages(s.landing, s.funnel),
     "landing_diagnosis": lambda s: landing.landing_diagnosis(s.events, s.base, s.weak, broadcast_pages=True),
@@ -273,7 +269,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "compare_periods": lambda s: inference.compare_periods(
         _window_counts(s.events, SECOND_HALF), _window_counts(s.events, FIRST_HALF)
     ),
-    "stats_tests": lambda s: star.stats_tests(s.fct_sessions),
+    "stats_tests": lambda s: star.stats_tests(s.fct_sessions, s.materialise),
     "opportunity_lift": lambda s: sizing.opportunity_lift(s.totals, (5, 10)),
     "landing_sizing": lambda s: sizing.landing_sizing(s.weak, s.verdicts, s.totals),
     "cart_recovery_sizing": lambda s: sizing.cart_recovery_sizing(s.totals),

@@ -6,6 +6,8 @@ Their natural sort keys are in EXPORT_ORDER for consumers that want one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens.functions.exprs import (
@@ -103,8 +105,13 @@ def landing_diagnosis_table(verdicts: DataFrame) -> DataFrame:
     ).orderBy("landing_page")
 
 
-def stats_tests(fct: DataFrame) -> DataFrame:
-    """Three chi-square tests over the exported sessions."""
+def stats_tests(
+    fct: DataFrame, materialise: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Three chi-square tests over the exported sessions.
+
+    The tests read the counted segments twice; `materialise` writes that small table in between.
+    """
     named = ~(F.col("channel_group").startswith("other (") | F.col("channel_group").startswith(NOT_SET))
     known = F.col("visitor_type").isin("new", "returning")
     entry = lambda test, segment, flag, keep=F.lit(True): F.struct(
@@ -121,6 +128,7 @@ def stats_tests(fct: DataFrame) -> DataFrame:
         .groupBy("test", "segment")
         .agg(F.count("*").alias("n"), F.count_if("flag").alias("k"))
     )
+    counted = counted if materialise is None else materialise(counted)
     return chi_square(counted, "k", "n", by=("test",)).orderBy("test")
 
 

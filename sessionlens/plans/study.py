@@ -108,8 +108,8 @@ class Study:
 
     @property
     def materialise(self):
-        """Writes a table and reads it back with a known size; None in an unstaged study."""
-        return (lambda table: stage(table, "bins")[0]) if self.staged else None
+        """Writes a small table and reads it back with a known size; None in an unstaged study."""
+        return (lambda table: stage(table, "step")[0]) if self.staged else None
 
     @cached_property
     def funnel(self) -> DataFrame:
@@ -135,6 +135,10 @@ class Study:
     def device_counts(self) -> DataFrame:
         return self._small(funnel.device_funnel(self.sessions), "device-counts")
 
+    @cached_property
+    def country_counts(self) -> DataFrame:
+        return self._small(funnel.country_funnel(self.sessions), "country-counts")
+
     @cached_property
     def channels(self) -> DataFrame:
         t = self.thresholds
@@ -257,7 +261,7 @@ class Study:
             "dim_price_band": star.dim_price_band(self.spark),
             "dim_listing": star.dim_listing(self.listing, t.category_views),
             "landing_diagnosis": star.landing_diagnosis_table(self.verdicts),
-            "stats_tests": star.stats_tests(self.fct_sessions),
+            "stats_tests": star.stats_tests(self.fct_sessions, self.materialise),
         }
 
     def reconciliation(self) -> DataFrame:
