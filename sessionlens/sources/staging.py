@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Temporary folder of each local application without a configured one.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode with none configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="sessionlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
+    if context.master.startswith("local"):
+        if context.applicationId not in _local_dirs:
+            _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="sessionlens-")
+        return _local_dirs[context.applicationId]
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 

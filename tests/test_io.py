@@ -71,6 +71,23 @@ def test_staged_table_uses_the_configured_folder(spark, frame):
     assert sorted(r["n"] for r in df.collect()) == [1, 2]
 
 
+class _Session:
+    """Just the parts of a session that choosing the folder looks at."""
+
+    def __init__(self, master, configured=None):
+        context = {"master": master, "applicationId": f"app-{master}", "getCheckpointDir": lambda _: None}
+        self.sparkContext = type("Context", (), context)()
+        self.conf = type("Conf", (), {"get": lambda _, key, default: configured or default})()
+
+
+def test_folder_choice():
+    assert shared_dir(_Session("spark://x", "hdfs:///shared/")) == "hdfs:///shared"
+    local = shared_dir(_Session("local[2]"))
+    assert local == shared_dir(_Session("local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://x"))
+
+
 @pytest.fixture(scope="module")
 def study(spark):
     from sessionlens.sources.driver_tables import shop_events
