@@ -21,7 +21,12 @@ BINS_PER_OCTAVE = 1024
 def value_bin(value) -> Column:
     """Monotone whole-number bin: about 0.07% relative width for |value| well above 1."""
     v = F.col(value) if isinstance(value, str) else value
-    return (F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * BINS_PER_OCTAVE)).cast("long")
+    octaves = F.least(F.log2(1 + F.abs(v)), F.lit(1100.0))  # above any finite double
+    return (F.signum(v) * F.floor(octaves * BINS_PER_OCTAVE)).cast("long")
+
+
+def _is_number(value: str) -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
 def exact_quantiles(
@@ -33,7 +38,7 @@ def exact_quantiles(
     materialise: Callable[[DataFrame], DataFrame] | None = None,
     weight: str | None = None,
 ) -> DataFrame:
-    """Per group of `by`: n, q_cont (interpolated) and q_disc (first value reaching q); nulls ignored.
+    """Per group of `by`: n, q_cont (interpolated) and q_disc (first value reaching q); nulls and NaN ignored.
 
     `weight` names a column with the number of times a row counts (rows counted beforehand).
 
@@ -52,7 +57,7 @@ def exact_quantiles(
     group_cols = [null_safe_key(F.col(c).cast("string")).alias(k) for c, k in zip(by, keys)] or [
         F.lit("").alias("_g0")
     ]
-    values = df.where(F.col(value).isNotNull()).select(
+    values = df.where(_is_number(value)).select(
         *by, *group_cols, F.col(value).cast("double").alias("_v"),
         (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"),
     ).withColumn("_bin", value_bin("_v"))
@@ -106,7 +111,7 @@ def exact_quantiles(
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """Distinct values of a column with their average rank over the whole column (ties share it)."""
     distinct = (
-        df.where(F.col(value).isNotNull())
+        df.where(_is_number(value))
         .groupBy(F.col(value).cast("double").alias(value))
         .agg(F.count("*").alias("_c"))
         .withColumn("_bin", value_bin(value))

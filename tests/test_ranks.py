@@ -40,6 +40,15 @@ def test_quantiles_null_group_and_no_group(frame):
     assert exact_quantiles(df, [], "v").first()["q_cont"] == 4.0
 
 
+def test_nan_is_ignored_and_infinity_is_a_value(frame):
+    inf = float("inf")
+    df = frame("v double", [(float("nan"),), (-inf,), (1.0,), (2.0,), (3.0,), (inf,), (inf,), (None,)])
+    for mode in MODES.values():
+        r = exact_quantiles(df, [], "v", 0.5, **mode).first()
+        assert (r["n"], r["q_disc"]) == (6, 2.0) and r["q_cont"] == 2.5
+    assert exact_quantiles(df, [], "v", 1.0).first()["q_disc"] == inf
+
+
 def test_weighted_values_count_that_often(frame):
     df = frame("g string, v double, n long", [("a", 1.0, 3), ("a", 5.0, 2), ("a", 9.0, 1), ("b", 2.0, 1), ("b", 4.0, 1)])
     for mode in MODES.values():
