@@ -313,6 +313,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return funnel.funnel_rates(funnel.session_funnel(study.sessions))
 
 
+def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the corpus operators and their pipeline; empty where those files have been taken away."""
+    found, sql = {}, {}
+    try:
+        from sessionlens.llm import queries as operators
+
+        found, sql = dict(operators.QUERIES), dict(operators.ORACLES)
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("sessionlens.llm", "corpus_pipeline"):
+            raise
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for name, build in _SHOP.items():
@@ -321,8 +339,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = lambda spark, sf_dir, b=build: rounded(b(visits(spark, sf_dir)))
     for name, build in _BOTH.items():
         out[name] = lambda spark, sf_dir, b=build: rounded(b(shop(spark, sf_dir), visits(spark, sf_dir)))
-    return out
+    return out | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return statements.oracle_sql()
+    return statements.oracle_sql() | _corpus()[1]
