@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import language
+from sessionlens.llm import fingerprint, language
 from sessionlens.llm.common import table
 
 
@@ -12,8 +12,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op5_language(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op10_fingerprint(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_language": op5_language,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 #: SQL for those that DuckDB can express; the others are tested against brute force in tests/llm.
