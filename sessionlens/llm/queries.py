@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import decontaminate, fingerprint, language, lines, toxicity
+from sessionlens.llm import decontaminate, fingerprint, language, lines, minhash, toxicity
 from sessionlens.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op5_language(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op6_minhash(table(spark, sf_dir, "documents"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7_lines(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op5_language": op5_language,
+    "op6_minhash": op6_minhash,
     "op7_lines": op7_lines,
     "op10_fingerprint": op10_fingerprint,
 }
