@@ -110,7 +110,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def _byte_values() -> np.ndarray:
+def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -138,7 +138,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * powers(len(data)), out=sums[1:])
+    np.cumsum(byte_values()[data] * powers(len(data)), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(len(data) + 1, _INVERSE)[starts]
     return mix(h ^ (ends - starts).astype(np.uint64))
 

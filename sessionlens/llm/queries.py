@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import decontaminate, fingerprint, language, lines, minhash, toxicity
+from sessionlens.llm import decontaminate, fingerprint, language, lines, minhash, suffix, toxicity
 from sessionlens.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.op4_suffix(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op5_language(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op4_suffix": op4_suffix,
     "op5_language": op5_language,
     "op6_minhash": op6_minhash,
     "op7_lines": op7_lines,
