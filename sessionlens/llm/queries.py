@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import decontaminate, fingerprint, language, lines, minhash, suffix, toxicity
+from sessionlens.llm import decontaminate, fingerprint, html, language, lines, minhash, mixing, suffix, toxicity
 from sessionlens.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op8_html(table(spark, sf_dir, "pages"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op9_mixing(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op10_fingerprint(table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,10 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_minhash": op6_minhash,
     "op7_lines": op7_lines,
+    "op8_html": op8_html,
+    "op9_mixing": op9_mixing,
     "op10_fingerprint": op10_fingerprint,
 }
 
 #: SQL for those that DuckDB can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle()}
