@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import decontaminate, fingerprint, html, language, lines, minhash, mixing, suffix, toxicity
+from sessionlens.llm import decontaminate, fingerprint, html, language, lines, minhash, mixing, pii, suffix, toxicity
 from sessionlens.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.op4_suffix(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_suffix": op4_suffix,
     "op5_language": op5_language,
     "op6_minhash": op6_minhash,
