@@ -128,12 +128,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     return stretch.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("begin", "end")).alias("stretches"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated stretches taken out of `text`, and two more columns: n_units and n_removed (units).
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_removed")) -> DataFrame:
+    """`docs` with repeated stretches taken out of `text`, and two more columns: units, and units removed.
 
     Places are ordered by doc_id and unit; the first stays. Rows with a null id are neither searched nor changed, rows that share
-    an id are ordered by unit, and of equal places all stay, so equal rows do not empty each other. Null texts stay null. Other
-    columns pass, but for columns named like the working ones, which come back as they were.
+    an id are ordered by unit, and of equal places all stay, so equal rows do not empty each other. Null texts stay null. All other
+    columns pass; those named as in `counts` give way to the new ones.
     """
     spark = tuned(docs.sparkSession)
     names = docs.columns
@@ -170,8 +170,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             )
 
     done = joined.select("text", "row", "stretches").mapInArrow(run, f"text string, row {row_type}, n_units long, n_removed long")
-    back = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return done.select(*back, *[F.col(c) for c in ("n_units", "n_removed") if c not in names])
+    back = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in counts]
+    return done.select(*back, F.col("n_units").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def op7_lines(docs: DataFrame) -> DataFrame:

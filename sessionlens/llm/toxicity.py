@@ -374,6 +374,22 @@ def tag_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
 
 
+def without_toxic(docs: DataFrame, tagger: Tagger) -> DataFrame:
+    """The rows of `docs` (any columns, with text) that are not rejected: a score of REJECT_AT or more with an offending span."""
+    spark = tuned(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(tagger)
+
+    def run(batches):
+        for piece in pieces(batches):
+            w = words(piece.column("text"))
+            chance = shared.value.tag(w)
+            score = shared.value.score(aggregates(chance, w.owner, piece.num_rows))
+            spans = np.bincount(w.owner[chance >= SPAN_AT], minlength=piece.num_rows)
+            yield piece.filter(pa.array((score < REJECT_AT) | (spans == 0)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows that are not held out; several labels of one document count as toxic if any is."""
     y = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
