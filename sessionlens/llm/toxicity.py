@@ -29,7 +29,8 @@ STRONG = 3.0
 STEPS = (-1.0, 0.5, 1.0, 2.0, STRONG, 4.0, 5.0)
 NEUTRAL = 1  # the bin of words without a known tie
 #: The field is fitted on so many sentences at most (a fixed-order sample by checksum), the calibration on so many documents.
-FIT_SENTENCES, FIT_DOCUMENTS = 6_000, 20_000
+#: Longer sentences are cut into chains of FIT_WORDS words for the fit (not for tagging).
+FIT_SENTENCES, FIT_WORDS, FIT_DOCUMENTS = 6_000, 100, 20_000
 PREDICT_AT, REJECT_AT, SPAN_AT = 0.3, 0.5, 0.5
 FLUSH = 2_000_000
 
@@ -128,8 +129,9 @@ def features(bins: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros(len(bins), int), 1 + bins, 1 + N_BINS + before, 1 + 2 * N_BINS + after], 1)
 
 
-def _padded(values: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Values of sentences, longest first, by step; the row and step of each word, and how many sentences reach a step."""
+def _by_step(sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All chains side by side, longest first: where each word stands when words are ordered by step and chain, where the words of
+    each step begin, and how many chains reach it."""
     n = int(sentence[-1]) + 1 if len(sentence) else 0
     edges = bounds(sentence, n)
     lengths = np.diff(edges)
@@ -138,15 +140,14 @@ def _padded(values: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.nd
     row[order] = np.arange(n)
     step = np.arange(len(sentence)) - edges[sentence]
     reach = n - np.searchsorted(np.sort(lengths), np.arange(1, lengths.max(initial=0) + 1))
-    return row[sentence], step, reach, lengths[order]
+    first = np.concatenate([[0], np.cumsum(reach)]).astype(np.int64)
+    return first[step] + row[sentence], first, reach
 
 
 def marginals(emission: np.ndarray, sentence: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Forward-backward over all sentences at once, carried as the odds of the toxic state: its chance by word."""
     stay, enter, leave, start = np.exp(weights[-4:])
-    row, step, reach, _ = _padded(emission, sentence)
-    first = np.concatenate([[0], np.cumsum(reach)])  # words in the order of steps, without padding
-    at = first[step] + row
+    at, first, reach = _by_step(sentence)
     gain = np.empty(len(emission))
     gain[at] = np.exp(np.clip(emission, -50, 50))
     forward, backward = np.empty(len(emission)), np.ones(len(emission))
@@ -168,39 +169,43 @@ def marginals(emission: np.ndarray, sentence: np.ndarray, weights: np.ndarray) -
 def expectations(emission: np.ndarray, sentence: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For fitting, in log space: chances by word, and expected transitions (stay toxic, enter, leave) and toxic starts."""
     stay, enter, leave, start = weights[-4:]
-    row, step, reach, _ = _padded(emission, sentence)
-    at = np.zeros((len(reach), reach[0] if len(reach) else 0))
-    at[step, row] = emission
-    fc, ft, bc, bt = (np.zeros_like(at) for _ in range(4))  # forward and backward: clean, toxic
-    for t, n in enumerate(reach):
+    at, first, reach = _by_step(sentence)
+    score = np.empty(len(emission))
+    score[at] = emission
+    fc, ft, bc, bt = (np.zeros(len(emission)) for _ in range(4))  # forward and backward: clean, toxic
+    steps = [slice(first[t], first[t] + n) for t, n in enumerate(reach)]
+    before = [slice(first[t - 1], first[t - 1] + n) for t, n in enumerate(reach)]  # the same chains a step earlier
+    for t, now in enumerate(steps):
         if t == 0:
-            ft[0, :n] = at[0, :n] + start
+            ft[now] = score[now] + start
         else:
-            fc[t, :n] = np.logaddexp(fc[t - 1, :n], ft[t - 1, :n] + leave)
-            ft[t, :n] = np.logaddexp(fc[t - 1, :n] + enter, ft[t - 1, :n] + stay) + at[t, :n]
-    for t in range(len(reach) - 2, -1, -1):
-        n = reach[t + 1]
-        toxic = bt[t + 1, :n] + at[t + 1, :n]
-        bc[t, :n] = np.logaddexp(bc[t + 1, :n], toxic + enter)
-        bt[t, :n] = np.logaddexp(bc[t + 1, :n] + leave, toxic + stay)
+            was = before[t]
+            fc[now] = np.logaddexp(fc[was], ft[was] + leave)
+            ft[now] = np.logaddexp(fc[was] + enter, ft[was] + stay) + score[now]
+    for t in range(len(reach) - 1, 0, -1):
+        now, was = steps[t], before[t]
+        toxic = bt[now] + score[now]
+        bc[was] = np.logaddexp(bc[now], toxic + enter)
+        bt[was] = np.logaddexp(bc[now] + leave, toxic + stay)
     chance = 1 / (1 + np.exp(np.clip((fc + bc) - (ft + bt), -500, 500)))
-    total = np.logaddexp(fc + bc, ft + bt)[0] if len(reach) else np.zeros(0)
     expected = np.zeros(4)
-    for t in range(1, len(reach)):
-        n = reach[t]
-        toxic = at[t, :n] + bt[t, :n] - total[:n]
-        expected[0] += np.exp(ft[t - 1, :n] + stay + toxic).sum()
-        expected[1] += np.exp(fc[t - 1, :n] + enter + toxic).sum()
-        expected[2] += np.exp(ft[t - 1, :n] + leave + bc[t, :n] - total[:n]).sum()
-    expected[3] = chance[0].sum() if len(reach) else 0.0
-    return chance[step, row], expected
+    if len(reach):
+        total = np.logaddexp(fc[steps[0]] + bc[steps[0]], ft[steps[0]] + bt[steps[0]])
+        expected[3] = chance[steps[0]].sum()
+        for t in range(1, len(reach)):
+            now, was, whole = steps[t], before[t], total[: reach[t]]
+            toxic = score[now] + bt[now] - whole
+            expected[0] += np.exp(ft[was] + stay + toxic).sum()
+            expected[1] += np.exp(fc[was] + enter + toxic).sum()
+            expected[2] += np.exp(ft[was] + leave + bc[now] - whole).sum()
+    return chance[at], expected
 
 
 def fit_field(bins: np.ndarray, sentence: np.ndarray, state: np.ndarray, rounds: int = 150, ridge: float = 1.0) -> np.ndarray:
     """Weights by gradient ascent (Adam) on the penalised likelihood of labelled sentences."""
     weights, first, second = np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS)
     if not len(bins):
-        weights[0] = -5.0
+        weights[0] = -20.0  # nothing to learn from: nothing is toxic
         return weights
     columns = features(bins, sentence)
     same = sentence[1:] == sentence[:-1]
@@ -260,7 +265,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Logistic weights by Newton's steps."""
     w = np.zeros(x.shape[1])
     if not len(x):
-        w[:3] = -4.0, 4.0, 4.0
+        w[0], w[2] = -4.0, 4.0
         return w
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -292,8 +297,10 @@ def learn(labelled: DataFrame) -> Tagger:
             toxic = piece.column("toxic").to_numpy(zero_copy_only=False)[w.owner] == 1
             state = toxic & (bins > STEPS.index(STRONG))
             n = int(w.sentence[-1]) + 1 if len(w.sentence) else 0
-            edges = bounds(w.sentence, n)
-            tied = np.bincount(w.sentence, bins != NEUTRAL, n) > 0
+            place = np.arange(len(w.sentence)) - bounds(w.sentence, n)[w.sentence]
+            cut = np.flatnonzero(place % FIT_WORDS == 0)
+            n, edges = len(cut), np.append(cut, len(place))
+            tied = np.bincount(np.repeat(np.arange(n), np.diff(edges)), bins != NEUTRAL, n) > 0
             chosen = np.flatnonzero(tied | (w.hashes[edges[:-1]] % np.uint64(16) == 0)) if n else []
             yield pa.RecordBatch.from_arrays(
                 [
