@@ -22,14 +22,13 @@ from sessionlens.plans.study import Study, Thresholds
 from sessionlens.sources import sinks
 from sessionlens.sources.driver_tables import order_visits, shop_events
 from sessionlens.sources.events import date_range, in_window, scan_estimate
-from sessionlens.sources.staging import scratch_path
+from sessionlens.sources.staging import scratch_path, stage
 
 SHOP_WINDOW = EventWindow("20240101", "20240130")
 ORDER_WINDOW = EventWindow("19950101", "20010801")
 ONE_WEEK = EventWindow("20240108", "20240114")
 FIRST_HALF = EventWindow("20240101", "20240115")
 SECOND_HALF = EventWindow("20240116", "20240130")
-MEDIUMS = ("(not set)", "(none)", "cpc", "email", "organic", "referral")
 
 # The test tables are small, so rows are kept from a lower volume on than in a real shop.
 THRESHOLDS = Thresholds(
@@ -108,14 +107,14 @@ def _flat(s: Study) -> DataFrame:
 
 
 def _publish(s: Study) -> DataFrame:
-    """Publish a table, then a changed version of it; the rows that made the difference."""
+    """Publish the device funnel over a version with one purchase more everywhere; the rows that made the difference, and the decision."""
     path = scratch_path(s.spark, "published")
-    half = s.sessions.where(F.col("session_date") <= F.lit(FIRST_HALF.last_day))
-    before = funnel.device_funnel(half).withColumn("generated_at", F.current_timestamp())
     now = funnel.device_funnel(s.sessions).withColumn("generated_at", F.current_timestamp())
-    sinks.publish_if_changed(before, path)
+    sinks.publish_if_changed(now.withColumn("purchase", F.col("purchase") + 1), path)
     changes = sinks.changed_rows(now, s.spark.read.parquet(path), ("generated_at",))
-    return changes
+    # compared before the new version takes the old one's place
+    changes = stage(changes, "changes")[0]
+    return changes.withColumn("published", F.lit(sinks.publish_if_changed(now, path)))
 
 
 def _window_counts(ev: DataFrame, window: EventWindow) -> DataFrame:
@@ -141,13 +140,6 @@ def _flagged(s: Study) -> DataFrame:
     return catalog.flag_categories(rows, catalog.site_average(s.bands))
 
 
-def _years(v: Study) -> tuple[DataFrame, DataFrame]:
-    of = lambda y: v.cohort_channels.where(F.year("cohort_week") == y).groupBy("medium").agg(
-        F.sum("users").alias("users"), F.sum("wk1_users").alias("successes")
-    )
-    return of(1995), of(1996)
-
-
 def _bands_dim(s: Study) -> DataFrame:
     seen = s.bands.select("price_band", "viewing_sessions")
     return star.dim_price_band(s.spark).join(seen, "price_band", "left").fillna(0, ["viewing_sessions"])
@@ -223,7 +215,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "time_to_convert": lambda s: revenue.time_to_convert(s.sessions),
     "channel_table": lambda s: channels.channel_table(s.channel_counts, THRESHOLDS.channel_share, low_n=THRESHOLDS.low_n),
     "medium_agreement": lambda s: channels.medium_agreement(s.channel_counts),
-    "medium_crosstab": lambda s: channels.medium_crosstab(s.channel_counts, MEDIUMS),
+    "medium_crosstab": lambda s: channels.medium_crosstab(s.channel_counts),
     "device_table": lambda s: channels.device_table(s.device_counts),
     "device_steps": lambda s: channels.device_steps(s.device_counts),
     "channel_verdict": lambda s: channels.channel_verdict(s.channels),
@@ -292,9 +284,9 @@ _VISITS: dict[str, Callable[[Study], DataFrame]] = {
     "retention_by_month": lambda v: cohorts.retention_by_month(v.matrix, v.window),
     "cohort_channel": lambda v: cohorts.cohort_channel(v.events),
     "retention_mix": lambda v: v.retention_mix,
-    "mix_decomposition": lambda v: inference.mix_decomposition(*_years(v), "medium"),
-    "channel_changes": lambda v: inference.channel_changes(*_years(v)),
-    "channels_fell": lambda v: inference.channels_fell(*_years(v)),
+    "mix_decomposition": lambda v: inference.mix_decomposition(v.peak, v.trough, "medium"),
+    "channel_changes": lambda v: inference.channel_changes(v.peak, v.trough),
+    "channels_fell": lambda v: inference.channels_fell(v.peak, v.trough),
     "dim_users": lambda v: star.dim_users(v.events),
     "fct_user_activity": lambda v: star.fct_user_activity(v.events),
 }

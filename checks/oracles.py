@@ -308,8 +308,6 @@ CTE: dict[str, str] = {
         AND strftime(cohort_week,'%Y-%m')=(SELECT month FROM @rm ORDER BY mean DESC, month LIMIT 1) GROUP BY 1""",
     "tr": """SELECT medium, sum(users) AS users, sum(wk1_users) AS successes FROM @cce WHERE full_cohort AND week1_observed
         AND strftime(cohort_week,'%Y-%m')=(SELECT month FROM @rm ORDER BY mean, month LIMIT 1) GROUP BY 1""",
-    "ya": "SELECT medium, sum(users) AS users, sum(wk1_users) AS successes FROM @cc WHERE year(cohort_week)=1995 GROUP BY 1",
-    "yb": "SELECT medium, sum(users) AS users, sum(wk1_users) AS successes FROM @cc WHERE year(cohort_week)=1996 GROUP BY 1",
     # cross-session paths
     "us0": """SELECT s.*, coalesce(ts_s,ts_v,ts_c,ts_k,ts_p) AS t0 FROM @ss s""",
     "us1": """SELECT a.*, (SELECT count(*)+1 FROM @us0 b WHERE b.user_pseudo_id=a.user_pseudo_id AND (b.t0,b.session_id)<(a.t0,a.session_id)) AS rn FROM @us0 a""",
@@ -334,7 +332,7 @@ CTE: dict[str, str] = {
         s2 AS saw_product, s3 AS added_to_cart, s4 AS began_checkout, s5 AS purchased, ts_p IS NOT NULL AS purchased_any_order,
         CASE WHEN s5 THEN coalesce(revenue,0.0) ELSE 0.0 END AS revenue, CASE WHEN s5 THEN (ts_p-ts_s)/CAST(6e7 AS DOUBLE) END AS minutes_to_purchase
         FROM @fct0 JOIN @fsm USING (channel)""",
-    "tst0": """SELECT 'device × purchase' AS test, device_category AS segment, count(*) AS n, count(*) FILTER (WHERE purchased) AS k FROM @fct GROUP BY 2
+    "tst0": """SELECT 'device × purchase' AS test, device_category AS segment, count(*) AS n, count(*) FILTER (WHERE purchased) AS k FROM @fct WHERE device_category IS NOT NULL GROUP BY 2
         UNION ALL SELECT 'channel × saw a product (named channels)', channel_group, count(*), count(*) FILTER (WHERE saw_product) FROM @fct
           WHERE NOT (starts_with(channel_group,'other (') OR starts_with(channel_group,'(not set)')) GROUP BY 2
         UNION ALL SELECT 'new vs returning × purchase', visitor_type, count(*), count(*) FILTER (WHERE purchased) FROM @fct
@@ -354,8 +352,8 @@ CTE["mx0"] = """SELECT g.cohort_week, g.k AS weeks_since_cohort, CASE WHEN g.coh
     THEN coalesce(c.active_users,0) END AS active_users FROM (SELECT cohort_week, k FROM (SELECT DISTINCT cohort_week FROM @coh)
     CROSS JOIN (SELECT DISTINCT weeks_since_cohort AS k FROM @coh)) g
     LEFT JOIN @coh c ON c.cohort_week=g.cohort_week AND c.weeks_since_cohort=g.k"""
-CTE["mx"] = f"""SELECT m.cohort_week, m.weeks_since_cohort, z.active_users AS cohort_size, m.active_users, {pct('m.active_users','z.active_users')} AS retention_pct
-    FROM @mx0 m JOIN @mx0 z ON z.cohort_week=m.cohort_week AND z.weeks_since_cohort=0"""
+CTE["mx"] = f"""SELECT *, {pct('active_users','cohort_size')} AS retention_pct FROM (SELECT cohort_week, weeks_since_cohort,
+    CAST(max(active_users) FILTER (WHERE weeks_since_cohort=0) OVER (PARTITION BY cohort_week) AS BIGINT) AS cohort_size, active_users FROM @mx0)"""
 
 
 def _needed(sql: str, ordered: list[str]) -> None:
@@ -370,7 +368,7 @@ def statement(select: str, doubles: str = "") -> str:
     """The SELECT with the named steps it mentions; the given double columns are rounded."""
     ordered: list[str] = []
     _needed(select, ordered)
-    head = "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered) + "\n" if ordered else ""
+    head = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" if n in ("coh", "mx0") else f"{n} AS ({CTE[n]})" for n in ordered) + "\n" if ordered else ""
     if doubles:
         rounded = ", ".join(f"round(CAST({c} AS DOUBLE),6)+0 AS {c}" for c in doubles.split())
         select = f"SELECT * REPLACE ({rounded}) FROM ({select})"

@@ -88,7 +88,8 @@ def _segments() -> str:
 def _mix(a: str, b: str) -> str:
     inner = f"""SELECT coalesce(a.medium,b.medium) AS medium, coalesce(a.users,0) AS na, coalesce(a.successes,0) AS ka,
         coalesce(b.users,0) AS nb, coalesce(b.successes,0) AS kb FROM {a} a FULL JOIN {b} b ON a.medium=b.medium"""
-    return f"""SELECT rate_a, rate_b, rate_b_at_a_mix, rate_b-rate_a AS change_pp, rate_b_at_a_mix-rate_a AS within_pp, rate_b-rate_b_at_a_mix AS mix_pp
+    return f"""SELECT rate_a, rate_b, rate_b_at_a_mix, rate_b-rate_a AS change_pp, rate_b_at_a_mix-rate_a AS within_pp, rate_b-rate_b_at_a_mix AS mix_pp,
+        {pct('(rate_b-rate_b_at_a_mix)', '(rate_b-rate_a)')} AS mix_share_pct
         FROM (SELECT {pct('sum(ka)', 'sum(na)')} AS rate_a, {pct('sum(kb)', 'sum(nb)')} AS rate_b,
         sum(CAST(na AS DOUBLE)/nullif((SELECT CAST(sum(users) AS DOUBLE) FROM {a}),0)*coalesce({pct('kb', 'nb')},0)) AS rate_b_at_a_mix FROM ({inner}))"""
 
@@ -189,8 +190,8 @@ STATEMENTS: dict[str, tuple[str, str]] = {
           QUALIFY row_number() OVER (PARTITION BY user_pseudo_id ORDER BY ts_s, session_id)=1))
         UNION ALL SELECT 'dim_price_band', 5 UNION ALL SELECT 'dim_listing', count(*) FROM @lp UNION ALL SELECT 'landing_diagnosis', count(*) FROM @ver
         UNION ALL SELECT 'stats_tests', count(DISTINCT test) FROM @tst0""", ""),
-    "publish_if_changed": ("""SELECT *, CAST(1 AS BIGINT) AS copies FROM (SELECT * FROM @dev EXCEPT ALL SELECT * FROM @devh)
-        UNION ALL SELECT *, CAST(-1 AS BIGINT) FROM (SELECT * FROM @devh EXCEPT ALL SELECT * FROM @dev)""", ""),
+    "publish_if_changed": ("""SELECT d.*, CAST(n AS BIGINT) AS copies, true AS published FROM (SELECT *, 1 AS n FROM @dev UNION ALL
+        SELECT * REPLACE (purchase+1 AS purchase), -1 FROM @dev) t, LATERAL (SELECT t.* EXCLUDE (n)) d""", ""),
     # column builders
     "param": ("SELECT event_id_free.* FROM (SELECT ts AS event_timestamp, uid AS user_pseudo_id, name AS event_name, sid AS ga_session_id, medium, eng AS engagement_time_msec, session_number AS ga_session_number, url AS page_location FROM @ev) event_id_free", ""),
     "page_path": ("SELECT url, path AS page_path, CAST(count(*) AS BIGINT) AS events FROM @ev GROUP BY 1,2", ""),
@@ -245,7 +246,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     # channels and devices
     "channel_table": ("SELECT * FROM @ch", "revenue share view_pct cart_from_view purch_pct rev_per_session"),
     "medium_agreement": (f"SELECT {total('sessions')} AS sessions, {total('CASE WHEN session_medium=first_touch_medium THEN sessions ELSE 0 END')} AS agreeing, {pct('sum(CASE WHEN session_medium=first_touch_medium THEN sessions ELSE 0 END)','sum(sessions)')} AS agreement_pct FROM @cnt", "agreement_pct"),
-    "medium_crosstab": ("SELECT first_touch_medium, " + ", ".join(f"CAST(coalesce(sum(sessions) FILTER (WHERE session_medium='{m}'),0) AS BIGINT) AS \"{m}\"" for m in ("(not set)", "(none)", "cpc", "email", "organic", "referral")) + " FROM @cnt GROUP BY 1", ""),
+    "medium_crosstab": ("SELECT first_touch_medium, session_medium, CAST(sum(sessions) AS BIGINT) AS sessions FROM @cnt GROUP BY 1,2", ""),
     "device_table": (f"""SELECT device_category, sessions, purchase, {pct('sessions','(SELECT sum(sessions) FROM @dev)')} AS share, {pct('view_item','sessions')} AS view_pct, {pct('add_to_cart','sessions')} AS cart_pct,
         {pct('purchase','sessions')} AS purch_pct, {_w['purchase'][0]} AS ci_lo, {_w['purchase'][1]} AS ci_hi,
         (SELECT round_even(max({pct('purchase','sessions')})-min({pct('purchase','sessions')}),2) FROM @dev) AS gap_pp,
@@ -301,10 +302,12 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         {count_if('weeks_since_cohort=1 AND retention_pct IS NOT NULL')} AS cohorts_wk1 FROM @mx WHERE cohort_week>=DATE '1995-01-01'""", "avg_wk1 avg_wk2"),
     "retention_by_month": ("SELECT month, lo, hi, n, mean AS mean_pct, month=(SELECT month FROM @rm ORDER BY mean DESC, month LIMIT 1) AS is_peak, month=(SELECT month FROM @rm ORDER BY mean, month LIMIT 1) AS is_trough FROM @rm", "lo hi mean_pct"),
     "cohort_channel": ("SELECT * FROM @cc", ""),
-    "retention_mix": (_mix("@pk", "@tr"), "rate_a rate_b rate_b_at_a_mix change_pp within_pp mix_pp"),
-    "mix_decomposition": (_mix("@ya", "@yb"), "rate_a rate_b rate_b_at_a_mix change_pp within_pp mix_pp"),
-    "channel_changes": (_changes("@ya", "@yb"), "rate_a rate_b"),
-    "channels_fell": (f"SELECT CAST(count(*) AS BIGINT) AS channels_n, {count_if('fell')} AS channels_fell FROM ({_changes('@ya', '@yb')})", ""),
+    "retention_mix": (_mix("@pk", "@tr"), "rate_a rate_b rate_b_at_a_mix change_pp within_pp mix_pp mix_share_pct"),
+    "mix_decomposition": (_mix("@pk", "@tr"), "rate_a rate_b rate_b_at_a_mix change_pp within_pp mix_pp mix_share_pct"),
+    "channel_changes": (_changes("@pk", "@tr"), "rate_a rate_b"),
+    "channels_fell": (f"""SELECT CAST(count(*) AS BIGINT) AS channels_n, {count_if('fell')} AS channels_fell, coalesce((SELECT string_agg(medium, ', '
+        ORDER BY base_a DESC, medium) FROM (SELECT * FROM ({_changes('@pk', '@tr')}) WHERE fell ORDER BY base_a DESC, medium LIMIT 3)), '') AS examples
+        FROM ({_changes('@pk', '@tr')})""", ""),
     # cross-session
     "user_sessions": ("SELECT user_pseudo_id, session_id, ts_s, ts_v, ts_c, ts_k, ts_p, revenue, s1, s2, s3, s4, s5, t0, rn, prev_cart_ts, prev_cart_rn, next_purchase_ts, window_end_ts FROM @us", "revenue"),
     "purchase_paths": ("SELECT * FROM @pp", "revenue hours_since_cart"),
@@ -326,10 +329,10 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "cart_recovery_sizing": (_CART_SIZING, "revenue checkout_target_pct"),
     "reengagement_sizing": (_REENGAGE, "revenue_low revenue_high"),
     "catalogue_sizing": (_CATALOGUE, "revenue_low revenue_high"),
-    "recommendations": (f"""SELECT CAST(1 AS BIGINT) AS priority, 'fix the landing pages that don''t show products' AS action, orders, revenue_low, revenue_high, 'added product-viewing sessions convert at 50-100% of today''s saw-to-purchase rate' AS assumption FROM ({_LANDING_SIZING})
-        UNION ALL SELECT 2, 'cart recovery', orders, revenue, revenue, '10% of abandoned carts reach checkout (planning assumption)' FROM ({_CART_SIZING})
-        UNION ALL SELECT 2, 're-engagement', NULL, revenue_low, revenue_high, 'week-1 return at the 8% planning target, one session per user' FROM ({_REENGAGE})
-        UNION ALL SELECT 3, 'audit the listings of '||targets, orders, revenue_low, revenue_high, 'added carts behave like today''s carts (upper end)' FROM ({_CATALOGUE})""", "revenue_low revenue_high"),
+    "recommendations": (f"""SELECT CAST(1 AS BIGINT) AS priority, 'show products on weak landing pages' AS action, orders, revenue_low, revenue_high, 'new product views buy at half to all of the current rate' AS assumption FROM ({_LANDING_SIZING})
+        UNION ALL SELECT 2, 'win back carts', orders, revenue, revenue, 'one left cart in ten goes on to checkout' FROM ({_CART_SIZING})
+        UNION ALL SELECT 2, 'bring users back', NULL, revenue_low, revenue_high, 'eight percent return in the week after, once each' FROM ({_REENGAGE})
+        UNION ALL SELECT 3, 'review listings: '||targets, orders, revenue_low, revenue_high, 'new carts buy like current ones at most' FROM ({_CATALOGUE})""", "revenue_low revenue_high"),
     "priority_label": (f"""SELECT round_even({pct('view_item','sessions')},1) AS view_rate, round_even({pct('add_to_cart','view_item')},1) AS cart_rate, CASE WHEN round_even({pct('view_item','sessions')},1)<30 THEN 'Top-of-Funnel: Product Discovery'
         WHEN round_even({pct('add_to_cart','view_item')},1)<40 THEN 'Mid-Funnel: Product → Cart Conversion' ELSE 'Retention & Lifecycle' END AS priority FROM @tot""", "view_rate cart_rate"),
     # exports

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -90,18 +89,11 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def parse_day(text: str, name: str = "date") -> dt.date:
-    """Eight digits and a real calendar day, or ValueError (strptime alone takes seven)."""
-    if not isinstance(text, str) or not re.fullmatch(r"\d{8}", text):
-        raise ValueError(f"{name} must be a YYYYMMDD date, got {text!r}")
-    try:
-        return dt.date(int(text[:4]), int(text[4:6]), int(text[6:]))
-    except ValueError:
-        raise ValueError(f"{name} must be a YYYYMMDD date, got {text!r}") from None
-
-
-def _month_label(first: dt.date, last: dt.date) -> str:
-    return f"{first:%b %Y} – {last:%b %Y}"
+def parse_day(text: str) -> dt.date:
+    """The calendar day of an export folder's name, such as 20210131."""
+    if isinstance(text, str) and len(text) == 8 and text.isascii() and text.isdigit():
+        return dt.date.fromisoformat("-".join((text[:4], text[4:6], text[6:])))  # refuses days that no calendar has
+    raise ValueError(f"not the eight digits of a day: {text!r}")
 
 
 @dataclass(frozen=True)
@@ -112,63 +104,39 @@ class EventWindow:
     end: str
 
     def __post_init__(self):
-        if self.first_day > self.last_day:
-            raise ValueError(f"start ({self.start}) is after end ({self.end})")
+        if self.last_day < self.first_day:
+            raise ValueError(f"the window ends on {self.end}, before it begins on {self.start}")
 
     @property
     def first_day(self) -> dt.date:
-        return parse_day(self.start, "start")
+        return parse_day(self.start)
 
     @property
     def last_day(self) -> dt.date:
-        return parse_day(self.end, "end")
+        return parse_day(self.end)
 
     @property
     def label(self) -> str:
-        """Month range, both ends always shown."""
-        return _month_label(self.first_day, self.last_day)
+        """First and last month, both always shown."""
+        return " – ".join(d.strftime("%b %Y") for d in (self.first_day, self.last_day))
 
     @property
     def period_label(self) -> str:
-        """Month range, collapsed to one month when the window stays inside it."""
-        a, b = self.first_day, self.last_day
-        return f"{a:%b %Y}" if (a.year, a.month) == (b.year, b.month) else _month_label(a, b)
-
-    def current_period(self) -> "EventWindow":
-        """The window's last calendar month, cut at the window start."""
-        first = max(self.first_day, self.last_day.replace(day=1))
-        return EventWindow(f"{first:%Y%m%d}", self.end)
-
-    def overlaps(self, other: "EventWindow") -> bool:
-        return self.first_day <= other.last_day and other.first_day <= self.last_day
-
-
-def comparison_window(
-    window: EventWindow, start: str | None, end: str | None
-) -> EventWindow | None:
-    """The earlier period to compare with: both days or neither, and clear of the current one."""
-    if (start is None) != (end is None):
-        raise ValueError("set both comparison days, or neither")
-    if start is None:
-        return None
-    previous = EventWindow(start, end)
-    if previous.overlaps(window.current_period()):
-        raise ValueError(f"comparison window {start}-{end} overlaps the current period")
-    return previous
-
-
-_UNITS = {"": 1, "B": 1, "K": 10**3, "M": 10**6, "G": 10**9, "T": 10**12}
-
-
-def parse_bytes(text: str) -> int:
-    """'5GB', '500 MB', '1.5T' or a plain count, in decimal units; at least 10 MB."""
-    m = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([KMGT]?)B?", str(text).strip().upper())
-    if not m:
-        raise ValueError(f"size must look like '5GB' or '500MB', got {text!r}")
-    n = int(float(m.group(1)) * _UNITS[m.group(2)])
-    if n < 10**7:
-        raise ValueError(f"size must be at least 10MB, got {text!r}")
-    return n
+        """The month, or the range of months."""
+        months = dict.fromkeys(d.strftime("%b %Y") for d in (self.first_day, self.last_day))
+        return " – ".join(months)
+
+    def last_month(self) -> "EventWindow":
+        """The days of the window in the month it ends in."""
+        begin = self.last_day.replace(day=1).strftime("%Y%m%d")
+        return EventWindow(max(begin, self.start), self.end)
+
+    def versus(self, previous: "EventWindow | None") -> "EventWindow | None":
+        """`previous` as the period to compare the last month with; the two must not share a day."""
+        now = self.last_month()
+        if previous and previous.start <= now.end and now.start <= previous.end:
+            raise ValueError(f"{previous.start} to {previous.end} shares days with {now.start} to {now.end}")
+        return previous
 
 
 @dataclass(frozen=True)

@@ -101,15 +101,10 @@ def medium_agreement(counts: DataFrame) -> DataFrame:
     )
 
 
-def medium_crosstab(counts: DataFrame, mediums: tuple[str, ...]) -> DataFrame:
-    """First touch × session medium; `mediums` are the columns wanted."""
-    return (
-        counts.groupBy("first_touch_medium")
-        .pivot("session_medium", list(mediums))
-        .agg(F.sum("sessions"))
-        .fillna(0)
-        .orderBy("first_touch_medium")
-    )
+def medium_crosstab(counts: DataFrame) -> DataFrame:
+    """Sessions by first touch and session medium, in long form: every medium that occurs."""
+    pair = ("first_touch_medium", "session_medium")
+    return counts.groupBy(*pair).agg(F.sum("sessions").alias("sessions")).orderBy(*pair)
 
 
 def device_table(counts: DataFrame) -> DataFrame:

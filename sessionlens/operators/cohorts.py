@@ -19,7 +19,7 @@ def user_activity(ev: DataFrame) -> DataFrame:
 
 def user_cohorts(ev: DataFrame) -> DataFrame:
     """Each user's cohort week: Monday of the first session_start day."""
-    return _starts(ev).groupBy("user_pseudo_id").agg(week_start(F.min("event_date")).alias("cohort_week"))
+    return _starts(ev).groupBy("user_pseudo_id").agg(F.min(week_start("event_date")).alias("cohort_week"))
 
 
 def cohorts(ev: DataFrame) -> DataFrame:

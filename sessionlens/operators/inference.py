@@ -126,6 +126,7 @@ def mix_decomposition(
         "rate_a", "rate_b", "rate_b_at_a_mix", (F.col("rate_b") - F.col("rate_a")).alias("change_pp"),
         (F.col("rate_b_at_a_mix") - F.col("rate_a")).alias("within_pp"),
         (F.col("rate_b") - F.col("rate_b_at_a_mix")).alias("mix_pp"),
+        pct(F.col("rate_b") - F.col("rate_b_at_a_mix"), F.col("rate_b") - F.col("rate_a")).alias("mix_share_pct"),
     )
 
 
@@ -146,7 +147,9 @@ def channel_changes(
 
 
 def channels_fell(a: DataFrame, b: DataFrame, segment: str = "medium", **kw) -> DataFrame:
-    """How many of the sizeable segments fell (one row)."""
+    """How many of the sizeable segments fell, and the three largest of them (one row; at most 100 / min_share segments)."""
+    fallen = F.sort_array(F.collect_list(F.when(F.col("fell"), F.struct(-F.col("base_a"), F.col(segment).alias("name")))))
     return channel_changes(a, b, segment, **kw).agg(
-        F.count("*").alias("channels_n"), F.count_if("fell").alias("channels_fell")
+        F.count("*").alias("channels_n"), F.count_if("fell").alias("channels_fell"),
+        F.array_join(F.slice(fallen["name"], 1, 3), ", ").alias("examples"),
     )

@@ -79,7 +79,7 @@ def landing_diagnosis(
         .join(wanted, "page_path", "left_semi")
         .groupBy(null_safe_key("user_pseudo_id").alias("_u"), "session_id", "page_path")
         .agg(
-            week_start(F.min("event_date")).alias("week"),
+            F.min(week_start("event_date")).alias("week"),
             F.bool_or(F.col("event_name") == "view_item").alias("viewed"),
             F.bool_or(F.col("event_name") == "scroll").alias("scrolled"),
             F.bool_or(F.col("event_name") == "page_view").alias("paged"),

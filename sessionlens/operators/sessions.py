@@ -49,7 +49,7 @@ def _entry_aggs() -> list[Column]:
     """Landing page and first day of the session, over every event."""
     return [
         _earliest(F.col("page_path"), F.col("event_name") == "page_view").alias("landing_page"),
-        day(F.min("event_date")).alias("session_date"),
+        F.min(day("event_date")).alias("session_date"),
     ]
 
 

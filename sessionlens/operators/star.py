@@ -119,8 +119,8 @@ def stats_tests(
     )
     # One scan: each session enters the table of every test it belongs to.
     tables = F.array(
-        entry("device × purchase", "device_category", "purchased"),
-        entry("channel × saw a product (named channels)", "channel_group", "saw_product", named),
+        entry("device × purchase", "device_category", "purchased", F.col("device_category").isNotNull()),
+        entry("channel × saw a product (named channels)", "channel_group", "saw_product", F.coalesce(named, F.lit(False))),
         entry("new vs returning × purchase", "visitor_type", "purchased", known),
     )
     counted = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens.functions.exprs import page_path, param
-from sessionlens.model import EVENT_SCHEMA, EventWindow, parse_bytes
+from sessionlens.model import EVENT_SCHEMA, EventWindow
 
 PARTITION = "event_date_part"
 
@@ -61,6 +61,10 @@ def event_files(spark: SparkSession, path: str, window: EventWindow | None = Non
     return in_window(files, window) if window else files
 
 
+#: Bytes that one scan may read unless told otherwise.
+BUDGET = 5 * 10**9
+
+
 def date_range(files: DataFrame) -> DataFrame:
     """Earliest and latest export day and the number of daily partitions, from `event_files`."""
     return files.groupBy(PARTITION).agg(F.count("*")).agg(
@@ -70,9 +74,8 @@ def date_range(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_estimate(files: DataFrame, budget: int | str = "5GB") -> DataFrame:
+def scan_estimate(files: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Bytes and files a scan of the listed files could touch at most, against a budget."""
-    budget = budget if isinstance(budget, int) else parse_bytes(budget)
     total = F.coalesce(F.sum("length"), F.lit(0))
     return files.agg(
         total.alias("bytes"),
@@ -82,7 +85,7 @@ def scan_estimate(files: DataFrame, budget: int | str = "5GB") -> DataFrame:
     )
 
 
-def require_budget(files: DataFrame, budget: int | str = "5GB") -> int:
+def require_budget(files: DataFrame, budget: int = BUDGET) -> int:
     """Raise before any data is read when the listed files exceed the budget; else their bytes."""
     row = scan_estimate(files, budget).first()
     if not row["within_budget"]:
