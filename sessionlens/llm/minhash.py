@@ -2,8 +2,8 @@
 
 Two permutations give all coordinates of a signature: shingles are permuted once, and coordinate k is the smallest value of the
 second permutation shifted round by k. Documents that agree on a band are candidates. Equal shingle sets are collapsed
-first, and no bucket is turned into all its pairs: members are compared with their bucket's leader, then with its most
-central members, and only what is still apart in a shared bucket is compared member by member.
+first, and no bucket is turned into all its pairs: members are compared with their bucket's leader, then with a more central
+member; what is still apart in a shared bucket is compared only where it shares differences from what most members have.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sessionlens.llm.common import LOWER, WORD_BYTES, bounds, mix, pieces, signed, span_hashes, text_buffer, tokens, tuned, written
+from sessionlens.llm.common import LOWER, WORD_BYTES, bounds, mix, pieces, signed, span_hashes, text_buffer, tokens, tuned, unsigned, written
 from sessionlens.llm.components import components
 from sessionlens.llm.fingerprint import distinct
 
@@ -25,9 +25,10 @@ BANDS, ROWS = 32, 5
 #: One bit of each of the first coordinates; pairs agreeing on fewer are no candidates. At a similarity of 0.8 a pair agrees on 115 of
 #: 128 on average, and on fewer than SKETCH_LEAST with a chance below 1e-9.
 SKETCH_BITS, SKETCH_LEAST = 128, 92
-#: Rounds in which open buckets are compared with a central member before the rest is compared one by one.
-HUB_ROUNDS = 3
+#: Rounds in which open buckets are compared with a more central member.
+HUB_ROUNDS = 1
 
+ABOUT = ("n_shingles", "s1", "s2")
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"
 
 
@@ -144,20 +145,100 @@ def _likely(x: str, y: str, percent: int) -> Column:
     return (differ <= SKETCH_BITS - SKETCH_LEAST) & (small * 100 >= large * percent)
 
 
+# What hubs leave apart --------------------------------------------------------------------------------------------------
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial numbers of sets by group and shingle."""
+    for batch in batches:
+        groups = batch.column("g").to_numpy()
+        for g in np.unique(groups):
+            held = [np.frombuffer(batch.column("shingles")[int(i)].as_buffer(), np.uint64) for i in np.flatnonzero(groups == g)]
+            shingle, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g)), pa.array(signed(shingle)), pa.array(n.astype(np.int64))], ["g", "shingle", "n"])
+
+
+DIFFERENT = "g long, doc_id long, component long, weight long, differs array<long>"
+
+
+def _differences(percent: int):
+    """What each set lacks of its group's reference, and what it has besides; the weight says how far both take it off.
+
+    With H shingles in the reference, r lacking and a added, two sets share H - r - r' + x shingles, x being the differences they have in
+    common. So they are similar just where 2 (100 + percent) x is at least the sum of their weights 200 r + 2 percent a - (100 - percent) H.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights, differs = [], []
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column("shingles")[i].as_buffer(), np.uint64)
+                common = batch.column("reference")[i]
+                common = unsigned(common.values.to_numpy(zero_copy_only=False)) if common.is_valid else np.zeros(0, np.uint64)
+                lacking = np.setdiff1d(common, own, assume_unique=True)
+                added = np.setdiff1d(own, common, assume_unique=True)
+                weights.append(200 * len(lacking) + 2 * percent * len(added) - (100 - percent) * len(common))
+                differs.append(signed(np.concatenate([mix(lacking + np.uint64(1)), added])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("g"), batch.column("doc_id"), batch.column("component"), pa.array(weights, pa.int64()), pa.array(differs, pa.list_(pa.int64()))],
+                ["g", "doc_id", "component", "weight", "differs"],
+            )
+
+    return run
+
+
+def remaining(apart: DataFrame, full: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may connect the components left in open buckets; `apart` (key, doc_id, component), `full` the sets,
+    `about` sizes and sketches.
+
+    Buckets that share members make a group. The reference of a group holds what more than half of its sets have. A set whose weight and
+    the least weight of the group add up to no more than 0 is similar to that least one. Any other set can be similar only to one
+    that shares differences with it, at least as many as the weights ask for; both then share one among their rarest ones (the
+    prefix filter of set joins). Nothing is left out, and what all members have in common makes no pair.
+    """
+    least = apart.groupBy("key").agg(F.min("doc_id").alias("a"))
+    group = components(apart.join(least, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
+    sets_of = apart.select("doc_id", "component").distinct().join(group, "doc_id").join(full, "doc_id")
+    sets_of = written(sets_of.select("g", "doc_id", "component", "shingles"), "apart")
+    counts = sets_of.select("g", "shingles").mapInArrow(_counted, "g long, shingle long, n long").groupBy("g", "shingle").agg(F.sum("n").alias("n"))
+    size = sets_of.groupBy("g").agg(F.count("*").alias("size"))
+    reference = counts.join(size, "g").where("2 * n > size").groupBy("g").agg(F.collect_list("shingle").alias("reference"))  # twice a mean set at most
+    told = written(sets_of.join(reference, "g", "left").mapInArrow(_differences(percent), DIFFERENT), "differences")
+    best = told.groupBy("g").agg(F.min("weight").alias("best"), F.min_by("doc_id", F.struct("weight", "doc_id")).alias("center"))
+    told = told.join(best, "g").withColumn("far", F.col("weight") + F.col("best") > 0)
+    near = told.where("not far").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
+    nearest_far = told.where("far").groupBy("g").agg(F.min("weight").alias("least_far"))
+    asked = F.when(F.col("far"), F.col("weight") + F.col("best")).otherwise(F.col("weight") + F.col("least_far"))
+    prefix = F.size("differs") - F.greatest(F.lit(1), F.ceil(asked / (2 * (100 + percent)))) + 1
+    told = told.join(nearest_far, "g").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    row = told.select("g", "doc_id", "component", "weight", "far", "prefix", F.size("differs").alias("n"), F.xxhash64("differs").alias("row"), F.explode("differs").alias("difference"))
+    often = row.groupBy("g", "difference").agg(F.count("*").alias("often")).where("often > 1")  # what one set alone has joins nothing
+    alone = F.coalesce("often", F.lit(1))
+    by = Window.partitionBy("g", "doc_id", "row").orderBy(alone, "difference")
+    kept = row.join(often, ["g", "difference"], "left").withColumn("place", F.row_number().over(by)).where("place <= prefix and often is not null")
+    kept = kept.select("g", "difference", "doc_id", "component", "weight", "far", (F.col("n") - F.col("place") + 1).alias("left")).join(about, "doc_id")
+    kept = written(kept, "prefixes")
+    side = lambda s: kept.select("g", "difference", "far", F.struct("doc_id", "component", "weight", "left", *ABOUT).alias(s))
+    # the first difference that a pair shares must leave as many on both sides as the two weights ask for
+    enough = 2 * (100 + percent) * F.least("p.left", "q.left") >= F.col("p.weight") + F.col("q.weight")
+    pairs = side("p").where("far").drop("far").join(side("q").drop("far"), ["g", "difference"])
+    pairs = pairs.where((F.col("p.component") != F.col("q.component")) & enough & _likely("p", "q", percent))
+    return near.union(pairs.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")))
+
+
 def links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect all candidates of the similarity; `signed_docs` as made by sign(), `texts` (doc_id, text)."""
-    info = ["n_shingles", "s1", "s2"]
     reps = written(
-        signed_docs.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", *info, "bands").agg(F.min("doc_id").alias("doc_id")),
+        signed_docs.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", *ABOUT, "bands").agg(F.min("doc_id").alias("doc_id")),
         "representatives",
     )
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
     members = written(keyed.join(shared.select("key", "leader"), "key"), "members")  # of buckets with more than one
-    about = reps.select("doc_id", *info)
+    about = reps.select("doc_id", *ABOUT)
     active = members.select("doc_id").distinct()
     full = written(texts.join(active, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets(size), "doc_id long, shingles binary"), "sets")
-    node = lambda side: about.select(F.col("doc_id").alias(side), F.struct(*info).alias(f"{side}_"))
+    node = lambda side: about.select(F.col("doc_id").alias(side), F.struct(*ABOUT).alias(f"{side}_"))
 
     def compared(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -188,10 +269,7 @@ def links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int) ->
             at = marked.select("key", F.col("doc_id").alias("hub"), F.col("component").alias("own"))
             pairs = marked.join(hub.join(at, ["key", "hub"]), "key").where("component != own").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
         else:
-            side = lambda s: marked.join(about, "doc_id").select("key", F.struct("doc_id", "component", *info).alias(s))
-            apart = (F.col("p.component") < F.col("q.component")) & _likely("p", "q", percent)
-            pairs = side("p").join(side("q").withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & apart)
-            pairs = pairs.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
+            pairs = remaining(marked, full, about, percent)
         known = written(known.union(compared(pairs, known)), "pairs")
     return good(known)
 
