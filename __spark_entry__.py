@@ -223,7 +223,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "segment_spread": lambda s: inference.segment_spread(s.country_counts, "country"),
     "landing_pages": lambda s: landing.landing_pages(s.sessions, THRESHOLDS.landing_sessions),
     "weak_landing_pages": lambda s: landing.weak_landing_pages(s.landing, s.funnel),
-    "landing_diagnosis": lambda s: landing.landing_diagnosis(s.events, s.base, s.weak, broadcast_pages=True),
+    "landing_diagnosis": lambda s: landing.landing_diagnosis(s.events, s.base, s.weak),
     "tracking_gaps": lambda s: s.gaps,
     "landing_verdict": lambda s: landing.landing_verdict(
         s.diagnosis, s.gaps, s.funnel, min_sessions=THRESHOLDS.inside_sessions

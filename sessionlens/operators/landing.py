@@ -62,17 +62,14 @@ def weak_landing_pages(
     )
 
 
-def landing_diagnosis(
-    ev: DataFrame, base: DataFrame, pages: DataFrame, broadcast_pages: bool = False
-) -> DataFrame:
+def landing_diagnosis(ev: DataFrame, base: DataFrame, pages: DataFrame) -> DataFrame:
     """Sessions that viewed each page, by week and entry (landed on it, or reached it from inside).
 
     `base` is `session_base(ev)`, which knows every session's landing page and tag. Only hits on the
-    wanted pages are aggregated and matched to it. Set `broadcast_pages` only for a page list with a
-    bounded length, such as `weak_landing_pages`.
+    wanted pages are aggregated and matched to it. Whether the page list is sent to all tasks is left to
+    Spark's check of its size; a written list has one.
     """
     wanted = pages.select(F.col("landing_page").alias("page_path")).distinct()
-    wanted = F.broadcast(wanted) if broadcast_pages else wanted
     on_page = (
         ev.where(F.col("session_id").isNotNull() & F.col("page_path").isNotNull())
         .select(*SESSION, "page_path", "event_name", "event_date", "eng_msec")

@@ -157,7 +157,7 @@ class Study:
 
     @cached_property
     def diagnosis(self) -> DataFrame:
-        diag = landing.landing_diagnosis(self.events, self.base, self.weak, broadcast_pages=True)
+        diag = landing.landing_diagnosis(self.events, self.base, self.weak)
         return self._small(diag, "diagnosis")
 
     @cached_property

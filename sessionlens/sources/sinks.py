@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sessionlens.sources.staging import stage
+
 
 def write_star_schema(
     spark: SparkSession,
@@ -13,12 +15,15 @@ def write_star_schema(
     path: str,
     fmt: str = "parquet",
     run_info: dict[str, str] | None = None,
+    order: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """Write every table under `path`, then one run-info JSON row; returns (table, rows) counts.
 
-    Counts come from the written files, not from a second run of the plans.
+    Counts come from the written files, not from a second run of the plans. `order` names the columns that
+    each file of a table is sorted by, such as `operators.star.EXPORT_ORDER`.
     """
     for name, df in tables.items():
+        df = df.sortWithinPartitions(*order[name]) if order and name in order else df
         writer = df.write.mode("overwrite")
         writer = writer.option("header", True) if fmt == "csv" else writer
         writer.format(fmt).save(f"{path}/{name}")
@@ -82,8 +87,12 @@ def changed_rows(new: DataFrame, old: DataFrame, ignore: tuple[str, ...] = ()) -
 def publish_if_changed(
     new: DataFrame, path: str, ignore: tuple[str, ...] = ("generated_at",)
 ) -> bool:
-    """Overwrite the published parquet table only when more than its stamps changed."""
+    """Overwrite the published parquet table only when more than its stamps changed.
+
+    The new version is written aside first: its plan runs once, and what is published is what was compared.
+    """
     spark = new.sparkSession
+    new = stage(new, "publish")[0]
     try:
         old = spark.read.parquet(path)
     except Exception as exc:  # the first publication has nothing to compare with
