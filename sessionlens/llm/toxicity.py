@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.llm.common import (
-    TERM_BYTES, Members, bounds, held_out, pieces, signed, span_hashes, text_buffer, tokens, tuned, unsigned,
+    TERM_BYTES, Members, bounds, held_out, pieces, signed, span_hashes, text_buffer, tokens, tuned, unsigned, written,
 )
 from sessionlens.llm.fingerprint import distinct
 
@@ -28,7 +28,7 @@ LEAST_TEXTS = 3
 STRONG = 3.0
 STEPS = (-1.0, 0.5, 1.0, 2.0, STRONG, 4.0, 5.0)
 NEUTRAL = 1  # the bin of words without a known tie
-#: The field is fitted on so many sentences at most (a fixed-order sample by checksum), the calibration on so many documents.
+#: All is learned from so many labelled documents at most, and the field from so many of their sentences; both are chosen by checksum.
 #: Longer sentences are cut into chains of FIT_WORDS words for the fit (not for tagging).
 FIT_SENTENCES, FIT_WORDS, FIT_DOCUMENTS = 6_000, 100, 20_000
 PREDICT_AT, REJECT_AT, SPAN_AT = 0.3, 0.5, 0.5
@@ -329,7 +329,7 @@ def learn(labelled: DataFrame) -> Tagger:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [piece.column("toxic")], [*"abcde", "toxic"])
 
     fields = "a double, b double, c double, d double, e double"
-    sample = texts.mapInArrow(summaries, f"{fields}, toxic int").orderBy(F.xxhash64(*"abcde"), *"abcde").limit(FIT_DOCUMENTS).toArrow()
+    sample = texts.mapInArrow(summaries, f"{fields}, toxic int").limit(FIT_DOCUMENTS).toArrow()
     x = np.stack([sample.column(c).to_numpy() for c in "abcde"], 1)
     return Tagger(lexicon, weights, calibrate(x, sample.column("toxic").to_numpy().astype(float)))
 
@@ -397,10 +397,14 @@ def without_toxic(docs: DataFrame, tagger: Tagger) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows that are not held out; several labels of one document count as toxic if any is."""
-    y = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(y, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
+    """(doc_id, text, toxic) of at most `most` labelled documents that are not held out, chosen by a checksum of the id; several labels
+    of one document count as toxic if any is. So few ids are sent to all tasks, and the other texts stay where they are."""
+    y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+    y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(rows.join(F.broadcast(chosen), "doc_id"), "training")
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
