@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.llm.common import bounds, mix, pieces, signed, span_hashes, text_buffer, tuned
+from sessionlens.llm.common import bounds, mix, pieces, signed, span_hashes, text_buffer, tuned, written
 
 #: Units of a fingerprint, and how many neighbouring ones each selection is made from: repeated runs of RUN + WINDOW - 1 units
 #: are sure to be found. Matches are extended by WINDOW - 1 units each way, from where the next fingerprint goes on.
@@ -112,20 +112,30 @@ def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Stretches of units to delete: (doc_id, digest, stretches as packed pairs of first unit and end)."""
+    """Fingerprints that have stood before: (doc_id, digest, seen), each with the units beside the first place, and the unit that a
+    run must not reach back over: one that overlaps its own earlier copy would take that copy's units with it."""
     found = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(spots, SPOTS)
     place = F.struct("doc_id", "pos", "left", "right")
-    first = found.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, "fp").where(
-        (F.col("first.doc_id") < F.col("doc_id")) | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") < F.col("pos")))
+    first = found.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
+    first = written(first, "firsts")  # as a table, so that the join below can split a common fingerprint over tasks
+    own = F.col("first.doc_id") == F.col("doc_id")
+    later = found.select("fp", "size", "doc_id", "digest", "pos").join(first, "fp").where(
+        (F.col("first.doc_id") < F.col("doc_id")) | (own & (F.col("first.pos") < F.col("pos")))
     )
-    more = lambda side: ((F.col(side) == F.col(f"first.{side}")) & (F.col(side) != NOTHING)).cast("int")
-    # a run that overlaps its own earlier copy would take that copy's units with it: only the part behind it goes
-    begin = F.col("pos") - more("left")
-    begin = F.when(F.col("first.doc_id") == F.col("doc_id"), F.greatest(begin, F.col("first.pos") + F.col("size"))).otherwise(begin)
-    end = F.col("pos") + F.col("size") + more("right")
-    stretch = later.select("doc_id", "digest", begin.alias("begin"), end.alias("end")).where("begin < end")
-    return stretch.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("begin", "end")).alias("stretches"))
+    least = F.when(own, F.col("first.pos") + F.col("size")).otherwise(0).alias("least")
+    seen = F.struct("pos", "size", F.col("first.left").alias("left"), F.col("first.right").alias("right"), least)
+    return later.groupBy("doc_id", "digest").agg(F.collect_list(seen).alias("seen"))
+
+
+def _extended(u: Units, seen: list[dict], base: int, end: int) -> list[tuple[int, int]]:
+    """Units to delete for one document's fingerprints, matches extended both ways."""
+    out = []
+    for s in seen:
+        first, last = base + s["pos"], base + s["pos"] + s["size"]
+        before = first > base and s["left"] != NOTHING and int(signed(u.hashes[first - 1 : first])[0]) == s["left"]
+        after = last < end and s["right"] != NOTHING and int(signed(u.hashes[last : last + 1])[0]) == s["right"]
+        out.append((max(first - before, base + s["least"]), last + after))
+    return out
 
 
 def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_removed")) -> DataFrame:
@@ -150,11 +160,11 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_remove
             data, offsets = text_buffer(piece.column("text"))
             u = Units(data, offsets)
             gone = np.zeros(len(u.owner), bool)
-            marked = piece.column("stretches")
+            marked = piece.column("seen")
             for i in range(piece.num_rows):
                 if marked[i].is_valid:
-                    for s in marked[i].as_py():
-                        gone[u.edges[i] + s["begin"] : u.edges[i] + s["end"]] = True
+                    for begin, end in _extended(u, marked[i].as_py(), int(u.edges[i]), int(u.edges[i + 1])):
+                        gone[begin:end] = True
             texts = piece.column("text").to_pylist()
             removed = np.concatenate([[0], np.cumsum(gone)])
             n_removed = removed[u.edges[1:]] - removed[u.edges[:-1]]
@@ -169,7 +179,7 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_remove
                 ["text", "row", "n_units", "n_removed"],
             )
 
-    done = joined.select("text", "row", "stretches").mapInArrow(run, f"text string, row {row_type}, n_units long, n_removed long")
+    done = joined.select("text", "row", "seen").mapInArrow(run, f"text string, row {row_type}, n_units long, n_removed long")
     back = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in counts]
     return done.select(*back, F.col("n_units").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
