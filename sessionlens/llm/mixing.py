@@ -2,22 +2,26 @@
 
 Documents are counted into cells of source, language and topic; the cells' inclusion probabilities are raked until the expected
 tokens meet the targets of all three marginals, and documents are sampled by their cell's probability. DataFrame functions only.
+The registered query is held to its SQL, which rakes a fixed number of rounds towards targets that a value may not hold (`rake`).
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionlens.llm.common import written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Where no targets are given, shares of tokens are flattened by these powers.
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-#: Part of all tokens to keep, and rounds of raking.
+#: Part of all tokens to keep, and rounds of raking in the query's SQL.
 BUDGET = 0.5
 ROUNDS = 12
+#: Targets are met when no value is off by more than this part of what it should get; so many rounds are tried at most.
+TOLERANCE, MOST_ROUNDS = 1e-4, 100
 NONE = "(none)"
 #: Digits of the sampling hash, a number below 16 ** HASH_DIGITS.
 HASH_DIGITS = 12
@@ -77,9 +81,69 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return now
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def attainable(cells: DataFrame, dimension: str, shares: Mapping[str, float] | None, budget: float) -> DataFrame:
+    """(value, want) of a dimension: tokens by share, at most what a value holds; what is over goes to the others by their shares."""
+    by = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("have"))
+    if shares:
+        share = F.coalesce(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("value")].cast("double"), F.lit(0.0))
+    else:
+        share = F.pow("have", F.lit(FLATTEN[dimension]))
+    by = written(by.withColumn("share", F.when(F.col("have") > 0, share).otherwise(0.0)), f"shares-{dimension}")
+    level, full = 0.0, F.col("have") <= F.col("share") * F.lit(0.0)
+    while True:  # the level only rises, and each turn but the last fills a value
+        total, held, left = by.agg(F.sum("have"), F.sum(F.when(full, F.col("have"))), F.sum(F.when(~full, F.col("share")))).first()
+        if not left:  # every value with a share is full
+            return by.select("value", F.when(F.col("share") > 0, F.col("have")).otherwise(0.0).alias("want"))
+        rises = (total * budget - (held or 0.0)) / left
+        if rises <= level:
+            return by.select("value", F.least(F.col("have"), F.col("share") * level).alias("want"))
+        level, full = rises, F.col("have") <= F.col("share") * rises
+
+
+def meet(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET,
+         tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> tuple[DataFrame, list]:
+    """`cells` (source, lang, topic, tokens) with the probability of each cell, and what was missed: rows (dimension, value, want, got).
+
+    A cell's probability is its weight cut at 1. A round takes the dimensions in turn and scales the weights of each value by the
+    factor with which its cut probabilities give exactly what it should get, so the cut loses nothing. Rounds go on until all
+    values are met; targets that no probabilities meet together end after `most` rounds. Cells without tokens keep the budget as probability.
+    """
+    now = cells.withColumn("weight", F.lit(float(budget)))
+    for d in DIMENSIONS:
+        want = written(attainable(cells, d, (targets or {}).get(d), budget), f"targets-{d}")
+        now = now.join(want.select(F.col("value").alias(d), F.col("want").alias(f"want_{d}")), d)
+    now = written(now, "cells")
+    counted, missed = F.col("tokens") > 0, []
+    got = F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight")))
+    for _ in range(most):
+        for d in DIMENSIONS:
+            # cells before this one cut at 1, the others scaled: the largest of these factors is the one that fits
+            order = [F.when(counted, F.col("weight")).otherwise(-1.0), *[F.col(x) for x in DIMENSIONS if x != d]]
+            above = Window.partitionBy(d).orderBy(*[o.desc() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+            below = Window.partitionBy(d).orderBy(*[o.asc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+            now = now.withColumns({
+                "cut": F.coalesce(F.sum("tokens").over(above), F.lit(0)),
+                "scaled": F.sum(F.col("tokens") * F.col("weight")).over(below),
+            })
+            factor = F.when(F.col("scaled") > 0, (F.col(f"want_{d}") - F.col("cut")) / F.col("scaled"))
+            factor = F.max(factor).over(Window.partitionBy(d))
+            now = now.withColumn("weight", F.when(counted, F.col("weight") * F.coalesce(factor, F.lit(1.0))).otherwise(F.col("weight")))
+        now = written(now.drop("cut", "scaled"), "cells")
+        sums = [now.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.max(f"want_{d}").alias("want"), got.alias("got")) for d in DIMENSIONS]
+        off = F.abs(F.col("got") - F.col("want")) > tolerance * F.greatest(F.col("want"), F.lit(1.0))
+        sums = sums[0].unionByName(sums[1]).unionByName(sums[2])
+        missed = sums.where(off).orderBy(F.abs(F.col("got") - F.col("want")).desc(), "dimension", "value").limit(20).collect()
+        if not missed:
+            break
+    return now.select(*cells.columns, F.least(F.lit(1.0), F.col("weight")).alias("probability")), missed
+
+
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, rounds: int | None = None) -> DataFrame:
     """`docs` with (topic, n_tokens, probability, sampled) beside their columns (of those names the new ones stand).
 
+    Targets are met as `meet` has it, with a warning that lists the values (20 at most) that could not be; with `rounds`, that many
+    rounds of `rake` are made instead.
+
     Null sources and languages are a value of their own, null and empty texts have no token and count in cells without weight. The
     draw is fixed by doc_id, so equal ids are kept or dropped together where their cells agree. An empty table gives an empty one.
     """
@@ -87,7 +151,14 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     told = plain.withColumn("n_tokens", n_tokens()).withColumn("topic", topic())
     value = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in DIMENSIONS}
     cells = told.groupBy(*[value[d].alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens"))
-    raked = rake(written(cells, "cells"), targets, budget, rounds)
+    cells = written(cells, "cells")
+    if rounds is None:
+        raked, missed = meet(cells, targets, budget)
+        if missed:
+            told_of = "; ".join(f"{r['dimension']} {r['value']}: {r['got']:.0f} of {r['want']:.0f}" for r in missed)
+            warnings.warn(f"mixing targets not met, in expected tokens: {told_of}", stacklevel=2)
+    else:
+        raked = rake(cells, targets, budget, rounds)
     names = {d: f"__cell_{d}" for d in DIMENSIONS}
     raked = raked.select(*[F.col(d).alias(n) for d, n in names.items()], F.col("probability"))
     at = [value[d] == F.col(n) for d, n in names.items()]
@@ -96,9 +167,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:
-    """The query: all documents with their cell's probability, rounded, and whether they are in the sample."""
+    """The query: all documents with their cell's probability, rounded, and whether they are in the sample, as its SQL has them."""
     value = [F.coalesce(F.col(d), F.lit(NONE)).alias(d) for d in ("source", "lang")]
-    return mix(docs).select("doc_id", *value, "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
+    return mix(docs, rounds=ROUNDS).select("doc_id", *value, "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
 def oracle() -> str:

@@ -285,3 +285,28 @@ def test_raking_meets_the_targets(spark):
     for r in out:
         kept[r["source"]] += r["tokens"] * r["probability"]
     assert kept["a"] == pytest.approx(0.15 * 2600, rel=1e-3) and kept["b"] == pytest.approx(0.15 * 2600, rel=1e-3)
+
+
+def test_mixing_meets_the_default_targets(spark, docs):
+    out = mixing.mix(docs).select("topic", "source", "lang", "n_tokens", "probability").toPandas()
+    out["kept"] = out.n_tokens * out.probability
+    total = out.n_tokens.sum()
+    assert out.kept.sum() == pytest.approx(mixing.BUDGET * total, rel=1e-3)
+    for d in mixing.DIMENSIONS:
+        have = out.fillna({d: mixing.NONE}).groupby(d).n_tokens.sum().astype(float)
+        share, want, open_ = have ** mixing.FLATTEN[d], have * 0, have > 0
+        while True:  # values that cannot hold their part are filled, the others share what is left
+            want = have.where(~open_, (mixing.BUDGET * total - have[~open_].sum()) * share / share[open_].sum())
+            if not (want > have + 1e-6).any():
+                break
+            open_ &= want <= have
+        got = out.fillna({d: mixing.NONE}).groupby(d).kept.sum()
+        assert got.to_numpy() == pytest.approx(want.to_numpy(), rel=1e-3), d
+
+
+def test_mixing_reports_what_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 100), ("b", "y", "p", 100)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}
+    met, missed = mixing.meet(cells, targets, budget=0.5, most=3)
+    assert {r["dimension"] for r in missed} & {"source", "lang"}
+    assert all(0 <= r["probability"] <= 1 for r in met.collect())
