@@ -31,7 +31,7 @@ NEUTRAL = 1  # the bin of words without a known tie
 #: All is learned from so many labelled documents at most, and the field from so many of their sentences; both are chosen by checksum.
 #: Longer sentences are cut into chains of FIT_WORDS words for the fit (not for tagging).
 FIT_SENTENCES, FIT_WORDS, FIT_DOCUMENTS = 6_000, 100, 20_000
-PREDICT_AT, REJECT_AT, SPAN_AT = 0.3, 0.5, 0.5
+PREDICT_AT, SPAN_AT = 0.3, 0.5
 FLUSH = 2_000_000
 
 OUT = "doc_id long, score double, predicted int, n_tokens long, n_spans int, spans string"
@@ -382,7 +382,7 @@ def tag_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """The rows of `docs` (any columns, with text) that are not rejected: a score of REJECT_AT or more with an offending span."""
+    """The rows of `docs` (any columns, with text) that `tag_documents` does not predict to be toxic."""
     spark = tuned(docs.sparkSession)
     shared = spark.sparkContext.broadcast(tagger)
 
@@ -391,8 +391,7 @@ def without_toxic(docs: DataFrame, tagger: Tagger) -> DataFrame:
             w = words(piece.column("text"))
             chance = shared.value.tag(w)
             score = shared.value.score(aggregates(chance, w.owner, piece.num_rows))
-            spans = np.bincount(w.owner[chance >= SPAN_AT], minlength=piece.num_rows)
-            yield piece.filter(pa.array((score < REJECT_AT) | (spans == 0)))
+            yield piece.filter(pa.array(score < PREDICT_AT))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -278,6 +278,20 @@ def test_any_markup_keeps_its_words(parts):
     assert html.visible_text("".join(parts)).count("word") == parts.count("word ")
 
 
+def test_what_is_predicted_toxic_does_not_survive(spark):
+    words = ["calm", "green", "river", "stone", "walks", "quiet", "paper", "window"]
+    rows = [(i, " ".join(words[(i + k) % 8] for k in range(12)) + (" zorgle." if i % 5 == 0 else ".")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    tagger = toxicity.learn(toxicity.training_rows(docs, marks))
+    # first as learned, then with all scores at 0.4, between the thresholds, and no word marked
+    for scale in (tagger.scale, np.array([np.log(0.4 / 0.6), 0, 0, 0, 0])):
+        shown = toxicity.Tagger(tagger.lexicon, tagger.weights, scale)
+        clean = {r["doc_id"] for r in toxicity.tag_documents(docs, shown).where("predicted = 0").collect()}
+        assert {r["doc_id"] for r in toxicity.without_toxic(docs, shown).collect()} == clean
+        assert scale is tagger.scale or not clean
+
+
 def test_raking_meets_the_targets(spark):
     cells = [(s, g, t, int(n)) for (s, g, t), n in zip(((s, g, t) for s in "ab" for g in "xy" for t in "pq"), (900, 300, 200, 100, 400, 300, 250, 150))]
     out = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), {"source": {"a": 0.5, "b": 0.5}}, budget=0.3, rounds=30).collect()
