@@ -7,6 +7,7 @@ spacing, list markers and aligned table cells. Pages are independent: Spark deal
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,7 +20,18 @@ from sessionlens.llm.common import pieces, tuned
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
-NEVER_SHOWN = frozenset("head script style title template noscript iframe noembed noframes datalist rp area base link meta param audio video canvas object svg math".split())
+NEVER_SHOWN = frozenset("head script style title template noscript iframe noembed noframes datalist rp area base link meta param audio video canvas object".split())
+#: Not shown within drawings and formulas; what is drawn by reference only; and elements whose parts stand apart.
+FOREIGN = frozenset("svg math".split())
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient annotation annotation-xml".split())
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr".split())
+#: Starting one of these ends an open drawing or formula.
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Most columns of a cell in the standard.
+WIDEST_SPAN = 1000
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 #: Block elements; those in SPACED stand between blank lines.
 BLOCK = frozenset(
@@ -47,24 +59,23 @@ IMPLIED = {
 #: An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
 INDENT = "  "
-#: Cells are padded up to this width, so that one long cell does not widen every row.
-WIDEST = 40
 #: Tables within so many tables are laid out as blocks.
 DEEPEST = 20
 
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_EMPTY = re.compile(r"""(?:^|[\s"']|(?:^|\s)[^\s=/"'>]+)/$""")  # a tag that ends itself; the slash of an unquoted value is its own
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 OUT = "page_id long, text string, n_chars long, n_lines long"
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: str = "", foreign: bool = False):
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
 
     def get(self) -> dict[str, str]:
         found: dict[str, str] = {}
@@ -119,7 +130,7 @@ def parse(page: str) -> Node:
             _close(stack, tag)
             continue
         _open(stack, tag, attributes)
-        if tag in RAW and tag not in VOID:
+        if tag in RAW and stack[-1].tag == tag:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
             inside = page[at : found.start()] if found else page[at:]
             stack[-1].children.append(unescape(inside) if tag in ("textarea", "title") else inside)
@@ -141,6 +152,16 @@ def _close(stack: list[Node], tag: str) -> None:
 
 
 def _open(stack: list[Node], tag: str, attributes: str) -> None:
+    inner = stack[-1]
+    if inner.foreign and inner.tag not in ("foreignobject", "annotation-xml"):
+        if tag not in ENDS_FOREIGN:
+            node = Node(tag, attributes, True)
+            inner.children.append(node)
+            if not _EMPTY.search(attributes):
+                stack.append(node)
+            return
+        while stack[-1].foreign and stack[-1].tag not in ("foreignobject", "annotation-xml"):
+            stack.pop()
     if tag == "html":
         stack[0].attributes = stack[0].attributes or attributes
         return
@@ -169,9 +190,9 @@ def _open(stack: list[Node], tag: str, attributes: str) -> None:
                 stack.pop()
     if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
         _push(stack, Node("tr"))
-    node = Node(tag, attributes)
+    node = Node(tag, attributes, tag in FOREIGN)
     stack[-1].children.append(node)
-    if tag not in VOID:
+    if tag not in VOID and not (node.foreign and _EMPTY.search(attributes)):
         stack.append(node)
 
 
@@ -182,11 +203,17 @@ def _push(stack: list[Node], node: Node) -> None:
 
 def _display(node: Node, visible: bool) -> tuple[bool, bool]:
     """Whether a node is laid out, and whether its text can be seen (its children may be visible again)."""
-    if node.tag in NEVER_SHOWN:
+    if node.tag in NEVER_SHOWN or (node.foreign and node.tag in UNDRAWN):
         return False, False
+    visible = visible and not (node.foreign and node.tag == "mphantom")
     if not node.attributes:
         return node.tag != "dialog", visible
     attributes = node.get()
+    if node.foreign:  # drawings have these as attributes too
+        if attributes.get("display", "").lower() == "none":
+            return False, False
+        if "visibility" in attributes:
+            visible = attributes["visibility"].lower() not in ("hidden", "collapse")
     if "hidden" in attributes or (node.tag == "dialog" and "open" not in attributes):
         return False, False
     style = attributes.get("style", "").lower()
@@ -251,6 +278,10 @@ def render(root: Node, depth: int = 0, visible: bool = True) -> list[str]:
         kind, node, seen, pre = work.pop()
         if kind == "end":
             tag = node.tag
+            if node.foreign:
+                if tag in ("text", "mtr"):
+                    page.line()
+                continue
             if tag in LISTS:
                 numbers.pop()
                 page.line()
@@ -281,6 +312,15 @@ def render(root: Node, depth: int = 0, visible: bool = True) -> list[str]:
         if not shown:
             continue
         tag = node.tag
+        if node.foreign:
+            if tag in ("text", "mtr"):  # a label of a drawing, a row of a formula
+                page.line()
+            work.append(("end", node, seen, pre))
+            for c in reversed(node.children):
+                work.append(("node", c, seen, pre))
+                if tag in APART and isinstance(c, Node):
+                    work.append(("node", " ", seen, False))
+            continue
         if tag == "br":
             page.line(force=bool(page.lines or page.run))
             continue
@@ -327,10 +367,11 @@ def render(root: Node, depth: int = 0, visible: bool = True) -> list[str]:
 
 def table_lines(table: Node, depth: int, visible: bool) -> list[str]:
     """A table's caption, then its rows with the cells of a column aligned; a cell's lines are joined, loose text stands first."""
-    captions, loose, rows = [], [], []
-    work = [(c, visible) for c in reversed(table.children)]
+    captions, loose, rows = [], [], []  # of a row: its group, and (text, columns, rows) of its cells
+    work = [(c, visible, 0) for c in reversed(table.children)]
+    groups = 0
     while work:
-        node, seen = work.pop()
+        node, seen, group = work.pop()
         if isinstance(node, str):
             if node.strip() and seen:
                 loose.append(_SPACE.sub(" ", node).strip())
@@ -350,22 +391,61 @@ def table_lines(table: Node, depth: int, visible: bool) -> list[str]:
                 ok, cell_seen = _display(c, inner)
                 if not ok:
                     continue
-                span = c.get().get("colspan", "1")
-                cells.append(" ".join(" ".join(x.split()) for x in _cell(c, depth, cell_seen) if x))
-                cells += [""] * (min(int(span), 100) - 1 if span.isdecimal() and len(span) < 5 and int(span) > 0 else 0)
-            rows.append(cells)
+                text = " ".join(" ".join(x.split()) for x in _cell(c, depth, cell_seen) if x)
+                cells.append((text, min(_span(c, "colspan") or 1, WIDEST_SPAN), _span(c, "rowspan")))
+            rows.append((group, cells))
         else:
-            work.extend((c, inner) for c in reversed(node.children))
-    widths: list[int] = []
-    for cells in rows:
-        for k, cell in enumerate(cells):
-            if k == len(widths):
-                widths.append(0)
-            widths[k] = max(widths[k], min(len(cell), WIDEST))
-    body = ["  ".join(cell.ljust(widths[k]) for k, cell in enumerate(cells)).rstrip() for cells in rows if any(cells)]
+            groups += 1
+            work.extend((c, inner, groups) for c in reversed(node.children))
+    placed = _grid(rows)
+    widths: dict[int, int] = {}
+    for cells in placed:
+        for column, text, span in cells:
+            widths[column] = max(widths.get(column, 0), len(text) if span == 1 else 0)
+    columns = sorted(widths)
+    # what a cell over several columns needs beyond them widens the last
+    for column, text, span in sorted((c for cells in placed for c in cells if c[2] > 1), key=lambda c: c[2]):
+        mine = columns[bisect_left(columns, column) : bisect_left(columns, column + span)]
+        widths[mine[-1]] += max(0, len(text) - sum(widths[c] for c in mine) - 2 * (len(mine) - 1))
+    begins, at = {}, 0
+    for c in columns:
+        begins[c] = at
+        at += widths[c] + 2
+    body = []
+    for cells in placed:
+        line = ""
+        for column, text, _ in cells:
+            line = line.ljust(begins[column]) + text if text else line
+        if line:
+            body.append(line)
     return captions + loose + body
 
 
+def _span(node: Node, name: str) -> int:
+    """A cell's number of columns or rows: 1 where none is told, 0 for all rows left."""
+    told = node.get().get(name, "1").strip()
+    return min(int(told), 65534) if told.isdecimal() and len(told) < 10 else 1
+
+
+def _grid(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[list[tuple[int, str, int]]]:
+    """By row, (column, text, columns) of its cells: they take the columns that no cell from above reaches into; groups end cells."""
+    out, reach, last = [], {}, None  # reach: rows that a column is still taken for, -1 up to the group's end
+    for group, cells in rows:
+        if group != last:
+            reach, last = {}, group
+        column, mine, taken = 0, [], {}
+        for text, span, down in cells:
+            while column in reach:
+                column += 1
+            mine.append((column, text, span))
+            if down != 1:
+                taken.update((column + k, down - 1) for k in range(span))
+            column += span
+        reach = {c: n - 1 for c, n in reach.items() if n != 1} | taken
+        out.append(mine)
+    return out
+
+
 def _cell(node: Node, depth: int, visible: bool) -> list[str]:
     inside = Node("div")
     inside.children = node.children

@@ -278,6 +278,21 @@ def test_any_markup_keeps_its_words(parts):
     assert html.visible_text("".join(parts)).count("word") == parts.count("word ")
 
 
+def test_drawings_and_formulas_are_shown():
+    page = "<p>a <svg viewBox='0 0 1 1'><title/><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>North</text><text>South</text></svg><p>b <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> c"
+    assert html.visible_text(page).split() == ["a", "North", "South", "b", "x=", "1", "2", "c"]
+    assert html.visible_text("<svg><defs><p>out</p>after") == "out\n\nafter"
+
+
+def test_cells_stand_under_their_column():
+    page = "<table><tr><th>k<th>v<th>w<tr><td rowspan=2>a<td>1<td>2<tr><td>3<td>4<tr><td colspan=2>wide<td>5</table>"
+    assert html.visible_text(page) == "k     v  w\na     1  2\n      3  4\nwide     5".replace("k     ", "k  ").replace("a     ", "a  ").replace("      3", "   3").replace("wide     5", "wide  5")
+    long = "x" * 60
+    assert html.visible_text(f"<table><tr><td>{long}<td>1<tr><td>y<td>2</table>") == f"{long}  1\n{'y':60}  2"
+    assert html.visible_text("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>") == "a  b\n   c\nd"
+    assert html.visible_text("<table><tr><td colspan=300>a<td>b<tr><td>c</table>") == "a  b\nc"
+
+
 def test_what_is_predicted_toxic_does_not_survive(spark):
     words = ["calm", "green", "river", "stone", "walks", "quiet", "paper", "window"]
     rows = [(i, " ".join(words[(i + k) % 8] for k in range(12)) + (" zorgle." if i % 5 == 0 else ".")) for i in range(200)]
