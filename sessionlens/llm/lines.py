@@ -1,9 +1,9 @@
-"""Operator 7: deletion of repeated line runs by winnowing.
+"""Operator 7: deletion of repeated line runs by fingerprints.
 
-The units are lines, and the sentences within longer ones. Each document is winnowed: of every two neighbouring runs of three
-units the one with the smaller hash is a fingerprint, so that any repeated run of four units shares one wherever it stands;
-a long unit is a fingerprint by itself. Fingerprints are joined with the first place they stand at, matches are extended
-both ways, and what has stood before is deleted.
+The units are lines, and the sentences within longer ones. Every run of three units is a fingerprint, and so are a long unit and the
+two pairs it makes with its neighbours. Each is joined with the first place it stands at, and what has stood before is deleted: a
+repeated run of three units or more, or of two with a long one, goes as a whole, whichever earlier places its parts have. Units
+are compared whole: of a passage that begins or ends within a sentence, those sentences stay.
 """
 
 from __future__ import annotations
@@ -16,15 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.llm.common import bounds, mix, pieces, signed, span_hashes, text_buffer, tuned, written
 
-#: Units of a fingerprint, and how many neighbouring ones each selection is made from: repeated runs of RUN + WINDOW - 1 units
-#: are sure to be found. Matches are extended by WINDOW - 1 units each way, from where the next fingerprint goes on.
-RUN, WINDOW = 3, 2
+#: Units of a run that is a fingerprint.
+RUN = 3
 #: A unit of so many words is a fingerprint by itself; a passage of over 50 words in four units or fewer has one.
 LONG = 13
 
-SPOTS = "fp long, size int, doc_id long, digest int, pos int, left long, right long"
-#: Hash of the unit beyond either end of a text: equal to no unit's, so that extension stops there.
-NOTHING = 0
+SPOTS = "fp long, size int, doc_id long, digest int, pos int"
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -57,41 +54,23 @@ class Units:
         self.edges = bounds(self.owner, len(offsets) - 1)
 
 
-def _neighbour(u: Units, at: np.ndarray, by: int) -> np.ndarray:
-    """Hashes of the units `by` places off, NOTHING beyond the text."""
-    to = at + by
-    inside = (to >= 0) & (to < len(u.owner))
-    inside[inside] &= u.owner[to[inside]] == u.owner[at[inside]]
-    out = np.full(len(at), np.uint64(NOTHING))
-    out[inside] = u.hashes[to[inside]]
-    return out
-
-
 def fingerprints(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Selected fingerprints: hash, number of units, and first unit."""
+    """Fingerprints: hash, number of units, and first unit."""
     n = len(u.owner)
-    runs = np.zeros(0, np.int64)
-    chosen = runs
-    grams = np.zeros(0, np.uint64)
-    if n >= RUN:
-        grams = np.zeros(n - RUN + 1, np.uint64)
-        for k in range(RUN):
-            grams = mix(grams * np.uint64(3) + u.hashes[k : n - RUN + 1 + k])
-        whole = u.owner[: n - RUN + 1] == u.owner[RUN - 1 :]
-        pair = whole[:-1] & whole[1:]
-        take = np.zeros(len(grams), bool)
-        np.logical_or(take[:-1], pair & (grams[:-1] <= grams[1:]), out=take[:-1])
-        np.logical_or(take[1:], pair & (grams[1:] <= grams[:-1]), out=take[1:])
-        alone = whole.copy()  # texts with a single run
-        alone[:-1] &= ~pair
-        alone[1:] &= ~pair
-        chosen = np.flatnonzero(take | alone)
-    long = np.flatnonzero(u.words >= LONG)
-    return (
-        np.concatenate([grams[chosen], mix(u.hashes[long] + np.uint64(0x5851F42D4C957F2D))]),
-        np.concatenate([np.full(len(chosen), RUN), np.ones(len(long), int)]),
-        np.concatenate([chosen, long]),
-    )
+    out = []
+    long = u.words >= LONG
+    for size in (1, 2, RUN):
+        if n < size:
+            continue
+        grams = np.full(n - size + 1, np.uint64(size) * np.uint64(0x5851F42D4C957F2D))
+        some = np.zeros(n - size + 1, bool)
+        for k in range(size):
+            grams = mix(grams * np.uint64(3) + u.hashes[k : n - size + 1 + k])
+            some |= long[k : n - size + 1 + k]
+        at = np.flatnonzero((u.owner[: n - size + 1] == u.owner[size - 1 :]) & (some | (size == RUN)))
+        out.append((grams[at], np.full(len(at), size), at))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(none, *out))
 
 
 def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +84,16 @@ def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(piece.column("doc_id").to_numpy(zero_copy_only=False)[owner].astype(np.int64)),
                 pa.array(piece.column("digest").to_numpy(zero_copy_only=False)[owner].astype(np.int32)),
                 pa.array((at - u.edges[owner]).astype(np.int32)),
-                pa.array(signed(_neighbour(u, at, -1))), pa.array(signed(_neighbour(u, at + size - 1, 1))),
             ],
             [x.split()[0] for x in SPOTS.split(", ")],
         )
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Fingerprints that have stood before: (doc_id, digest, seen), each with the units beside the first place, and the unit that a
-    run must not reach back over: one that overlaps its own earlier copy would take that copy's units with it."""
+    """Fingerprints that have stood before: (doc_id, digest, seen), each with the unit that a run must not reach back over: one
+    that overlaps its own earlier copy would take that copy's units with it."""
     found = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(spots, SPOTS)
-    place = F.struct("doc_id", "pos", "left", "right")
+    place = F.struct("doc_id", "pos")
     first = found.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
     first = written(first, "firsts")  # as a table, so that the join below can split a common fingerprint over tasks
     own = F.col("first.doc_id") == F.col("doc_id")
@@ -123,21 +101,10 @@ def repeats(docs: DataFrame) -> DataFrame:
         (F.col("first.doc_id") < F.col("doc_id")) | (own & (F.col("first.pos") < F.col("pos")))
     )
     least = F.when(own, F.col("first.pos") + F.col("size")).otherwise(0).alias("least")
-    seen = F.struct("pos", "size", F.col("first.left").alias("left"), F.col("first.right").alias("right"), least)
+    seen = F.struct("pos", "size", least)
     return later.groupBy("doc_id", "digest").agg(F.collect_list(seen).alias("seen"))
 
 
-def _extended(u: Units, seen: list[dict], base: int, end: int) -> list[tuple[int, int]]:
-    """Units to delete for one document's fingerprints, matches extended both ways."""
-    out = []
-    for s in seen:
-        first, last = base + s["pos"], base + s["pos"] + s["size"]
-        before = first > base and s["left"] != NOTHING and int(signed(u.hashes[first - 1 : first])[0]) == s["left"]
-        after = last < end and s["right"] != NOTHING and int(signed(u.hashes[last : last + 1])[0]) == s["right"]
-        out.append((max(first - before, base + s["least"]), last + after))
-    return out
-
-
 def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_removed")) -> DataFrame:
     """`docs` with repeated stretches taken out of `text`, and two more columns: units, and units removed.
 
@@ -163,8 +130,9 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_remove
             marked = piece.column("seen")
             for i in range(piece.num_rows):
                 if marked[i].is_valid:
-                    for begin, end in _extended(u, marked[i].as_py(), int(u.edges[i]), int(u.edges[i + 1])):
-                        gone[begin:end] = True
+                    base = int(u.edges[i])
+                    for x in marked[i].as_py():
+                        gone[base + max(x["pos"], x["least"]) : base + x["pos"] + x["size"]] = True
             texts = piece.column("text").to_pylist()
             removed = np.concatenate([[0], np.cumsum(gone)])
             n_removed = removed[u.edges[1:]] - removed[u.edges[:-1]]

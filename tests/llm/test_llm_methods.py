@@ -136,6 +136,21 @@ def test_a_cloud_of_edits_keeps_all_its_links(spark):
 # lines
 
 
+def test_runs_go_whole_whichever_earlier_places_their_parts_have(spark):
+    filler = " ".join(["many"] * lines.LONG)
+    rows, gone = [], {}
+    for k in range(30):  # by the hashes, other runs were selected for other k
+        s1, s2, s3, s4, b, c, d = (f"{x}{k} short." for x in "efghuvw")
+        long = f"l{k} {filler}."
+        rows += [
+            (10 * k, "\n".join([f"x{k}.", s2, long, s3, f"y{k}."])), (10 * k + 1, "\n".join([s1, s2, long, s3, s4])), (10 * k + 2, "\n".join([s1, s2, long, s3, s4])),
+            (10 * k + 3, "\n".join([f"p{k}.", b, c, f"m{k}.", f"q{k}."])), (10 * k + 4, "\n".join([b, c, f"m{k}."])), (10 * k + 5, "\n".join([d, long])), (10 * k + 6, "\n".join([d, long])),
+        ]
+        gone |= {10 * k: 0, 10 * k + 1: 3, 10 * k + 2: 5, 10 * k + 3: 0, 10 * k + 4: 3, 10 * k + 5: 1, 10 * k + 6: 2}
+    found = lines.op7_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == gone
+
+
 def test_line_runs_are_found_and_nothing_else_goes(docs, texts):
     rows = {r["doc_id"]: r for r in lines.op7_lines(docs).collect()}
     three, four, long = set(), set(), set()
