@@ -31,7 +31,6 @@ AROUND = 60
 #: stands with, where other kinds count in full and identifiers not known yet in part.
 LEAST_SUPPORT, LEAST_PATTERN, UNKNOWN = 3.0, 0.6, 0.25
 LEAST_CONFIDENCE = 0.7
-ROUNDS = 3
 
 
 def _sql(text: str) -> str:
@@ -109,16 +108,17 @@ def _mentions() -> Column:
     return F.transform(F.concat(seeds, free), around)
 
 
-def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(mentions: DataFrame) -> DataFrame:
     """(instance, kind, confidence) of identifiers found by the patterns that `mentions` (kind, instance, patterns) induce.
 
-    Seeds have a confidence of 1. Patterns and identifiers are scored in turn, each from a written table of the other.
+    Seeds have a confidence of 1. Patterns and identifiers are scored in turn, each from a written table of the other, until a round
+    finds no identifier and accepts none that no round before has.
     """
     edges = written(mentions.select("instance", F.explode("patterns").alias("pattern")).distinct(), "edges")
     seeds = written(mentions.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("confidence")).distinct(), "seeds")
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    known, found = seeds, None
-    for _ in range(rounds):
+    known, ever = seeds, None
+    while True:
         support = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("support"))
         weight = support.groupBy("pattern").agg(F.sum("support").alias("weight"))
         scored = support.where(F.col("support") >= LEAST_SUPPORT).join(weight, "pattern").join(size, "pattern")
@@ -129,7 +129,13 @@ def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         best = by.groupBy("instance").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
         found = written(best.join(seeds.select("instance").distinct(), "instance", "left_anti"), "found")
         known = seeds.unionByName(found)
-    return found.where(F.col("confidence") >= LEAST_CONFIDENCE)
+        now = found.select("instance", "kind", (F.col("confidence") >= LEAST_CONFIDENCE).alias("accepted"))
+        new = now if ever is None else now.join(ever, ["instance", "kind", "accepted"], "left_anti")
+        # identifiers only enter `ever`, of which there are finitely many, so the rounds end
+        new = written(new, "new")
+        if new.isEmpty():
+            return found.where(F.col("confidence") >= LEAST_CONFIDENCE)
+        ever = new if ever is None else ever.unionByName(new)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

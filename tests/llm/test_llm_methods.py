@@ -293,6 +293,15 @@ def test_any_markup_keeps_its_words(parts):
     assert html.visible_text("".join(parts)).count("word") == parts.count("word ")
 
 
+def test_patterns_are_followed_to_the_last_link(spark):
+    links = 7
+    rows = [(f"seed{k}@x.example", "email", ["p0"]) for k in range(40)]
+    for n in range(links):  # identifiers that stand in one pattern and the next
+        rows += [(f"id{n}-{k}", None, [f"p{n}", f"p{n + 1}"]) for k in range(40)]
+    found = pii.bootstrap(spark.createDataFrame(rows, "instance string, kind string, patterns array<string>")).collect()
+    assert {r["instance"] for r in found} == {f"id{n}-{k}" for n in range(links) for k in range(40)}
+
+
 def test_drawings_and_formulas_are_shown():
     page = "<p>a <svg viewBox='0 0 1 1'><title/><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>North</text><text>South</text></svg><p>b <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> c"
     assert html.visible_text(page).split() == ["a", "North", "South", "b", "x=", "1", "2", "c"]
