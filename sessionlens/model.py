@@ -126,6 +126,10 @@ class EventWindow:
         months = dict.fromkeys(d.strftime("%b %Y") for d in (self.first_day, self.last_day))
         return " – ".join(months)
 
+    def shares_days(self, other: "EventWindow") -> bool:
+        """Whether any day lies in both windows."""
+        return max(self.first_day, other.first_day) <= min(self.last_day, other.last_day)
+
     def last_month(self) -> "EventWindow":
         """The days of the window in the month it ends in."""
         begin = self.last_day.replace(day=1).strftime("%Y%m%d")
@@ -134,7 +138,7 @@ class EventWindow:
     def versus(self, previous: "EventWindow | None") -> "EventWindow | None":
         """`previous` as the period to compare the last month with; the two must not share a day."""
         now = self.last_month()
-        if previous and previous.start <= now.end and now.start <= previous.end:
+        if previous and previous.shares_days(now):
             raise ValueError(f"{previous.start} to {previous.end} shares days with {now.start} to {now.end}")
         return previous
 

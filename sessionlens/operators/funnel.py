@@ -191,7 +191,7 @@ def funnel_segments(ss: DataFrame, min_share: float = 1.0) -> DataFrame:
 
 def period_funnels(ev: DataFrame, current: EventWindow, previous: EventWindow) -> DataFrame:
     """The funnel in two windows that may not overlap, from one scan of their days."""
-    if current.overlaps(previous):
+    if current.shares_days(previous):
         raise ValueError("the two periods overlap")
     day = F.col(PARTITION)
     inside = lambda w: day.between(F.lit(w.first_day), F.lit(w.last_day))

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,15 +12,24 @@ def values(df, column):
     return [r[0] for r in df.select(column).collect()]
 
 
-@pytest.mark.parametrize(
-    "label, expected",
-    [
-        ("Lamps", "Lamps"), ("Garden/Lamps/", "Lamps"), ("Home/Garden/Lamps", "Lamps"), ("Home/Shop by Brand/Acme/", "Acme"),
-        ("Home/Garden/Pots / Pans/", "Pots / Pans"), ("Home/Tools/", "Tools"), ("//", "(not set)"), ("(not set)", "(not set)"),
-    ],
-)
-def test_category_label(frame, label, expected):
-    assert values(frame("c string", [(label,)]), exprs.category_label("c")) == [expected]
+def last_segment(label):
+    """The rule: the last part between slashes, where a slash among blanks belongs to a name."""
+    names = [part.strip() for part in re.split(r"(?<! )/|/(?! )", label.strip("/"))]
+    return names[-1] or "(not set)"
+
+
+def test_category_label_of_random_paths(frame):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé&'-") for _ in range(rng.randint(1, 6)))
+    name = lambda: " / ".join(word() for _ in range(rng.choice((1, 1, 1, 2, 3))))
+    labels = ["/".join(name() for _ in range(rng.randint(1, 5))) + "/" * rng.randint(0, 2) for _ in range(300)]
+    labels += ["/" * n for n in (1, 2, 3)]
+    df = frame("c string", [(x,) for x in labels])
+    assert values(df, exprs.category_label("c")) == [last_segment(x) for x in labels]
+
+
+def test_category_label_missing_stays(frame):
+    assert values(frame("c string", [(exprs.NOT_SET,)]), exprs.category_label("c")) == [exprs.NOT_SET]
 
 
 def test_raw_category_blank_is_not_set(frame):
