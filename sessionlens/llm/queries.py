@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import decontaminate, fingerprint, html, language, lines, minhash, mixing, pii, suffix, toxicity
+from sessionlens.llm import decontaminate, exact, fingerprint, html, language, lines, minhash, mixing, periods, pii, repair, suffix, toxicity
 from sessionlens.llm.common import table
 
 
@@ -48,6 +48,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op10_fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.op11_exact(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op12_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.op13_periods(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_fingerprint": op10_fingerprint,
+    "op11_exact": op11_exact,
+    "op12_repair": op12_repair,
+    "op13_periods": op13_periods,
 }
 
 #: SQL for those that DuckDB can express; the others are tested against brute force in tests/llm.
