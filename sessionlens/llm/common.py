@@ -52,8 +52,15 @@ def _ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
+#: Small rows that a file of a written table should hold, where their number is known; files at least.
+FILE_ROWS, LEAST_FILES = 500_000, 8
+
+
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """`df` written to the shared folder and read again: cuts lineage, survives lost executors. Of a table known to have no more
+    than `most` small rows, no more files than these fill."""
+    if most is not None:
+        df = df.coalesce(max(LEAST_FILES, most // FILE_ROWS))
     return stage(df, name)[0]
 
 

@@ -2,8 +2,8 @@
 
 Two permutations give all coordinates of a signature: shingles are permuted once, and coordinate k is the smallest value of the
 second permutation shifted round by k. Documents that agree on a band are candidates. Equal shingle sets are collapsed
-first, and no bucket is turned into all its pairs: members are compared with their bucket's leader, then with a more central
-member; what is still apart in a shared bucket is compared only where it shares differences from what most members have.
+first, and no bucket is turned into all its pairs: members are compared with their bucket's leader, and what that leaves apart in a
+shared bucket is compared only where it shares differences from what most members have.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sessionlens.llm.common import LOWER, WORD_BYTES, bounds, mix, pieces, signed, span_hashes, text_buffer, tokens, tuned, unsigned, written
+from sessionlens.llm.common import LOWER, WORD_BYTES, bounds, mix, parts, pieces, signed, span_hashes, text_buffer, tokens, tuned, unsigned, written
 from sessionlens.llm.components import components
 from sessionlens.llm.fingerprint import distinct
 
@@ -25,10 +25,13 @@ BANDS, ROWS = 32, 5
 #: One bit of each of the first coordinates; pairs agreeing on fewer are no candidates. At a similarity of 0.8 a pair agrees on 115 of
 #: 128 on average, and on fewer than SKETCH_LEAST with a chance below 1e-9.
 SKETCH_BITS, SKETCH_LEAST = 128, 92
-#: Rounds in which open buckets are compared with a more central member.
-HUB_ROUNDS = 1
+#: Rounds of labels after which buckets with more than one label are open.
+LABEL_ROUNDS = 2
+#: Groups of fewer members are never dealt over salts.
+LEAST_SHARE = 64
 
 ABOUT = ("n_shingles", "s1", "s2")
+SETS = "doc_id long, n_shingles long, s1 long, s2 long, shingles binary"
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"
 
 
@@ -113,7 +116,7 @@ def sets(size: int):
             owner, hashes = shingles(piece.column("text"), size)
             edges = bounds(owner, piece.num_rows)
             packed = [hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(packed, pa.large_binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in ("doc_id", *ABOUT)], pa.array(packed, pa.large_binary())], ["doc_id", *ABOUT, "shingles"])
 
     return run
 
@@ -145,7 +148,7 @@ def _likely(x: str, y: str, percent: int) -> Column:
     return (differ <= SKETCH_BITS - SKETCH_LEAST) & (small * 100 >= large * percent)
 
 
-# What hubs leave apart --------------------------------------------------------------------------------------------------
+# What leaders leave apart --------------------------------------------------------------------------------------------------
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g)), pa.array(signed(shingle)), pa.array(n.astype(np.int64))], ["g", "shingle", "n"])
 
 
-DIFFERENT = "g long, doc_id long, component long, weight long, differs array<long>"
+def by_salt(size: DataFrame, total: int, most: int):
+    """Two functions that deal the rows of large groups over salts, by a column, and copy a group's row to each of its salts.
+
+    `size` (g, size) counts `total` members. Groups above total / most are large, so there are fewer than `most` of them, and twice
+    as many salts: the list of them may be broadcast.
+    """
+    share = max(LEAST_SHARE, total // most)
+    large = F.broadcast(written(size.where(F.col("size") > share).select("g", F.ceil(F.col("size") / share).alias("salts")), "large"))
+
+    def dealt(df: DataFrame, by: str) -> DataFrame:
+        return df.join(large, "g", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), "salts"), F.lit(0))).drop("salts")
+
+    def copied(df: DataFrame) -> DataFrame:
+        salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+        return df.join(large, "g", "left").withColumn("salt", F.explode(salts)).drop("salts")
+
+    return dealt, copied
+
+
+DIFFERENT = "g long, salt long, doc_id long, component long, n_shingles long, s1 long, s2 long, weight long, differs array<long>"
 
 
 def _differences(percent: int):
@@ -168,6 +190,8 @@ def _differences(percent: int):
     common. So they are similar just where 2 (100 + percent) x is at least the sum of their weights 200 r + 2 percent a - (100 - percent) H.
     """
 
+    passed = ("g", "salt", "doc_id", "component", *ABOUT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights, differs = [], []
@@ -180,16 +204,16 @@ def _differences(percent: int):
                 weights.append(200 * len(lacking) + 2 * percent * len(added) - (100 - percent) * len(common))
                 differs.append(signed(np.concatenate([mix(lacking + np.uint64(1)), added])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("g"), batch.column("doc_id"), batch.column("component"), pa.array(weights, pa.int64()), pa.array(differs, pa.list_(pa.int64()))],
-                ["g", "doc_id", "component", "weight", "differs"],
+                [*[batch.column(c) for c in passed], pa.array(weights, pa.int64()), pa.array(differs, pa.list_(pa.int64()))],
+                [*passed, "weight", "differs"],
             )
 
     return run
 
 
-def remaining(apart: DataFrame, full: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may connect the components left in open buckets; `apart` (key, doc_id, component), `full` the sets,
-    `about` sizes and sketches.
+def remaining(apart: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may connect the components left in open buckets; `apart` (key, doc_id, component), `full` the sets
+    with their sizes and sketches.
 
     Buckets that share members make a group. The reference of a group holds what more than half of its sets have. A set whose weight and
     the least weight of the group add up to no more than 0 is similar to that least one. Any other set can be similar only to one
@@ -199,25 +223,27 @@ def remaining(apart: DataFrame, full: DataFrame, about: DataFrame, percent: int)
     least = apart.groupBy("key").agg(F.min("doc_id").alias("a"))
     group = components(apart.join(least, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
     sets_of = apart.select("doc_id", "component").distinct().join(group, "doc_id").join(full, "doc_id")
-    sets_of = written(sets_of.select("g", "doc_id", "component", "shingles"), "apart")
-    counts = sets_of.select("g", "shingles").mapInArrow(_counted, "g long, shingle long, n long").groupBy("g", "shingle").agg(F.sum("n").alias("n"))
+    sets_of = written(sets_of.select("g", "doc_id", "component", *ABOUT, "shingles"), "apart")
     size = sets_of.groupBy("g").agg(F.count("*").alias("size"))
-    reference = counts.join(size, "g").where("2 * n > size").groupBy("g").agg(F.collect_list("shingle").alias("reference"))  # twice a mean set at most
-    told = written(sets_of.join(reference, "g", "left").mapInArrow(_differences(percent), DIFFERENT), "differences")
+    dealt, copied = by_salt(size, sets_of.count(), 4 * parts(apart.sparkSession))
+    counts = sets_of.select("g", "shingles").mapInArrow(_counted, "g long, shingle long, n long").groupBy("g", "shingle").agg(F.sum("n").alias("n"))
+    common = dealt(counts, "shingle").join(copied(size), ["g", "salt"]).where("2 * n > size")
+    reference = common.groupBy("g").agg(F.collect_list("shingle").alias("reference"))  # twice a mean set at most
+    told = dealt(sets_of, "doc_id").join(copied(reference), ["g", "salt"], "left").mapInArrow(_differences(percent), DIFFERENT)
+    told = written(told, "differences")
     best = told.groupBy("g").agg(F.min("weight").alias("best"), F.min_by("doc_id", F.struct("weight", "doc_id")).alias("center"))
-    told = told.join(best, "g").withColumn("far", F.col("weight") + F.col("best") > 0)
+    told = told.join(copied(best), ["g", "salt"]).withColumn("far", F.col("weight") + F.col("best") > 0)
     near = told.where("not far").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
     nearest_far = told.where("far").groupBy("g").agg(F.min("weight").alias("least_far"))
     asked = F.when(F.col("far"), F.col("weight") + F.col("best")).otherwise(F.col("weight") + F.col("least_far"))
     prefix = F.size("differs") - F.greatest(F.lit(1), F.ceil(asked / (2 * (100 + percent)))) + 1
-    told = told.join(nearest_far, "g").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-    row = told.select("g", "doc_id", "component", "weight", "far", "prefix", F.size("differs").alias("n"), F.xxhash64("differs").alias("row"), F.explode("differs").alias("difference"))
+    told = told.join(copied(nearest_far), ["g", "salt"]).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    row = told.select("g", "doc_id", "component", *ABOUT, "weight", "far", "prefix", F.size("differs").alias("n"), F.xxhash64("differs").alias("row"), F.explode("differs").alias("difference"))
     often = row.groupBy("g", "difference").agg(F.count("*").alias("often")).where("often > 1")  # what one set alone has joins nothing
     alone = F.coalesce("often", F.lit(1))
     by = Window.partitionBy("g", "doc_id", "row").orderBy(alone, "difference")
     kept = row.join(often, ["g", "difference"], "left").withColumn("place", F.row_number().over(by)).where("place <= prefix and often is not null")
-    kept = kept.select("g", "difference", "doc_id", "component", "weight", "far", (F.col("n") - F.col("place") + 1).alias("left")).join(about, "doc_id")
-    kept = written(kept, "prefixes")
+    kept = written(kept.select("g", "difference", "doc_id", "component", *ABOUT, "weight", "far", (F.col("n") - F.col("place") + 1).alias("left")), "prefixes")
     side = lambda s: kept.select("g", "difference", "far", F.struct("doc_id", "component", "weight", "left", *ABOUT).alias(s))
     # the first difference that a pair shares must leave as many on both sides as the two weights ask for
     enough = 2 * (100 + percent) * F.least("p.left", "q.left") >= F.col("p.weight") + F.col("q.weight")
@@ -236,41 +262,26 @@ def links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int) ->
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
     members = written(keyed.join(shared.select("key", "leader"), "key"), "members")  # of buckets with more than one
     about = reps.select("doc_id", *ABOUT)
-    active = members.select("doc_id").distinct()
-    full = written(texts.join(active, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets(size), "doc_id long, shingles binary"), "sets")
+    active = about.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    full = written(texts.join(active, "doc_id").select("doc_id", "text", *ABOUT).mapInArrow(sets(size), SETS), "sets")
     node = lambda side: about.select(F.col("doc_id").alias(side), F.struct(*ABOUT).alias(f"{side}_"))
 
-    def compared(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
-        pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if before is not None:
-            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = pairs.join(node("a"), "a").join(node("b"), "b").where(_likely("a_", "b_", percent)).select("a", "b")
-        return verified(pairs, full)
+    def once(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def good(known: DataFrame) -> DataFrame:
         return known.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
-    known = written(compared(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), None), "pairs")
-    hub = members.select("key", F.col("leader").alias("hub")).distinct()
-    for turn in range(HUB_ROUNDS + 1):
-        label = components(good(known))
-        marked = members.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        open_keys = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        marked = written(marked.join(open_keys, "key", "left_semi"), "open")
-        if marked.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            # the member most like the hub before is nearer to the middle of the bucket
-            ways = known.select("a", "b", "common", "total").union(known.select("b", "a", "common", "total"))
-            near = marked.join(hub, "key").join(ways.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), (F.col("common") / F.col("total")).alias("like")), ["hub", "doc_id"])
-            hub = written(near.groupBy("key").agg(F.max_by("doc_id", F.struct("like", -F.col("doc_id"))).alias("hub")), "hubs")
-            at = marked.select("key", F.col("doc_id").alias("hub"), F.col("component").alias("own"))
-            pairs = marked.join(hub.join(at, ["key", "hub"]), "key").where("component != own").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-        else:
-            pairs = remaining(marked, full, about, percent)
-        known = written(known.union(compared(pairs, known)), "pairs")
+    led = once(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))).join(node("a"), "a").join(node("b"), "b")
+    known = written(verified(led.where(_likely("a_", "b_", percent)).select("a", "b"), full), "pairs")
+    label = components(good(known), LABEL_ROUNDS)
+    marked = members.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    )
+    open_keys = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    marked = written(marked.join(open_keys, "key", "left_semi"), "open")
+    if not marked.isEmpty():
+        known = known.union(verified(once(remaining(marked, full, percent)), full))
     return good(known)
 
 
