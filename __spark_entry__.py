@@ -23,6 +23,7 @@ from sessionlens.sources import sinks
 from sessionlens.sources.driver_tables import order_visits, shop_events
 from sessionlens.sources.events import date_range, in_window, scan_estimate
 from sessionlens.sources.staging import scratch_path, stage
+from sessionlens.sources.versions import read_published
 
 SHOP_WINDOW = EventWindow("20240101", "20240130")
 ORDER_WINDOW = EventWindow("19950101", "20010801")
@@ -111,8 +112,8 @@ def _publish(s: Study) -> DataFrame:
     path = scratch_path(s.spark, "published")
     now = funnel.device_funnel(s.sessions).withColumn("generated_at", F.current_timestamp())
     sinks.publish_if_changed(now.withColumn("purchase", F.col("purchase") + 1), path)
-    changes = sinks.changed_rows(now, s.spark.read.parquet(path), ("generated_at",))
-    # compared before the new version takes the old one's place
+    changes = sinks.changed_rows(now, read_published(s.spark, path), ("generated_at",))
+    # compared before the new version is published
     changes = stage(changes, "changes")[0]
     return changes.withColumn("published", F.lit(sinks.publish_if_changed(now, path)))
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sessionlens.sources.staging import stage
+from sessionlens.sources.versions import VersionedTable
 
 
 def write_star_schema(
@@ -87,21 +87,20 @@ def changed_rows(new: DataFrame, old: DataFrame, ignore: tuple[str, ...] = ()) -
 def publish_if_changed(
     new: DataFrame, path: str, ignore: tuple[str, ...] = ("generated_at",)
 ) -> bool:
-    """Overwrite the published parquet table only when more than its stamps changed.
+    """Publish a new version under `path` only when more than its stamps changed; read it with `read_published`.
 
-    The new version is written aside first: its plan runs once, and what is published is what was compared.
+    The new version is written aside first: its plan runs once, and what is published is what was compared. Readers see the
+    version before until the new one is whole, and go on seeing it if the write fails.
     """
-    spark = new.sparkSession
-    new = stage(new, "publish")[0]
-    try:
-        old = spark.read.parquet(path)
-    except Exception as exc:  # the first publication has nothing to compare with
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        old = None
-    kept = [c for c in new.columns if c not in ignore]
-    same_columns = old is not None and [c for c in old.columns if c not in ignore] == kept
-    if same_columns and changed_rows(new, old, ignore).isEmpty():
-        return False
-    new.write.mode("overwrite").parquet(path)
+    table = VersionedTable(new.sparkSession, path)
+    before = table.manifest()
+    folder = table.write(new)
+    if before is not None:
+        old = table.read(before["version"])
+        kept = [c for c in new.columns if c not in ignore]
+        written = new.sparkSession.read.schema(new.schema).parquet(f"{table.path}/{folder}")
+        if [c for c in old.columns if c not in ignore] == kept and changed_rows(written, old, ignore).isEmpty():
+            table.drop(folder)
+            return False
+    table.commit({"all": folder}, new.schema, after=before["version"] if before else 0)
     return True

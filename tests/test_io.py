@@ -10,6 +10,7 @@ from sessionlens.plans.study import Study, Thresholds
 from sessionlens.sources import sinks
 from sessionlens.sources.events import date_range, event_files, read_events, require_budget, scan_estimate
 from sessionlens.sources.staging import shared_dir, stage
+from sessionlens.sources.versions import VersionConflict, VersionedTable, read_published
 from tests.shop import event, item, raw
 
 
@@ -57,13 +58,47 @@ def test_publish_only_on_a_real_change(spark, frame, tmp_path):
     one = frame("metric string, value long", [("a", 1), ("a", 1), ("b", 2)])
     assert sinks.publish_if_changed(at(one, "2024-01-01"), path)
     assert not sinks.publish_if_changed(at(one, "2024-01-02"), path)  # only the stamp
-    assert spark.read.parquet(path).select("generated_at").distinct().first()[0] == "2024-01-01"
+    assert read_published(spark, path).select("generated_at").distinct().first()[0] == "2024-01-01"
     fewer_copies = frame("metric string, value long", [("a", 1), ("b", 2)])
     assert sinks.publish_if_changed(at(fewer_copies, "2024-01-03"), path)
     assert sinks.publish_if_changed(at(frame("metric string, value long", [("a", 1), ("b", 3)]), "x"), path)
     assert sinks.publish_if_changed(frame("metric string, v long", [("a", 1)]), path)  # other columns
 
 
+def test_a_failed_publication_leaves_the_old_version(spark, frame, tmp_path):
+    path = str(tmp_path / "published")
+    good = frame("metric string, value long", [("a", 1), ("b", 2)])
+    assert sinks.publish_if_changed(good, path)
+    broken = good.withColumn("value", F.when(F.col("metric") == "b", F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("value") + 1))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_if_changed(broken, path)
+    assert sorted(map(tuple, read_published(spark, path).collect())) == [("a", 1), ("b", 2)]
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, str(tmp_path / "never"))
+
+
+def test_versions_are_whole_and_in_order(spark, frame, tmp_path):
+    import os
+
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda *values: frame("n long", [(v,) for v in values])
+    schema = rows(1).schema
+    assert table.read() is None and table.versions() == []
+    assert table.commit({"x": table.write(rows(1)), "y": table.write(rows(2))}, schema) == 1
+    held = table.read()  # a reader of the first version
+    late = table.write(rows(9))
+    assert table.commit({"y": table.write(rows(3, 4))}, schema) == 2
+    with pytest.raises(VersionConflict):
+        table.commit({"x": late}, schema, after=1)
+    numbers = lambda df: sorted(r["n"] for r in df.collect())
+    assert numbers(held) == [1, 2] and numbers(table.read()) == [1, 3, 4] and numbers(table.read(parts=["y"])) == [3, 4]
+    table.commit({"x": None}, schema)
+    assert table.versions() == [2, 3] and numbers(table.read()) == [3, 4] and table.read(parts=["x"]) is None
+    table.drop(late)
+    kept = {f for v in table.versions() for f in table.manifest(v)["parts"].values()}
+    assert {f"data/{f}" for f in os.listdir(f"{table.path}/data")} == kept
+
+
 def test_staged_table_uses_the_configured_folder(spark, frame):
     df, path = stage(frame("d date, n long", [(dt.date(2024, 1, 1), 1), (dt.date(2024, 1, 2), 2)]), "t", "d", "n")
     assert path.startswith(shared_dir(spark))
