@@ -28,10 +28,15 @@ def shop_dims() -> dict[str, Column]:
     return {name: build(name) for name, build in SHOP_DIMS.items()}
 
 
+def first_value(value: Column, when: Column | None = None) -> Column:
+    """Earliest non-null value as (event_timestamp, v), a struct whose minima merge."""
+    keep = value.isNotNull() if when is None else value.isNotNull() & when
+    return F.min(F.when(keep, F.struct(F.col("event_timestamp"), value.alias("v"))))
+
+
 def _earliest(value: Column, when: Column | None = None) -> Column:
     """Earliest non-null value by (timestamp, value)."""
-    keep = value.isNotNull() if when is None else value.isNotNull() & when
-    return F.min(F.when(keep, F.struct(F.col("event_timestamp"), value.alias("v"))))["v"]
+    return first_value(value, when)["v"]
 
 
 def _attribute_aggs() -> list[Column]:

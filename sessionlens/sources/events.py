@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens.functions.exprs import page_path, param
 from sessionlens.model import EVENT_SCHEMA, EventWindow
+from sessionlens.sources.budget import BUDGET
+from sessionlens.sources.footers import column_chunks, column_estimate
 
 PARTITION = "event_date_part"
 
@@ -15,10 +17,18 @@ def in_window(df: DataFrame, window: EventWindow) -> DataFrame:
     return df.where(F.col(PARTITION).between(F.lit(window.first_day), F.lit(window.last_day)))
 
 
-def read_events(spark: SparkSession, path: str, window: EventWindow | None = None) -> DataFrame:
-    """Day-partitioned nested events with the canonical schema (no schema inference)."""
+def read_events(
+    spark: SparkSession, path: str, window: EventWindow | None = None, columns: list[str] | None = None, budget: int | None = None
+) -> DataFrame:
+    """Day-partitioned nested events with the canonical schema (no schema inference), or some of their columns.
+
+    With a budget, refuses before any data is read when the files' footers say that the columns hold more bytes.
+    """
+    if budget is not None:
+        require_budget(event_files(spark, path, window), budget, columns)
     df = spark.read.schema(EVENT_SCHEMA).parquet(path)
-    return in_window(df, window) if window else df
+    df = in_window(df, window) if window else df
+    return df.select(*columns) if columns else df
 
 
 def flatten_events(raw: DataFrame) -> DataFrame:
@@ -61,10 +71,6 @@ def event_files(spark: SparkSession, path: str, window: EventWindow | None = Non
     return in_window(files, window) if window else files
 
 
-#: Bytes that one scan may read unless told otherwise.
-BUDGET = 5 * 10**9
-
-
 def date_range(files: DataFrame) -> DataFrame:
     """Earliest and latest export day and the number of daily partitions, from `event_files`."""
     return files.groupBy(PARTITION).agg(F.count("*")).agg(
@@ -85,12 +91,14 @@ def scan_estimate(files: DataFrame, budget: int = BUDGET) -> DataFrame:
     )
 
 
-def require_budget(files: DataFrame, budget: int = BUDGET) -> int:
-    """Raise before any data is read when the listed files exceed the budget; else their bytes."""
-    row = scan_estimate(files, budget).first()
-    if not row["within_budget"]:
+def require_budget(files: DataFrame, budget: int = BUDGET, columns: list[str] | None = None) -> int:
+    """Raise before any data is read when the listed files, or the named columns in them, exceed the budget; else their bytes."""
+    if columns is None:
+        size = scan_estimate(files, budget).first()["bytes"]
+    else:
+        size = column_estimate(column_chunks(files), columns, budget=budget).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    if size > budget:
         raise RuntimeError(
-            f"scan refused: {row['bytes']} bytes exceed the budget of {row['budget_bytes']}; "
-            "narrow the window or raise the budget"
+            f"scan refused: {size} bytes exceed the budget of {budget}; narrow the window or the columns, or raise the budget"
         )
-    return row["bytes"]
+    return size

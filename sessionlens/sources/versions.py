@@ -11,7 +11,7 @@ import re
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 MANIFESTS = "_versions"
@@ -78,6 +78,15 @@ class VersionedTable:
         df.write.parquet(f"{self.path}/{folder}")
         return folder
 
+    def write_parts(self, df: DataFrame, column: str, kind: str) -> dict[str, str]:
+        """`df` by the values of a column: the data folder of each part `kind=value`, from one job."""
+        folder = f"data/{uuid.uuid4().hex}"
+        by = df.withColumn("_part", F.col(column).cast("string")).hint("rebalance", "_part")
+        by.write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+        fs, where = self._hadoop(f"{self.path}/{folder}")
+        names = [status.getPath().getName() for status in fs.listStatus(where) if status.isDirectory()]
+        return {f"{kind}={n.split('=', 1)[1]}": f"{folder}/{n}" for n in names}
+
     def drop(self, folder: str) -> None:
         fs, where = self._hadoop(f"{self.path}/{folder}")
         fs.delete(where, True)

@@ -9,6 +9,7 @@ from sessionlens.plans.export import export_star_schema
 from sessionlens.plans.study import Study, Thresholds
 from sessionlens.sources import sinks
 from sessionlens.sources.events import date_range, event_files, read_events, require_budget, scan_estimate
+from sessionlens.sources.footers import column_chunks, column_estimate
 from sessionlens.sources.staging import shared_dir, stage
 from sessionlens.sources.versions import VersionConflict, VersionedTable, read_published
 from tests.shop import event, item, raw
@@ -52,6 +53,54 @@ def test_file_listing_queries(spark, lake):
         require_budget(event_files(spark, lake), 10)
 
 
+def test_columns_cost_what_their_footers_say(spark, lake, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    chunks = column_chunks(event_files(spark, lake)).cache()
+    want = {}
+    for path in glob.glob(f"{lake}/*/*.parquet"):
+        footer = pq.read_metadata(path)
+        for g in range(footer.num_row_groups):
+            for c in range(footer.row_group(g).num_columns):
+                chunk = footer.row_group(g).column(c)
+                top = chunk.path_in_schema.split(".")[0]
+                want[top] = want.get(top, 0) + chunk.total_compressed_size
+    assert {r["column"]: r["bytes"] for r in column_estimate(chunks).collect()} == want
+    some = column_estimate(chunks, ["event_name", "items"], budget=want["items"]).collect()
+    assert [(r["column"], r["bytes"], r["rows"], r["within_budget"]) for r in some] == [
+        ("event_name", want["event_name"], 4, False), ("items", want["items"], 4, False)
+    ]
+    assert require_budget(event_files(spark, lake), columns=["items"]) == want["items"]
+
+
+def test_row_groups_beyond_the_filter_are_not_counted(spark, lake, tmp_path):
+    path = str(tmp_path / "sorted")
+    names = [event(name, sid=i, at=i, day="20201201") for i, name in enumerate(["add_to_cart", "purchase", "view_item"])]
+    raw(spark, names).repartitionByRange(3, "event_name").write.partitionBy("event_date_part").parquet(path)
+    chunks = column_chunks(event_files(spark, path))
+    only = column_estimate(chunks, ["user_pseudo_id"], {"event_name": ["purchase", "scroll"]})
+    assert [(r["column"], r["rows"], r["row_groups"]) for r in only.collect()] == [("event_name", 1, 1), ("user_pseudo_id", 1, 1)]
+
+
+def test_files_without_a_footer_count_whole(spark, tmp_path):
+    folder = tmp_path / "odd" / "event_date_part=2020-12-01"
+    folder.mkdir(parents=True)
+    (folder / "broken.parquet").write_bytes(b"x" * 1234)
+    out = column_estimate(column_chunks(event_files(spark, str(tmp_path / "odd"))), ["items"], budget=1000).first()
+    assert (out["column"], out["bytes"], out["within_budget"]) == (None, 1234, False)
+
+
+def test_reading_refuses_beyond_the_budget(spark, lake):
+    need = require_budget(event_files(spark, lake), columns=["event_name"])
+    assert read_events(spark, lake, columns=["event_name"], budget=need).count() == 4
+    with pytest.raises(RuntimeError, match="scan refused"):
+        read_events(spark, lake, columns=["event_name"], budget=need - 1)
+    with pytest.raises(RuntimeError, match="scan refused"):
+        read_events(spark, lake, budget=10)
+
+
 def test_publish_only_on_a_real_change(spark, frame, tmp_path):
     path = str(tmp_path / "published")
     at = lambda df, stamp: df.withColumn("generated_at", F.lit(stamp))
