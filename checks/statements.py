@@ -360,5 +360,30 @@ CTE["ovl"] = """SELECT item_name, CAST(count(*) AS BIGINT) AS sightings, CAST(co
 CTE["devh"] = """SELECT device_category, """ + COUNTS + """ FROM @ss WHERE s1 AND session_date<=DATE '2024-01-15' GROUP BY 1"""
 
 
+#: The statement behind each section of the findings.
+SECTIONS = {
+    "session_funnel": "funnel_rates", "step_losses": "step_losses", "revenue": "revenue_summary", "revenue_reconcile": "revenue_reconcile",
+    "time_to_convert": "time_to_convert", "devices": "device_table", "shoppers_funnel": "shoppers_funnel", "retention": "retention_averages",
+    "retention_months": "retention_by_month", "retention_mix": "retention_mix", "channels": "channel_table", "channel_verdict": "channel_verdict",
+    "categories": "category_ranking", "category_summary": "category_summary", "other_listings": "listing_other", "price_bands": "price_band_test",
+    "price_correlation": "price_rank_corr", "landing_pages": "weak_landing_pages", "landing_verdicts": "landing_verdict",
+    "untagged": "untagged_overall", "visitors": "new_vs_returning", "recommendations": "recommendations", "priority": "priority_label",
+    "segments": "funnel_segments", "events": "event_inventory", "unique_users": "unique_users", "event_quality": "event_quality_rates",
+    "session_starts": "session_start_check", "untagged_profile": "untagged_profile", "sensitivity": "sensitivity_funnel",
+    "medium_agreement": "medium_agreement", "device_steps": "device_steps", "tracking_gaps": "tracking_gaps",
+    "listing_coverage": "listing_coverage", "product_overlap": "overlap_summary", "channel_changes": "channel_changes",
+    "channels_fell": "channels_fell", "purchase_paths": "purchase_path_summary", "cart_recovery": "recovery_curve", "tests": "stats_tests",
+}
+
+
+def _section(section: str, name: str) -> str:
+    """The rows of a statement, one a column: through JSON, whose types tell numbers from texts."""
+    number = "e.type IN ('UBIGINT','BIGINT','HUGEINT','DOUBLE')"
+    return f"""SELECT '{section}' AS section, coalesce(nullif((SELECT string_agg(k.value->>'$', ' · ' ORDER BY k.key) FILTER (WHERE k.type='VARCHAR') FROM json_each(t.j) k), ''), 'all') AS item,
+        e.key AS metric, CASE WHEN {number} THEN round(CAST(e.value AS DOUBLE),6)+0 END AS number, CASE WHEN NOT {number} THEN e.value->>'$' END AS "text"
+        FROM (SELECT to_json(s) AS j FROM ({STATEMENTS[name][0]}) s) t, json_each(t.j) e"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(select, doubles) for name, (select, doubles) in STATEMENTS.items()}
+    found = {name: statement(select, doubles) for name, (select, doubles) in STATEMENTS.items()}
+    return found | {"findings": statement(" UNION ALL ".join(f"({_section(*pair)})" for pair in SECTIONS.items()))}

@@ -15,7 +15,7 @@ from sessionlens.model import EventWindow
 from sessionlens.operators import (
     catalog, channels, cohorts, funnel, inference, landing, paths, quality, revenue, sessions, sizing, star,
 )
-from sessionlens.sources.events import PARTITION, event_files, flatten_events
+from sessionlens.sources.events import PARTITION, event_files, flatten_events, in_window
 from sessionlens.sources.staging import stage
 
 
@@ -46,12 +46,16 @@ class Study:
         staged: bool = True,
         by_day: bool = True,
         day_aligned: bool = False,
+        previous: EventWindow | None = None,
     ):
-        """`by_day` writes the flat events in day folders, worth it when a day fills a file.
+        """Only the window's days of `raw` are studied; `previous` is the period that its last month is compared with.
+
+        `by_day` writes the flat events in day folders, worth it when a day fills a file.
 
         `day_aligned` says `raw` is read from day folders, so writing them again needs no shuffle.
         """
-        self.raw, self.window, self.thresholds = raw, window, thresholds
+        self.previous = window.versus(previous)
+        self.source, self.raw, self.window, self.thresholds = raw, in_window(raw, window), window, thresholds
         self.staged, self.by_day, self.day_aligned = staged, by_day, day_aligned
 
     @property
@@ -100,6 +104,22 @@ class Study:
         )
         return stage(table, "intent-sessions")[0] if self.staged else table
 
+    @cached_property
+    def periods(self) -> DataFrame | None:
+        """The funnel of the window's last month and of the period before that it is compared with; None without one."""
+        if self.previous is None:
+            return None
+        now = self.window.last_month()
+        rows = in_window(self.source, now).union(in_window(self.source, self.previous))
+        return self._small(funnel.period_funnels(flatten_events(rows), now, self.previous), "periods")
+
+    def compared_periods(self) -> DataFrame | None:
+        """Change of the five funnel rates between the two periods."""
+        if self.periods is None:
+            return None
+        of = lambda name: self.periods.where(F.col("period") == name)
+        return inference.compare_periods(of("current"), of("previous"))
+
     # report tables ------------------------------------------------------------
 
     def _small(self, table: DataFrame, name: str) -> DataFrame:
@@ -295,4 +315,22 @@ class Study:
             "visitors": self.visitors,
             "recommendations": self.recommendations(r),
             "priority": sizing.priority_label(self.totals),
+            "segments": funnel.funnel_segments(self.sessions, t.channel_share),
+            "events": quality.event_inventory(self.events),
+            "unique_users": quality.unique_users(self.events),
+            "event_quality": quality.event_quality_rates(quality.event_quality(self.events), self.convert),
+            "session_starts": quality.session_start_check(self.events),
+            "untagged_profile": quality.untagged_profile(self.quality),
+            "sensitivity": quality.sensitivity_funnel(self.quality),
+            "medium_agreement": channels.medium_agreement(self.channel_counts),
+            "device_steps": channels.device_steps(self.device_counts),
+            "tracking_gaps": self.gaps,
+            "listing_coverage": catalog.listing_coverage(self.listing, t.category_views),
+            "product_overlap": catalog.overlap_summary(catalog.category_overlap(self.cells)),
+            "channel_changes": inference.channel_changes(r.peak, r.trough),
+            "channels_fell": inference.channels_fell(r.peak, r.trough),
+            "purchase_paths": paths.purchase_path_summary(self.paths),
+            "cart_recovery": paths.recovery_curve(self.carts),
+            "tests": star.stats_tests(self.fct_sessions, self.materialise),
+            **({"periods": self.periods, "period_changes": self.compared_periods()} if self.previous else {}),
         }

@@ -46,18 +46,23 @@ def write_star_schema(
 
 
 def tidy(section: str, df: DataFrame) -> DataFrame:
-    """Rows of a report table as (section, item, metric, value): text columns name the item."""
-    text = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.DateType))]
-    measures = [c for c in df.columns if c not in text]
-    item = F.concat_ws(" · ", *[F.col(c).cast("string") for c in text]) if text else F.lit("all")
-    pairs = [
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in measures
-    ] + [
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in text
-    ]
+    """Rows of a report table as (section, item, metric, number, text): text columns name the item, in the order of their names.
+
+    A number or null stands in `number`; texts, days and truth values stand in `text`.
+    """
+    text = sorted(f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.DateType)))
+    item = F.nullif(F.concat_ws(" · ", *[F.col(c).cast("string") for c in text]), F.lit("")) if text else F.lit(None).cast("string")
+    pairs = []
+    for f in df.schema:
+        numeric = isinstance(f.dataType, T.NumericType)
+        pairs.append(F.struct(
+            F.lit(f.name).alias("metric"),
+            (F.col(f.name).cast("double") if numeric else F.lit(None).cast("double")).alias("number"),
+            (F.lit(None).cast("string") if numeric else F.col(f.name).cast("string")).alias("text"),
+        ))
     return df.select(
-        F.lit(section).alias("section"), item.alias("item"), F.explode(F.array(*pairs)).alias("_m")
-    ).select("section", "item", "_m.metric", "_m.value")
+        F.lit(section).alias("section"), F.coalesce(item, F.lit("all")).alias("item"), F.explode(F.array(*pairs)).alias("_m")
+    ).select("section", "item", "_m.metric", "_m.number", "_m.text")
 
 
 def findings(tables: dict[str, DataFrame]) -> DataFrame:

@@ -212,8 +212,8 @@ def test_findings_carry_every_report(study):
     tables = study.report_tables()
     rows = sinks.findings(tables)
     assert {r["section"] for r in rows.select("section").distinct().collect()} >= {"session_funnel", "channels", "priority"}
-    views = rows.where("section = 'session_funnel' AND item = 'View Products' AND metric = 'sessions'").first()["value"]
-    assert int(views) == study.funnel.first()["view_item"]
+    views = rows.where("section = 'session_funnel' AND item = 'View Products' AND metric = 'sessions'").first()["number"]
+    assert views == study.funnel.first()["view_item"]
     payload = sinks.findings_json({"funnel": study.funnel}).first()
     assert json.loads(payload["json"])["sessions"] == study.funnel.first()["sessions"]
 
@@ -221,3 +221,18 @@ def test_findings_carry_every_report(study):
 def test_unstaged_study_gives_the_same_funnel(study):
     lazy = Study(study.raw, study.window, study.thresholds, staged=False)
     assert lazy.funnel.collect() == study.funnel.collect()
+
+
+def test_a_study_keeps_to_its_window_and_compares_periods(spark):
+    visit = lambda sid, day, *names: [event(n, user=f"u{sid}", sid=sid, at=sid, day=day) for n in names]
+    events = visit(1, "20201115", "session_start") + visit(2, "20201205", "session_start", "view_item") + visit(3, "20201206", "session_start")
+    events += visit(4, "20210105", "session_start", "view_item") + visit(5, "20210301", "session_start")
+    window, november = EventWindow("20201201", "20210131"), EventWindow("20201101", "20201130")
+    study = Study(raw(spark, events), window, staged=False, previous=november)
+    assert study.funnel.first()["sessions"] == 3
+    rows = {r["period"]: (r["sessions"], r["view_item"]) for r in study.periods.collect()}
+    assert rows == {"current": (1, 1), "previous": (1, 0)}  # the window's last month against November
+    assert study.compared_periods().first()["change_pp"] == 100.0
+    assert Study(raw(spark, events), window, staged=False).periods is None
+    with pytest.raises(ValueError, match="shares days"):
+        Study(raw(spark, events), window, previous=EventWindow("20210101", "20210102"))

@@ -21,7 +21,7 @@ def con():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"findings", "findings_json"}
+    assert set(QUERIES) - set(ORACLES) == {"findings_json"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
