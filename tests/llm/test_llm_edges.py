@@ -53,6 +53,13 @@ def test_language_rows_and_empty(spark, docs, empty):
     assert {r[0] for r in language.op5_language(docs.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").collect()} == {"und"}
 
 
+def test_bytes_of_tables_with_the_new_columns(spark, docs):
+    named = docs.withColumns({c: F.lit("x") for c in ("n_bytes", "n_removed", "n_spans", "kept")})
+    out = suffix.dedup_bytes(named)
+    assert sorted(out.columns) == sorted([*(c for c in docs.columns if c != "text"), "n_bytes", "n_removed", "n_spans", "kept"])
+    assert out.agg(F.sum("n_bytes")).first()[0] == docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_bytes_rows_and_empty(spark, docs, empty):
     out = suffix.op4_suffix(clashing(docs)).collect()
     assert len(out) == docs.count()
