@@ -2,7 +2,7 @@
 
 Documents are counted into cells of source, language and topic; the cells' inclusion probabilities are raked until the expected
 tokens meet the targets of all three marginals, and documents are sampled by their cell's probability. DataFrame functions only.
-The registered query is held to its SQL, which rakes a fixed number of rounds towards targets that a value may not hold (`rake`).
+What a value cannot hold of its target is shared out among the others first, so the registered query meets its targets.
 """
 
 from __future__ import annotations
@@ -169,32 +169,54 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 def op9_mixing(docs: DataFrame) -> DataFrame:
     """The query: all documents with their cell's probability, rounded, and whether they are in the sample, as its SQL has them."""
     value = [F.coalesce(F.col(d), F.lit(NONE)).alias(d) for d in ("source", "lang")]
-    return mix(docs, rounds=ROUNDS).select("doc_id", *value, "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
+    return mix(docs).select("doc_id", *value, "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
+
+
+def _wanted(d: str) -> str:
+    """What each value of a dimension should get: of the levels that the first values to be full leave, the highest is the one that holds."""
+    order = f"ORDER BY CASE WHEN share > 0 THEN have / share ELSE 0 END, {d}"
+    return f"""want_{d} AS MATERIALIZED (SELECT {d}, least(have, share * (SELECT max(CASE WHEN left_share > 0 THEN (total * {BUDGET} - held) / left_share END)
+ FROM (SELECT sum(have) OVER () AS total, coalesce(sum(have) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+ sum(share) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_share FROM have_{d}))) AS want FROM have_{d})"""
+
+
+def _scaled(d: str, table: str) -> str:
+    """`table` with the weights of each value scaled to what it should get, as a round of `meet` does."""
+    rest = [x for x in DIMENSIONS if x != d]
+    order = ["CASE WHEN tokens > 0 THEN weight ELSE -1.0 END", *rest]
+    above = f"PARTITION BY {d} ORDER BY {', '.join(o + ' DESC' for o in order)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    below = f"PARTITION BY {d} ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    parts = f"SELECT *, coalesce(sum(tokens) OVER ({above}), 0) AS cut, sum(tokens * weight) OVER ({below}) AS below FROM {table}"
+    factor = f"SELECT *, max(CASE WHEN below > 0 THEN (want_{d} - cut) / below END) OVER (PARTITION BY {d}) AS factor FROM ({parts})"
+    return f"(SELECT * EXCLUDE (cut, below, factor) REPLACE (CASE WHEN tokens > 0 THEN weight * coalesce(factor, 1.0) ELSE weight END AS weight) FROM ({factor}))"
 
 
 def oracle() -> str:
-    """The query in DuckDB SQL: the rounds are written out one after the other."""
+    """The query in DuckDB SQL: rounds of a recursive table go on until every value has what it should get."""
     without = lambda signs: f"length(t) - length(translate(t, '{signs}', ''))"
     steps = [
         f"""told AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, n_tokens,
  CASE WHEN contains(lower(t), 'license') THEN 'legal' WHEN ({without('|')}) * 50 > length(t) THEN 'tabular'
  WHEN ({without('%*&$#')}) * 20 > length(t) THEN 'noisy' WHEN n_tokens < 50 THEN 'brief' ELSE 'prose' END AS topic
  FROM (SELECT *, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS BIGINT) AS n_tokens FROM documents))""",
-        f"c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST({BUDGET} AS DOUBLE) AS p FROM told GROUP BY ALL)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM told GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
-        share = f"CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {FLATTEN[d]}) ELSE 0 END"
-        steps.append(f"t_{d} AS MATERIALIZED (SELECT {d}, s / sum(s) OVER () * sum(h) OVER () * {BUDGET} AS want FROM (SELECT {d}, {share} AS s, sum(tokens) AS h FROM c0 GROUP BY {d}))")
-    last = "c0"
-    for k in range(ROUNDS):
-        for d in DIMENSIONS:
-            name = f"c{k}_{d}"
-            got = f"(SELECT {d}, CASE WHEN sum(tokens * p) > 0 THEN max(want) / sum(tokens * p) ELSE 1 END AS f FROM {last} JOIN t_{d} USING ({d}) GROUP BY {d})"
-            cut = "least(1.0, p * f)" if d == DIMENSIONS[-1] else "p * f"
-            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, {cut} AS p FROM {last} JOIN {got} USING ({d}))")
-            last = name
+        share = f"CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {FLATTEN[d]}) ELSE 0.0 END"
+        steps += [f"have_{d} AS MATERIALIZED (SELECT {d}, sum(tokens) AS have, {share} AS share FROM cells GROUP BY {d})", _wanted(d)]
+    wants = ", ".join(f"want_{d}.want AS want_{d}" for d in DIMENSIONS)
+    joins = " ".join(f"JOIN want_{d} USING ({d})" for d in DIMENSIONS)
+    scaled = "(SELECT * FROM rounds WHERE NOT met AND k < %d)" % MOST_ROUNDS
+    for d in DIMENSIONS:
+        scaled = _scaled(d, scaled)
+    got = lambda d: f"sum(tokens * least(1.0, weight)) OVER (PARTITION BY {d})"
+    off = " OR ".join(f"abs({got(d)} - want_{d}) > {TOLERANCE} * greatest(want_{d}, 1.0)" for d in DIMENSIONS)
+    steps.append(
+        f"""rounds AS (SELECT 0 AS k, false AS met, source, lang, topic, tokens, CAST({BUDGET} AS DOUBLE) AS weight, {wants} FROM cells {joins}
+ UNION ALL SELECT k + 1, NOT bool_or(off) OVER (), * EXCLUDE (k, met, off) FROM (SELECT *, {off} AS off FROM {scaled}))"""
+    )
     number = f"CAST(('0x' || substr(md5('{SALT}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {HASH_DIGITS})) AS BIGINT)"
     return (
-        "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(p, 9) AS probability, "
-        f"{number} / {float(16**HASH_DIGITS)} < p AS sampled FROM told JOIN {last} USING (source, lang, topic)"
+        "WITH RECURSIVE " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(least(1.0, weight), 9) AS probability, "
+        f"{number} / {float(16**HASH_DIGITS)} < least(1.0, weight) AS sampled FROM told JOIN rounds USING (source, lang, topic) WHERE k = (SELECT max(k) FROM rounds)"
     )
