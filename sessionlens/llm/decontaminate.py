@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.llm.common import TERM_BYTES, Members, bounds, pieces, span_hashes, text_buffer, tokens, tuned
+from sessionlens.llm.common import TERM_BYTES, Members, bounds, pieces, signed, span_hashes, text_buffer, tokens, tuned, written
 from sessionlens.llm.fingerprint import distinct
 
 K1, B = 1.2, 0.75
@@ -65,6 +65,16 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+@dataclass
+class Statistics:
+    """Items with a word, their words, the longest one's, and the number of items with each of an index's terms."""
+
+    items: int
+    words: int
+    longest: int
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     """Postings of normalised impacts (an item's own text scores 1), by term and then item; items are in order of length."""
@@ -82,8 +92,8 @@ class Index:
     passage: int
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], threshold: float = THRESHOLD) -> Index:
-        """Items without a word can match nothing and are left out."""
+    def build(cls, ids: list[int], texts: list[str], threshold: float = THRESHOLD, over: Statistics | None = None) -> Index:
+        """Items without a word can match nothing and are left out. `over` has the statistics of all items, if these are not all."""
         hashes, owner = _words(texts)
         lengths = np.bincount(owner, minlength=len(texts))
         order = [i for i in np.lexsort((np.array(ids, np.int64), lengths)) if lengths[i]]
@@ -94,10 +104,12 @@ class Index:
         at = terms.positions(hashes)
         pair, tf = np.unique(at * max(n, 1) + place[owner], return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(terms.keys))
         length = lengths[order].astype(float)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean(), 1e-9) if n else 1))
+        if over is None:
+            over = Statistics(n, int(length.sum()), int(lengths.max(initial=0)), np.bincount(term, minlength=len(terms.keys)))
+        idf = np.log1p((over.items - over.df + 0.5) / (over.df + 0.5))
+        mean = over.words / max(over.items, 1)
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(mean, 1e-9) if n else 1))
         impact = weight / np.bincount(item, weight, n)[item]
         block_of = item // BLOCK
         new = np.ones(len(term), bool)
@@ -118,7 +130,7 @@ class Index:
         edges = lambda groups: bounds(groups, len(terms.keys))
         return cls(
             np.array([ids[i] for i in order], np.int64), terms, edges(term), item, impact, edges(block_term), block, top, essential,
-            parts, max(PASSAGE, 2 * int(lengths.max(initial=0))),
+            parts, max(PASSAGE, 2 * over.longest),
         )
 
     def passages(self, words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,17 +212,48 @@ class Index:
         return out[0], out[1]
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each item, and its number of words beside a null term."""
+    for piece in pieces(batches):
+        hashes, owner = _words(piece.column("text"))
+        _, terms = distinct(owner, hashes)
+        lengths = np.bincount(owner, minlength=piece.num_rows)
+        lengths = lengths[lengths > 0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(signed(terms)), pa.nulls(len(lengths), pa.int64())]),
+             pa.concat_arrays([pa.nulls(len(terms), pa.int64()), pa.array(lengths.astype(np.int64))])],
+            ["term", "words"],
+        )
+
+
 def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of at most SHARD_ITEMS items, read one after the other."""
-    ids, texts = [], []
-    for r in benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).toLocalIterator():
+    """Indexes of at most SHARD_ITEMS items in the order of their ids, read one after the other. Where there are several, document
+    frequencies, mean length and longest item are counted over all items first, so that scores do not depend on the shards."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    counted, ids, texts = None, [], []
+
+    def over() -> Statistics:
+        nonlocal counted
+        if counted is None:
+            told = written(items.select("text").mapInArrow(_item_terms, "term long, words long"), "item-terms")
+            sizes = told.where("term is null").agg(F.count("*"), F.sum("words"), F.max("words")).first()
+            counted = sizes, written(told.where("term is not null").groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+        sizes, frequencies = counted
+        terms = np.unique(_words(texts)[0])
+        own = spark.createDataFrame(pa.table({"term": pa.array(signed(terms))}))
+        known = {r["term"]: r["df"] for r in frequencies.join(own, "term").collect()}  # the shard's terms
+        return Statistics(sizes[0], sizes[1] or 0, sizes[2] or 0, np.array([known[t] for t in signed(terms).tolist()], np.int64))
+
+    first = True
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        if len(ids) == SHARD_ITEMS:
+            yield Index.build(ids, texts, over=over())
+            first, ids, texts = False, [], []
         ids.append(r[0])
         texts.append(r[1])
-        if len(ids) == SHARD_ITEMS:
-            yield Index.build(ids, texts)
-            ids, texts = [], []
     if ids:
-        yield Index.build(ids, texts)
+        yield Index.build(ids, texts, over=None if first else over())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

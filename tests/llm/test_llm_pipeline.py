@@ -29,3 +29,45 @@ def test_stages_take_awkward_and_no_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
         kept = stage(spark, docs, SF)
         assert kept.count() <= docs.count(), name
+
+
+def test_near_duplicate_stage_equals_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.select("doc_id", "text").collect()}
+    sets = {}
+    for i, text in texts.items():
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in text.split()]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    group = {i: i for i in texts}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(texts)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root(a) != root(b):
+                low, high = sorted((root(a), root(b)))
+                group[high] = low
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {i for i in ids if root(i) == i} and len(kept) < len(ids)
+
+
+def test_toxicity_stage_keeps_what_the_operator_does_not_predict(spark):
+    from sessionlens.llm import toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in toxicity.op2_toxicity(docs, labels).where("predicted = 0").select("doc_id").collect()}
+
+
+def test_leaks_go_whatever_their_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "nothing that any test has ever asked stands in this line of plain words"
+    rows = [(None, item), (1, item), (1, clean), (None, clean), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_leaks(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([(1, clean), (None, clean), (2, None)], key=str)
