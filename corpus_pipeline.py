@@ -22,15 +22,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates. Rows that share an id are one document: they stay or go
+    together; rows without an id stay."""
     others = minhash.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no test item."""
-    found = decontaminate.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that leak no test item. Rows are told apart by id and text, so those without an id, or with one that others have, are
+    judged by their own text."""
+    key = F.xxhash64("doc_id", "text")
+    found = decontaminate.leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select(F.col("doc_id").alias("__leak")).distinct(), key == F.col("__leak"), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
