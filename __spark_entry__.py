@@ -264,11 +264,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "listing_other": lambda s: catalog.listing_other(s.listing, THRESHOLDS.category_views),
     "category_targets": lambda s: catalog.category_targets(s.ranking),
     "category_summary": lambda s: catalog.category_summary(s.ranking),
-    "price_rank_corr": lambda s: catalog.price_rank_corr(
-        s.listing.where(F.col("viewing_sessions") >= THRESHOLDS.category_views).withColumn(
-            "atc_pct", exprs.pct("carting_sessions", "viewing_sessions")
-        )
-    ),
+    "price_rank_corr": lambda s: catalog.price_rank_corr(s.ranking),
     "price_band_test": lambda s: catalog.price_band_test(s.bands),
     "user_sessions": lambda s: sessions.user_sessions(
         s.sessions.select(

@@ -162,9 +162,9 @@ _TEST = "chi2 p cramers_v"
 
 # Spearman: average ranks by counting, p by Simpson integration of cos^(n−3) over the angle of t.
 _RANKS = """SELECT a.median_price, a.atc_pct,
-    (SELECT count(*) FILTER (WHERE b.median_price<a.median_price)+(count(*) FILTER (WHERE b.median_price=a.median_price)+1)/2.0 FROM @li b WHERE b.median_price IS NOT NULL) AS rx,
-    (SELECT count(*) FILTER (WHERE b.atc_pct<a.atc_pct)+(count(*) FILTER (WHERE b.atc_pct=a.atc_pct)+1)/2.0 FROM @li b WHERE b.median_price IS NOT NULL) AS ry
-    FROM @li a WHERE median_price IS NOT NULL"""
+    (SELECT count(*) FILTER (WHERE b.median_price<a.median_price)+(count(*) FILTER (WHERE b.median_price=a.median_price)+1)/2.0 FROM @rk b WHERE b.median_price IS NOT NULL) AS rx,
+    (SELECT count(*) FILTER (WHERE b.atc_pct<a.atc_pct)+(count(*) FILTER (WHERE b.atc_pct=a.atc_pct)+1)/2.0 FROM @rk b WHERE b.median_price IS NOT NULL) AS ry
+    FROM @rk a WHERE median_price IS NOT NULL"""
 _SIMPSON = (
     "list_sum(list_transform(range(0,2001), lambda i: (CASE WHEN i=0 OR i=2000 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)"
     "*pow(cos({top}*i/2000.0),n-3)))*{top}/6000.0"
