@@ -1,9 +1,11 @@
-"""Operator 7: deletion of repeated line runs by fingerprints.
-
-The units are lines, and the sentences within longer ones. Every run of three units is a fingerprint, and so are a long unit and the
-two pairs it makes with its neighbours. Each is joined with the first place it stands at, and what has stood before is deleted: a
-repeated run of three units or more, or of two with a long one, goes as a whole, whichever earlier places its parts have. Units
-are compared whole: of a passage that begins or ends within a sentence, those sentences stay.
+"""Operator 7: deletion of repeated line runs by winnowing.
+
+The units are lines, and the sentences within longer ones. A run is a stretch of three units, or of one or two with a long unit
+among them. Of each run the least unit is its fingerprint, by a hash, long units first: these window minima are the same wherever
+the run stands, so every repeated run has a fingerprint that repeats, and only about half of the units are one. Fingerprints that
+stand once are left behind; the places of the others are joined and extended both ways to the runs that they are the least of.
+Each run's first place stays, and later ones are deleted: a repeated stretch goes as a whole, whichever earlier places its parts
+have. Units are compared whole: of a passage that begins or ends within a sentence, those sentences stay.
 """
 
 from __future__ import annotations
@@ -12,16 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.llm.common import bounds, mix, pieces, signed, span_hashes, text_buffer, tuned, written
 
-#: Units of a run that is a fingerprint.
+#: Units of a run, which are the windows that minima are taken of.
 RUN = 3
-#: A unit of so many words is a fingerprint by itself; a passage of over 50 words in four units or fewer has one.
+#: A unit of so many words is a run by itself; a passage of over 50 words in four units or fewer has one.
 LONG = 13
 
-SPOTS = "fp long, size int, doc_id long, digest int, pos int"
+#: The runs that a fingerprint can be the least unit of: units of the run, and how many of them stand before the fingerprint.
+SLOTS = [(size, before) for size in range(1, RUN + 1) for before in range(size)]
+RUNS = [f"run{size}{before}" for size, before in SLOTS]
+SPOTS = ", ".join(["fp long", "doc_id long", "digest int", "pos int", *(f"{name} long" for name in RUNS)])
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -54,57 +60,91 @@ class Units:
         self.edges = bounds(self.owner, len(offsets) - 1)
 
 
-def fingerprints(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints: hash, number of units, and first unit."""
+def fingerprints(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Units that are the least of a run, and by slot the hashes of those runs, 0 where the unit is not the least."""
     n = len(u.owner)
-    out = []
     long = u.words >= LONG
-    for size in (1, 2, RUN):
-        if n < size:
-            continue
-        grams = np.full(n - size + 1, np.uint64(size) * np.uint64(0x5851F42D4C957F2D))
-        some = np.zeros(n - size + 1, bool)
+    rank = (u.hashes >> np.uint64(1)) | np.where(long, np.uint64(0), np.uint64(1 << 63))
+    runs = np.zeros((len(SLOTS), n), np.uint64)
+    for size in range(1, min(RUN, n) + 1):
+        starts = np.arange(n - size + 1)
+        grams = np.full(len(starts), size, np.uint64) * np.uint64(0x5851F42D4C957F2D)
+        some, least = np.zeros(len(starts), bool), starts
         for k in range(size):
-            grams = mix(grams * np.uint64(3) + u.hashes[k : n - size + 1 + k])
-            some |= long[k : n - size + 1 + k]
-        at = np.flatnonzero((u.owner[: n - size + 1] == u.owner[size - 1 :]) & (some | (size == RUN)))
-        out.append((grams[at], np.full(len(at), size), at))
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return tuple(np.concatenate(x) for x in zip(none, *out))
+            grams = mix(grams * np.uint64(3) + u.hashes[starts + k])
+            some |= long[starts + k]
+            least = np.where(rank[starts + k] <= rank[least], starts + k, least)
+        whole = (u.owner[starts] == u.owner[starts + size - 1]) & (some | (size == RUN))
+        for before in range(size):
+            at = np.flatnonzero(whole & (least == starts + before))
+            runs[SLOTS.index((size, before)), at + before] = np.maximum(grams[at], np.uint64(1))
+    at = np.flatnonzero(runs.any(axis=0))
+    return at, runs[:, at]
+
+
+def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches):
+        u = Units(*text_buffer(piece.column("text")))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(u.hashes[fingerprints(u)[0]]))], ["fp"])
 
 
 def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches):
         u = Units(*text_buffer(piece.column("text")))
-        fp, size, at = fingerprints(u)
+        at, runs = fingerprints(u)
         owner = u.owner[at]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(signed(fp)), pa.array(size.astype(np.int32)),
+                pa.array(signed(u.hashes[at])),
                 pa.array(piece.column("doc_id").to_numpy(zero_copy_only=False)[owner].astype(np.int64)),
                 pa.array(piece.column("digest").to_numpy(zero_copy_only=False)[owner].astype(np.int32)),
                 pa.array((at - u.edges[owner]).astype(np.int32)),
+                *(pa.array(signed(r)) for r in runs),
             ],
             [x.split()[0] for x in SPOTS.split(", ")],
         )
 
 
+def extended(docs: DataFrame) -> DataFrame:
+    """The runs around fingerprints that repeat: (run, size, doc_id, digest, pos). Any run that repeats is among them, at all its
+    places; the fingerprints are joined as written tables, so that a frequent one is split over tasks."""
+    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    often = own.select("text").mapInArrow(marks, "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    places = own.mapInArrow(spots, SPOTS).join(written(often, "fingerprints"), "fp")
+    around = F.array(*[
+        F.struct(F.col(name).alias("run"), F.lit(size).alias("size"), (F.col("pos") - before).alias("pos"))
+        for name, (size, before) in zip(RUNS, SLOTS)
+    ])
+    around = F.filter(around, lambda x: x["run"] != 0)
+    return written(places.select("doc_id", "digest", F.explode(around).alias("x")).select("doc_id", "digest", "x.*"), "runs")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """Fingerprints that have stood before: (doc_id, digest, seen), each with the unit that a run must not reach back over: one
-    that overlaps its own earlier copy would take that copy's units with it."""
-    found = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(spots, SPOTS)
+    """Runs that have stood before: (doc_id, digest, seen), each with the unit that it must not reach back over: one that overlaps
+    its own earlier copy would take that copy's units with it."""
+    found = extended(docs)
     place = F.struct("doc_id", "pos")
-    first = found.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
-    first = written(first, "firsts")  # as a table, so that the join below can split a common fingerprint over tasks
+    first = found.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    first = written(first, "firsts")  # as a table, so that the join below can split a common run over tasks
     own = F.col("first.doc_id") == F.col("doc_id")
-    later = found.select("fp", "size", "doc_id", "digest", "pos").join(first, "fp").where(
+    later = found.join(first, "run").where(
         (F.col("first.doc_id") < F.col("doc_id")) | (own & (F.col("first.pos") < F.col("pos")))
     )
-    least = F.when(own, F.col("first.pos") + F.col("size")).otherwise(0).alias("least")
-    seen = F.struct("pos", "size", least)
+    least = F.when(own, F.col("first.pos") + F.col("size")).otherwise(0)
+    seen = F.struct(F.greatest("pos", least).alias("start"), (F.col("pos") + F.col("size")).alias("end"))
     return later.groupBy("doc_id", "digest").agg(F.collect_list(seen).alias("seen"))
 
 
+def covered(seen: pa.Array, u: Units) -> np.ndarray:
+    """Whether each unit lies in one of its document's runs."""
+    seen = seen.combine_chunks() if isinstance(seen, pa.ChunkedArray) else seen
+    flat, base = seen.flatten(), np.repeat(u.edges[:-1], pc.fill_null(pc.list_value_length(seen), 0).to_numpy(zero_copy_only=False))
+    steps = np.zeros(len(u.owner) + 1, np.int64)
+    np.add.at(steps, base + flat.field("start").to_numpy(), 1)
+    np.add.at(steps, base + flat.field("end").to_numpy(), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
 def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_removed")) -> DataFrame:
     """`docs` with repeated stretches taken out of `text`, and two more columns: units, and units removed.
 
@@ -118,21 +158,14 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_units", "n_remove
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.hash("text").alias("digest"),
         F.struct(*[F.col(f"`{c}`") for c in names if c not in ("text",)]).alias("row"),
     )
-    marks = repeats(keyed.select("doc_id", "text", "digest"))
-    joined = keyed.join(marks, ["doc_id", "digest"], "left")
+    joined = keyed.join(repeats(keyed.select("doc_id", "text", "digest")), ["doc_id", "digest"], "left")
     row_type = keyed.schema["row"].dataType.simpleString()
 
     def run(batches):
         for piece in pieces(batches):
             data, offsets = text_buffer(piece.column("text"))
             u = Units(data, offsets)
-            gone = np.zeros(len(u.owner), bool)
-            marked = piece.column("seen")
-            for i in range(piece.num_rows):
-                if marked[i].is_valid:
-                    base = int(u.edges[i])
-                    for x in marked[i].as_py():
-                        gone[base + max(x["pos"], x["least"]) : base + x["pos"] + x["size"]] = True
+            gone = covered(piece.column("seen"), u)
             texts = piece.column("text").to_pylist()
             removed = np.concatenate([[0], np.cumsum(gone)])
             n_removed = removed[u.edges[1:]] - removed[u.edges[:-1]]

@@ -1,10 +1,12 @@
 """The operators' methods against brute force on small tables."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -27,8 +29,6 @@ def texts(docs):
 
 
 def test_equal_words_have_equal_hashes_wherever_they_stand():
-    import pyarrow as pa
-
     data, offsets = text_buffer(pa.array(["aa bb", None, " bb\taa cc", ""]))
     starts, ends, owner = tokens(data, offsets, WORD_BYTES)
     h = span_hashes(data, starts, ends)
@@ -151,26 +151,56 @@ def test_runs_go_whole_whichever_earlier_places_their_parts_have(spark):
     assert {r["doc_id"]: r["n_removed"] for r in found} == gone
 
 
-def test_line_runs_are_found_and_nothing_else_goes(docs, texts):
-    rows = {r["doc_id"]: r for r in lines.op7_lines(docs).collect()}
-    three, four, long = set(), set(), set()
+def line_units(text):
+    return [u for line in text.split("\n") for u in (x.strip(" \t\r\n\x0b\x0c") for x in re.split(r"(?<=[.!?]) ", line)) if u]
+
+
+def units_gone(texts):
+    """By document, the units that lie in a run with an earlier place: three units, or fewer with a long one."""
+    first, out = {}, {}
     for i in sorted(texts):
-        units = [u for line in texts[i].split("\n") for u in (x.strip(" \t\r\n\x0b\x0c") for x in re.split(r"(?<=[.!?]) ", line)) if u]
-        must, may = set(), set()
-        for p, u in enumerate(units):
-            if tuple(units[p : p + 4]) in four:
-                must |= {p + 1, p + 2}
-            if tuple(units[p : p + 3]) in three:
-                may |= set(range(p - 1, p + 4))
-            if u in long:
-                must.add(p)
-                may |= {p - 1, p, p + 1}
-            four |= {tuple(units[p : p + 4])} if p + 4 <= len(units) else set()
-            three |= {tuple(units[p : p + 3])} if p + 3 <= len(units) else set()
-            long |= {u} if len(u.split()) >= lines.LONG else set()
-        r = rows[i]
-        assert r["n_units"] == len(units) and len(must) <= r["n_removed"] <= len(may & set(range(len(units)))), i
-        assert r["n_removed"] or r["text"] == texts[i]
+        units = line_units(texts[i])
+        out[i] = set()
+        for size in range(1, lines.RUN + 1):
+            for p in range(len(units) - size + 1):
+                run = tuple(units[p : p + size])
+                if size == lines.RUN or any(len(u.split()) >= lines.LONG for u in run):
+                    doc, at = first.setdefault(run, (i, p))
+                    if (doc, at) != (i, p):
+                        out[i] |= set(range(p if doc < i else max(p, at + size), p + size))
+    return out
+
+
+def test_line_runs_equal_brute_force(docs, texts):
+    rows = {r["doc_id"]: r for r in lines.op7_lines(docs).collect()}
+    gone = units_gone(texts)
+    for i in texts:
+        kept = [u for p, u in enumerate(line_units(texts[i])) if p not in gone[i]]
+        assert (rows[i]["n_units"], rows[i]["n_removed"]) == (len(line_units(texts[i])), len(gone[i])), i
+        assert line_units(rows[i]["text"]) == kept or not gone[i]
+        assert gone[i] or rows[i]["text"] == texts[i]
+
+
+def test_line_runs_of_few_repeating_units_equal_brute_force(spark):
+    rng = random.Random(7)
+    filler = " ".join(["many"] * lines.LONG)
+    names = [f"s{k}." for k in range(6)] + [f"l{k} {filler}." for k in range(2)]
+    texts = {i: "\n".join(rng.choice(names) for _ in range(rng.randint(0, 9))) for i in range(120)}
+    rows = {r["doc_id"]: r["n_removed"] for r in lines.op7_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert rows == {i: len(x) for i, x in units_gone(texts).items()}
+
+
+def test_a_run_has_one_window_minimum_wherever_it_stands():
+    rng = random.Random(5)
+    units = [f"u{rng.randint(0, 400)}." for _ in range(2000)]
+    u = lines.Units(*text_buffer(pa.array(["\n".join(units)])))
+    at, runs = lines.fingerprints(u)
+    chosen = {}
+    for (size, before), hashes in zip(lines.SLOTS, runs):
+        for p, h in zip(at - before, hashes):
+            if h:
+                assert chosen.setdefault(tuple(units[p : p + size]), (h, before)) == (h, before)
+    assert np.count_nonzero(runs) == len(units) - lines.RUN + 1 and len(at) < 0.55 * len(units)
 
 
 # leaks
