@@ -1,7 +1,9 @@
 """Operator 8: visible text of HTML pages, laid out.
 
 A tree builder with implied tags reads the page, visibility rules drop what a browser would not show, and the layout keeps block
-spacing, list markers and aligned table cells. Pages are independent: Spark deals them out, one small parser works on each.
+spacing, list markers and aligned table cells. Pages are independent: Spark deals them out, one small parser works on each, in
+time proportional to its page. Padding is bounded: a line is indented by at most `WIDEST_LEAD` blanks, a column is padded to at
+most `WIDEST_COLUMN` and begins within `WIDEST_LINE`; what is longer stays whole and pushes the rest of its line on.
 """
 
 from __future__ import annotations
@@ -58,9 +60,12 @@ IMPLIED = {
 }
 #: An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
-INDENT = "  "
+KEEPS_P = SCOPE | {"button"}
+INDENT = 2
 #: Tables within so many tables are laid out as blocks.
 DEEPEST = 20
+#: Bounds of padding, in characters: indentation, a column of a table, where a table's last aligned column begins.
+WIDEST_LEAD, WIDEST_COLUMN, WIDEST_LINE = 60, 80, 400
 
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -85,10 +90,39 @@ class Node:
         return found
 
 
+class Stack:
+    """The open elements; the innermost one of some tags is known without a search."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {root.tag: [0]}
+
+    def __getitem__(self, k: int) -> Node:
+        return self.nodes[k]
+
+    def __len__(self) -> int:
+        return len(self.nodes)
+
+    def append(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.nodes.pop().tag].pop()
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            self.pop()
+
+    def innermost(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 for none: the root is never ended."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; broken markup gives a tree too, and what is left open ends with the page."""
     root = Node("html")
-    stack = [root]
+    stack = Stack(root)
     at, n = 0, len(page)
 
     def text(s: str) -> None:
@@ -139,19 +173,17 @@ def parse(page: str) -> Node:
     return root
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: Stack, tag: str) -> None:
     if tag == "br":
         stack[-1].children.append(Node("br"))
         return
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE and tag not in SCOPE and not (tag in ("tr", "thead", "tbody", "tfoot", "body") and stack[k].tag != "table"):
-            return
+    limits = () if tag in SCOPE else ("table",) if tag in ("tr", "thead", "tbody", "tfoot", "body") else SCOPE
+    k = stack.innermost((tag,))
+    if k > stack.innermost(limits):
+        stack.cut(k)
 
 
-def _open(stack: list[Node], tag: str, attributes: str) -> None:
+def _open(stack: Stack, tag: str, attributes: str) -> None:
     inner = stack[-1]
     if inner.foreign and inner.tag not in ("foreignobject", "annotation-xml"):
         if tag not in ENDS_FOREIGN:
@@ -167,23 +199,17 @@ def _open(stack: list[Node], tag: str, attributes: str) -> None:
         return
     if stack[-1].tag == "head" and tag not in HEAD_ONLY:
         stack.pop()
-    if tag == "body" and any(x.tag == "body" for x in stack):
+    if tag == "body" and stack.innermost(("body",)):
         return
     if tag in ENDS_P:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPE or stack[k].tag == "button":
-                break
+        k = stack.innermost(("p",))
+        if k > stack.innermost(KEEPS_P):
+            stack.cut(k)
     if tag in IMPLIED:
         ends, limits = IMPLIED[tag]
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in limits:
-                break
-            if stack[k].tag in ends:
-                del stack[k:]
-                break
+        k = stack.innermost(ends)
+        if k > stack.innermost(limits):
+            stack.cut(k)
         # table parts inside one another: a row ends a cell before it ends the row
         if tag in ("tr", "thead", "tbody", "tfoot"):
             while len(stack) > 1 and stack[-1].tag in ("td", "th", "tr") and (tag != "tr" or stack[-1].tag != "tr"):
@@ -196,7 +222,7 @@ def _open(stack: list[Node], tag: str, attributes: str) -> None:
         stack.append(node)
 
 
-def _push(stack: list[Node], node: Node) -> None:
+def _push(stack: Stack, node: Node) -> None:
     stack[-1].children.append(node)
     stack.append(node)
 
@@ -233,7 +259,7 @@ class Page:
         self.lines: list[str] = []
         self.run: list[str] = []
         self.gap = False  # a blank line is due before the next text
-        self.prefix: list[str] = []
+        self.prefix: list[int] = []  # indentation of each open element, those around it included
         self.marker = ""
         self.blank = False  # a blank is due before the next word
 
@@ -258,12 +284,15 @@ class Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        lead = "".join(self.prefix)
+        lead = " " * min(self.prefix[-1] if self.prefix else 0, WIDEST_LEAD)
         if self.marker:
             lead = lead[: len(lead) - len(self.marker)] + self.marker if len(lead) >= len(self.marker) else self.marker
             self.marker = ""
         self.lines.append((lead + s).rstrip())
 
+    def indent(self, width: int) -> None:
+        self.prefix.append((self.prefix[-1] if self.prefix else 0) + width)
+
     def space(self) -> None:
         self.line()
         self.gap = True
@@ -343,12 +372,12 @@ def render(root: Node, depth: int = 0, visible: bool = True) -> list[str]:
                     numbers[-1] = int(value)
                 marker = f"{numbers[-1]}. "
                 numbers[-1] += 1
-            page.prefix.append(" " * len(marker))
+            page.indent(len(marker))
             page.marker = marker
         elif tag in BLOCK:
             page.space() if tag in SPACED else page.line()
             if tag in ("blockquote", "dd"):
-                page.prefix.append(INDENT)
+                page.indent(INDENT)
         elif tag in ("td", "th", "caption", "tr"):
             page.line()
         elif tag == "q" and seen:
@@ -366,8 +395,8 @@ def render(root: Node, depth: int = 0, visible: bool = True) -> list[str]:
 
 
 def table_lines(table: Node, depth: int, visible: bool) -> list[str]:
-    """A table's caption, then its rows with the cells of a column aligned; a cell's lines are joined, loose text stands first."""
-    captions, loose, rows = [], [], []  # of a row: its group, and (text, columns, rows) of its cells
+    """A table's caption, then its rows with the cells of a column aligned; a cell keeps its lines, loose text stands first."""
+    captions, loose, rows = [], [], []  # of a row: its group, and (lines, columns, rows) of its cells
     work = [(c, visible, 0) for c in reversed(table.children)]
     groups = 0
     while work:
@@ -391,32 +420,35 @@ def table_lines(table: Node, depth: int, visible: bool) -> list[str]:
                 ok, cell_seen = _display(c, inner)
                 if not ok:
                     continue
-                text = " ".join(" ".join(x.split()) for x in _cell(c, depth, cell_seen) if x)
-                cells.append((text, min(_span(c, "colspan") or 1, WIDEST_SPAN), _span(c, "rowspan")))
+                cells.append((_cell(c, depth, cell_seen), min(_span(c, "colspan") or 1, WIDEST_SPAN), _span(c, "rowspan")))
             rows.append((group, cells))
         else:
             groups += 1
             work.extend((c, inner, groups) for c in reversed(node.children))
     placed = _grid(rows)
     widths: dict[int, int] = {}
+    wide = lambda lines: min(max(map(len, lines), default=0), WIDEST_COLUMN)
     for cells in placed:
-        for column, text, span in cells:
-            widths[column] = max(widths.get(column, 0), len(text) if span == 1 else 0)
+        for column, lines, span in cells:
+            widths[column] = max(widths.get(column, 0), wide(lines) if span == 1 else 0)
     columns = sorted(widths)
     # what a cell over several columns needs beyond them widens the last
-    for column, text, span in sorted((c for cells in placed for c in cells if c[2] > 1), key=lambda c: c[2]):
+    for column, lines, span in sorted((c for cells in placed for c in cells if c[2] > 1), key=lambda c: c[2]):
         mine = columns[bisect_left(columns, column) : bisect_left(columns, column + span)]
-        widths[mine[-1]] += max(0, len(text) - sum(widths[c] for c in mine) - 2 * (len(mine) - 1))
+        widths[mine[-1]] += max(0, wide(lines) - sum(widths[c] for c in mine) - 2 * (len(mine) - 1))
     begins, at = {}, 0
     for c in columns:
-        begins[c] = at
+        begins[c] = min(at, WIDEST_LINE)
         at += widths[c] + 2
     body = []
     for cells in placed:
-        line = ""
-        for column, text, _ in cells:
-            line = line.ljust(begins[column]) + text if text else line
-        if line:
+        shown = [(begins[column], lines) for column, lines, _ in cells if lines]
+        for k in range(max((len(lines) for _, lines in shown), default=0)):
+            shown = [x for x in shown if k < len(x[1])]
+            line = ""
+            for begin, lines in shown:
+                if lines[k]:
+                    line = (line + "  " if line else "").ljust(begin) + lines[k]
             body.append(line)
     return captions + loose + body
 
@@ -427,17 +459,17 @@ def _span(node: Node, name: str) -> int:
     return min(int(told), 65534) if told.isdecimal() and len(told) < 10 else 1
 
 
-def _grid(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[list[tuple[int, str, int]]]:
-    """By row, (column, text, columns) of its cells: they take the columns that no cell from above reaches into; groups end cells."""
+def _grid(rows: list[tuple[int, list[tuple[list[str], int, int]]]]) -> list[list[tuple[int, list[str], int]]]:
+    """By row, (column, lines, columns) of its cells: they take the columns that no cell from above reaches into; groups end cells."""
     out, reach, last = [], {}, None  # reach: rows that a column is still taken for, -1 up to the group's end
     for group, cells in rows:
         if group != last:
             reach, last = {}, group
         column, mine, taken = 0, [], {}
-        for text, span, down in cells:
+        for lines, span, down in cells:
             while column in reach:
                 column += 1
-            mine.append((column, text, span))
+            mine.append((column, lines, span))
             if down != 1:
                 taken.update((column + k, down - 1) for k in range(span))
             column += span

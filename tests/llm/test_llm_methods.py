@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -347,6 +348,28 @@ def test_cells_stand_under_their_column():
     assert html.visible_text("<table><tr><td colspan=300>a<td>b<tr><td>c</table>") == "a  b\nc"
 
 
+def test_cells_keep_their_lines():
+    page = "<table><tr><td><h1>Title</h1><p>one<p>two<ul><li>a<li>b</ul><td>x<br>y<tr><td>c<td>z</table>"
+    assert html.visible_text(page) == "Title  x\n       y\none\n\ntwo\n\n- a\n- b\nc      z"
+
+
+def test_padding_is_bounded_and_long_cells_stay_whole():
+    long = "w" * 50_000
+    page = f"<table><tr><td>{long}<td>end" + "<tr><td>k<td>v" * 1000 + "</table>"
+    lines = html.visible_text(page).split("\n")
+    assert lines[0] == f"{long}  end" and set(lines[1:]) == {"k".ljust(html.WIDEST_COLUMN) + "  v"}
+    wide = "<table><tr>" + f"<td>{'c' * 90}" * 900 + "<tr><td colspan=899><td>x" * 2000 + "</table>"
+    assert len(html.visible_text(wide)) < 900 * 92 + 2000 * (html.WIDEST_LINE + 2)
+    assert len(html.visible_text("<blockquote>a" * 20_000)) < 20_000 * (html.WIDEST_LEAD + 3)
+
+
+@pytest.mark.parametrize("start", ["<div>", "<p><button>", "<span>", "<li>", "<ul><li>"])
+def test_deep_pages_take_time_in_proportion(start):
+    began = time.process_time()
+    assert html.visible_text(start * 50_000 + "word").endswith("word")
+    assert time.process_time() - began < 5
+
+
 def test_what_is_predicted_toxic_does_not_survive(spark):
     words = ["calm", "green", "river", "stone", "walks", "quiet", "paper", "window"]
     rows = [(i, " ".join(words[(i + k) % 8] for k in range(12)) + (" zorgle." if i % 5 == 0 else ".")) for i in range(200)]
