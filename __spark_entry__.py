@@ -302,7 +302,7 @@ _VISITS: dict[str, Callable[[Study], DataFrame]] = {
     "cohort_eligibility": lambda v: cohorts.cohort_eligibility(v.cohort_channels, v.window),
     "retention_averages": lambda v: cohorts.retention_averages(v.matrix, v.window),
     "retention_by_month": lambda v: cohorts.retention_by_month(v.matrix, v.window),
-    "cohort_channel": lambda v: cohorts.cohort_channel(v.events),
+    "cohort_channel": lambda v: cohorts.cohort_channel(v.events, v.base),
     "retention_mix": lambda v: v.retention_mix,
     "mix_decomposition": lambda v: inference.mix_decomposition(v.peak, v.trough, "medium"),
     "channel_changes": lambda v: inference.channel_changes(v.peak, v.trough),

@@ -111,11 +111,12 @@ def retention_by_month(matrix: DataFrame, window: EventWindow) -> DataFrame:
     ).orderBy("month")
 
 
-def cohort_channel(ev: DataFrame) -> DataFrame:
+def cohort_channel(ev: DataFrame, base: DataFrame) -> DataFrame:
     """Week-1 return by cohort week and medium of the user's first session.
 
     Sessions starts collapse to one row per user and week first, so the per-user step holds a row per
-    active week. The first session's medium is looked up among per-session minima.
+    active week. The first session's medium stands in the session table `base`, so of the events only
+    session starts are read.
     """
     user = null_safe_key("user_pseudo_id").alias("_u")
     week = week_start("event_date")
@@ -127,10 +128,8 @@ def cohort_channel(ev: DataFrame) -> DataFrame:
         .groupBy("_u", "user_pseudo_id", F.col("first.session_id").alias("session_id"), F.col("first.wk").alias("cohort_week"))
         .agg(F.bool_or(F.col("wk") == F.date_add("first.wk", 7)).alias("back"))
     )
-    medium = (
-        ev.where(F.col("session_id").isNotNull() & F.col("medium").isNotNull() & F.col("user_pseudo_id").isNotNull())
-        .groupBy(user, "session_id")
-        .agg(F.min(F.struct("event_timestamp", "medium"))["medium"].alias("medium"))
+    medium = base.where(F.col("session_medium").isNotNull() & F.col("user_pseudo_id").isNotNull()).select(
+        user, "session_id", F.col("session_medium").alias("medium")
     )
     # A user without an id matches nothing in either lookup.
     back = F.col("back") & F.col("user_pseudo_id").isNotNull()

@@ -222,7 +222,7 @@ class Study:
 
     @cached_property
     def cohort_channels(self) -> DataFrame:
-        return self._small(cohorts.cohort_channel(self.events), "cohort-channels")
+        return self._small(cohorts.cohort_channel(self.events, self.base), "cohort-channels")
 
     @cached_property
     def peak(self) -> DataFrame:

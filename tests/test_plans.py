@@ -59,5 +59,12 @@ def test_event_reports_push_their_filter(plan_of):
     assert "ReadSchema: struct<event_name:string,user_pseudo_id:string>" in plan_of("unique_users")
 
 
+def test_cohort_channel_reads_session_starts_and_the_session_table(plan_of):
+    scans = [x for x in plan_of("cohort_channel").splitlines() if "FileScan" in x]
+    starts = [x for x in scans if "EqualTo(event_name,session_start)" in x]
+    assert len(scans) == 2 and len(starts) == 1 and plan_of("cohort_channel").count("Exchange hashpartitioning") <= 5
+    assert "ReadSchema: struct<user_pseudo_id:string,session_id:bigint,session_medium:string>" in plan_of("cohort_channel")
+
+
 def test_scan_prunes_days(plan_of):
     assert re.search(r"PartitionFilters: \[isnotnull\(event_date_part", plan_of("scan_events"))
