@@ -172,4 +172,4 @@ def identify(docs: DataFrame, model: SlicedBloom) -> DataFrame:
 def op5_language(docs: DataFrame) -> DataFrame:
     """The query: learn from the rows that are not held out, predict all."""
     model = learn(docs.where(~held_out()))
-    return identify(docs, model).withColumn("held_out", held_out())
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_grams")
