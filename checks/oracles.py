@@ -149,11 +149,13 @@ CTE: dict[str, str] = {
         CASE WHEN user_id%10=0 THEN '' ELSE n_name END AS country,
         ['organic','cpc','(none)'][user_id%3+1] AS first_touch,
         CASE WHEN name='purchase' AND k%10<>0 THEN value END AS rev,
-        CASE WHEN own AND name IN ('view_item','add_to_cart') AND k%4>0 THEN k%4 END AS n_items
-        FROM @e5 LEFT JOIN nation ON n_nationkey = user_id%25""",
+        CASE WHEN own AND name IN ('view_item','add_to_cart') AND k%4>0 THEN k%4 END AS n_items,
+        CASE WHEN own AND name='add_to_cart' AND k%4>0 AND (p_type<>'STANDARD' OR (user_id//16)%2=0) THEN 1 ELSE 0 END AS n_carted
+        FROM @e5 LEFT JOIN nation ON n_nationkey = user_id%25
+        CROSS JOIN (SELECT count(*) AS np FROM part) LEFT JOIN part ON p_partkey = (user_id*7)%np""",
     "it": """SELECT x.*, p_name AS item_name, CAST(p_size AS DOUBLE) AS price,
         CASE p_partkey%3 WHEN 0 THEN 'Home/'||p_type||'/' WHEN 1 THEN 'Home/Apparel/'||p_type||'/' ELSE p_type END AS raw,
-        CASE WHEN name='add_to_cart' AND j=0 THEN 1 ELSE 0 END AS qty
+        CASE WHEN j=0 THEN n_carted ELSE 0 END AS qty
         FROM (SELECT ev.*, unnest(range(0, n_items)) AS j FROM @ev WHERE n_items IS NOT NULL) x
         CROSS JOIN (SELECT count(*) AS np FROM part) JOIN part ON p_partkey = (user_id*7+j)%np""",
     "itl": f"SELECT *, {LABEL} AS item_category, {PARENT} AS parent, {BAND} AS price_band FROM @it",
@@ -204,7 +206,7 @@ CTE: dict[str, str] = {
     "nvr": None,
     "eq": f"""SELECT name AS event_name, CAST(count(*) AS BIGINT) AS events, round(avg(n_items),1) AS avg_items,
         {count_if('n_items>1')} AS multi_item_events, {count_if('coalesce(n_items,0)=0')} AS no_item_events,
-        {count_if("name='add_to_cart' AND n_items>=1")} AS one_carted_item_events
+        {count_if("n_carted=1")} AS one_carted_item_events
         FROM @ev WHERE name IN ('view_item','add_to_cart') GROUP BY 1""",
     # channels
     "chb": """SELECT CASE WHEN 1-(SELECT coalesce(sum(sessions) FILTER (WHERE session_medium='(not set)'),0)/sum(sessions) FROM @cnt)>=0.5

@@ -202,7 +202,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "visitor_type": (f"SELECT session_number, {VISITOR} AS visitor_type, CAST(count(*) AS BIGINT) AS sessions FROM @ss GROUP BY 1,2", ""),
     "week_start": ("SELECT event_date, CAST(date_trunc('week',d) AS DATE) AS week, CAST(count(*) AS BIGINT) AS events FROM @ev GROUP BY 1,2", ""),
     "session_key": ("SELECT user_pseudo_id, session_id, user_pseudo_id||'-'||CAST(session_id AS VARCHAR) AS session_key FROM @ss", ""),
-    "items_quality": (f"SELECT name AS event_name, n_items AS items, CAST(CASE WHEN n_items IS NULL THEN NULL WHEN name='add_to_cart' THEN 1 ELSE 0 END AS BIGINT) AS carted, CAST(count(*) AS BIGINT) AS events FROM @ev GROUP BY 1,2,3", ""),
+    "items_quality": (f"SELECT name AS event_name, n_items AS items, CAST(CASE WHEN n_items IS NOT NULL THEN n_carted END AS BIGINT) AS carted, CAST(count(*) AS BIGINT) AS events FROM @ev GROUP BY 1,2,3", ""),
     "is_shopping_page": ("SELECT path AS page_path, NOT regexp_matches(path,'(?i)sign-?in|log-?in|register|my-?account|basket|cart|checkout|store-policies|faq') AS is_shopping_page, CAST(count(*) AS BIGINT) AS events FROM @ev GROUP BY 1,2", ""),
     "p_label": (f"SELECT test, CASE WHEN p>=0.001 THEN printf('p = %.3f',p) ELSE 'p < 0.001' END AS p_label FROM ({chi2_cte('SELECT * FROM @tst0','k','n','test')})", ""),
     # sessions and funnels

@@ -28,6 +28,7 @@ MEDIUMS = ("organic", "cpc", "referral", "(none)", "email")
 DEVICES = ("desktop", "mobile", "tablet")
 FIRST_TOUCH = ("organic", "cpc", "(none)")
 MAX_ITEMS = 3
+RARELY_CARTED = "STANDARD"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,20 +74,23 @@ def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("Home/Apparel/"), "p_type", F.lit("/")))
         .otherwise(F.col("p_type"))
     )
+    # Half of the users never cart one type, so that its page sells below the average.
+    cartable = (F.col("slot") == 0) & ((F.col("p_type") != RARELY_CARTED) | (F.floor(F.col("user_id") / 16) % 2 == 0))
     listed = F.struct(
         "slot",
+        cartable.alias("cartable"),
         F.col("p_name").alias("item_name"),
         category.alias("item_category"),
         F.col("p_size").cast("double").alias("price"),
     )
-    # A list shows the shelf from its first slot on; carting an event carts the first item only.
+    # A list shows the shelf from its first slot on; carting carts the first item, where it can be.
     as_items = lambda carted: F.transform(
         "slots",
         lambda it: F.struct(
             it["item_name"].alias("item_name"),
             it["item_category"].alias("item_category"),
             it["price"].alias("price"),
-            F.when((it["slot"] == 0) & F.lit(carted), 1).cast("long").alias("quantity"),
+            F.when(it["cartable"] & F.lit(carted), 1).cast("long").alias("quantity"),
         ),
     )
     items = (
