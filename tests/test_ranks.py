@@ -10,9 +10,8 @@ def _expected(values, q):
     return float(np.quantile(v, q)), float(v[max(int(np.ceil(q * len(v))) - 1, 0)])
 
 
-MODES = {
-    "broadcast": {"few_groups": True}, "counted": {}, "written": {"materialise": lambda t: stage(t, "bins")[0]},
-}
+WRITTEN = {"materialise": lambda t: stage(t, "bins")[0]}
+MODES = {"broadcast": {"few_groups": True}, "counted": {}, "written": WRITTEN, "divided": {**WRITTEN, "largest": 3}}
 
 
 @pytest.mark.parametrize("mode", MODES)
@@ -64,6 +63,31 @@ def test_hot_group_with_one_value_collapses(spark):
     assert got["cold"] == float(np.quantile(np.arange(0, 300_000, 3) * 1.5, 0.5))
 
 
+@pytest.mark.parametrize("q", [0.25, 0.5])
+def test_close_values_are_divided_until_no_task_ranks_many(spark, q):
+    """Half of a group's values lie in one bin, and half of those in one part of it: parts are divided until few rows are left."""
+    written = []
+
+    def materialise(table):
+        written.append(stage(table, "bins")[0])
+        return written[-1]
+
+    close = "IF(id % 4 = 0, id * 1.0, IF(id % 4 = 1, 1e6 + id * 1e-3, 1e6 + id * 1e-9))"
+    df = spark.range(40_000).selectExpr(f"{close} AS v")
+    r = exact_quantiles(df, [], "v", q, materialise=materialise, largest=200).first()
+    cont, disc = _expected([x["v"] for x in df.collect()], q)
+    assert (r["q_cont"], r["q_disc"]) == (pytest.approx(cont, rel=1e-15), disc)
+    most = [t.agg({"_rows": "max"}).first()[0] for t in written]
+    assert len(most) >= 3 and most[0] > 20_000 and most[-1] <= 200 and most == sorted(most, reverse=True)
+
+
+def test_equal_values_are_not_divided(spark):
+    written = []
+    df = spark.range(5_000).selectExpr("7.5D AS v")
+    keep = lambda t: written.append(stage(t, "bins")[0]) or written[-1]
+    assert exact_quantiles(df, [], "v", materialise=keep, largest=10).first()["q_disc"] == 7.5 and len(written) == 1
+
+
 def test_bins_are_monotone(frame):
     xs = sorted([0.0, 1e-9, -1e-9, 0.5, 1, 2, 3.5, 1e3, 1e6, 1e12, -5, -1e8, 2.0000001])
     bins = [r[0] for r in frame("v double", [(float(x),) for x in xs]).select(value_bin("v")).collect()]
