@@ -27,6 +27,7 @@ from sessionlens.sources.events import PARTITION, date_range, in_window, scan_es
 from sessionlens.sources.footers import column_chunks, column_estimate
 from sessionlens.sources.staging import scratch_path, stage
 from sessionlens.sources.versions import read_published
+from sessionlens.streaming.sessions import replay, stream_sessions, stream_steps
 
 SHOP_WINDOW = EventWindow("20240101", "20240130")
 ORDER_WINDOW = EventWindow("19950101", "20010801")
@@ -140,6 +141,13 @@ def _session_days(s: Study) -> DataFrame:
     return table.sessions().drop("landing_page", "session_date")
 
 
+def _streamed(s: Study, build: Callable[..., DataFrame]) -> DataFrame:
+    """The study's event files as a stream. Day files are not written in order, so events may be as late as the window is long."""
+    lateness, gap = dt.timedelta(days=(s.window.last_day - s.window.first_day).days + 2), dt.timedelta(hours=12)
+    end = dt.datetime.combine(s.window.last_day, dt.time()) + 2 * lateness
+    return replay(s.spark, s.event_path, s.events.schema, lambda ev: build(ev, gap, lateness), end, files_per_batch=64).table
+
+
 def _window_counts(ev: DataFrame, window: EventWindow) -> DataFrame:
     return funnel.session_funnel(sessions.sessions(in_window(ev, window)))
 
@@ -212,6 +220,8 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
         s.events, event_dims={"device_category": F.col("device_category")}, revenue=True, attributes=True
     ),
     "session_days": _session_days,
+    "stream_sessions": lambda s: sessions.funnel_sessions(_streamed(s, stream_sessions)).drop("landing_page", "session_date"),
+    "stream_funnel": lambda s: funnel.session_funnel(_streamed(s, stream_steps)),
     "funnel": lambda s: funnel.funnel(
         s.sessions, group_by={"visitor": exprs.visitor_type("session_number")}, revenue=True
     ),

@@ -209,6 +209,8 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "session_attrs": ("SELECT user_pseudo_id, session_id, session_medium, n_events, n_medium, n_page_view, engaged_s, session_number FROM @base", "engaged_s"),
     "sessions": ("SELECT user_pseudo_id, session_id, ts_s, ts_v, ts_c, ts_k, ts_p, device_category, revenue, session_medium, n_events, n_medium, n_page_view, engaged_s, session_number, s1, s2, s3, s4, s5 FROM @ss", "revenue engaged_s"),
     "session_days": ("SELECT user_pseudo_id, session_id, ts_s, ts_v, ts_c, ts_k, ts_p, device_category, revenue, session_medium, n_events, n_medium, n_page_view, engaged_s, session_number, s1, s2, s3, s4, s5 FROM @ss", "revenue engaged_s"),
+    "stream_sessions": ("SELECT user_pseudo_id, session_id, ts_s, ts_v, ts_c, ts_k, ts_p, device_category, first_touch_medium, country, revenue, session_medium, n_events, n_medium, n_page_view, engaged_s, session_number, s1, s2, s3, s4, s5 FROM @ss", "revenue engaged_s"),
+    "stream_funnel": ("SELECT * FROM @fun", ""),
     "scan_estimate": ("SELECT c AS \"column\", (SELECT count(*) FROM @ev WHERE d BETWEEN DATE '2024-01-08' AND DATE '2024-01-14') AS rows, true AS cheaper, true AS within_budget FROM (VALUES ('event_name'), ('event_timestamp'), ('user_pseudo_id')) v(c)", ""),
     "funnel": (f"SELECT {VISITOR} AS visitor, {COUNTS}, {REVENUE} FROM @ss WHERE s1 GROUP BY 1", "revenue"),
     "session_funnel": ("SELECT * FROM @fun", ""),

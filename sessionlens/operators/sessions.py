@@ -89,6 +89,12 @@ def session_attrs(ev: DataFrame) -> DataFrame:
     return ev.where(F.col("session_id").isNotNull()).groupBy(*SESSION).agg(*_attribute_aggs())
 
 
+def session_aggs(dims: dict[str, Column] | None = None) -> list[Column]:
+    """Steps, dimensions, revenue, attributes and entry of a session, as aggregates over its events."""
+    dims = shop_dims() if dims is None else dims
+    return [*_step_aggs(FunnelSpec(), dims, True), *_attribute_aggs(), *_entry_aggs()]
+
+
 def session_base(ev: DataFrame, dims: dict[str, Column] | None = None) -> DataFrame:
     """Everything known per session from ONE aggregation: steps, dimensions, revenue, attributes, entry.
 
@@ -96,12 +102,7 @@ def session_base(ev: DataFrame, dims: dict[str, Column] | None = None) -> DataFr
     pages; partial aggregation runs before the shuffle, so one huge session costs one row per task.
     Step flags are stored with it, so filters on them reach the scan of the written table.
     """
-    dims = shop_dims() if dims is None else dims
-    return with_step_flags(
-        ev.where(F.col("session_id").isNotNull())
-        .groupBy(*SESSION)
-        .agg(*_step_aggs(FunnelSpec(), dims, True), *_attribute_aggs(), *_entry_aggs())
-    )
+    return with_step_flags(ev.where(F.col("session_id").isNotNull()).groupBy(*SESSION).agg(*session_aggs(dims)))
 
 
 def _any_step(spec: FunnelSpec) -> Column:

@@ -78,9 +78,14 @@ class Study:
 
     def files(self, window: EventWindow | None = None) -> DataFrame:
         """Listing of the written event files."""
+        return event_files(self.spark, self.event_path, window)
+
+    @property
+    def event_path(self) -> str:
+        """Folder of the written event files."""
         if self._events[1] is None:
             raise ValueError("an unstaged study has no event files")
-        return event_files(self.spark, self._events[1], window)
+        return self._events[1]
 
     @cached_property
     def base(self) -> DataFrame:
