@@ -257,7 +257,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "step_losses": lambda s: funnel.step_losses(s.funnel),
     "funnel_segments": lambda s: funnel.funnel_segments(s.sessions, THRESHOLDS.channel_share),
     "period_funnels": lambda s: funnel.period_funnels(s.events, SECOND_HALF, FIRST_HALF),
-    "revenue_summary": lambda s: revenue.revenue_summary(s.sessions),
+    "revenue_summary": lambda s: revenue.revenue_summary(s.sessions, s.materialise),
     "revenue_reconcile": lambda s: revenue.revenue_reconcile(s.revenue),
     "session_quality": lambda s: quality.session_quality(s.sessions, s.materialise),
     "untagged_profile": lambda s: quality.untagged_profile(s.quality),
@@ -270,7 +270,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     "session_start_check": lambda s: quality.session_start_check(s.events),
     "event_quality": lambda s: quality.event_quality(s.events),
     "event_quality_rates": lambda s: quality.event_quality_rates(quality.event_quality(s.events), s.convert),
-    "time_to_convert": lambda s: revenue.time_to_convert(s.sessions),
+    "time_to_convert": lambda s: revenue.time_to_convert(s.sessions, s.materialise),
     "channel_table": lambda s: channels.channel_table(s.channel_counts, THRESHOLDS.channel_share, low_n=THRESHOLDS.low_n),
     "medium_agreement": lambda s: channels.medium_agreement(s.channel_counts),
     "medium_crosstab": lambda s: channels.medium_crosstab(s.channel_counts),
@@ -307,7 +307,7 @@ _SHOP: dict[str, Callable[[Study], DataFrame]] = {
     ),
     "purchase_paths": lambda s: s.paths,
     "cart_recovery": lambda s: s.carts,
-    "purchase_path_summary": lambda s: paths.purchase_path_summary(s.paths),
+    "purchase_path_summary": lambda s: paths.purchase_path_summary(s.paths, s.materialise),
     "cart_views": _cart_views,
     "recovery_curve": lambda s: paths.recovery_curve(s.carts),
     "wilson_ci": _wilson,

@@ -19,6 +19,8 @@ BINS_PER_OCTAVE = 1024
 #: Parts of a bin that is divided, and rows of different values above which it is.
 PARTS = 1024
 LARGEST = 1_000_000
+#: Writes a small table and reads it back; None does without.
+Materialise = Callable[[DataFrame], DataFrame] | None
 #: What a located bin says about its group: values, wanted ranks, position, values below the bin.
 RANKS = ("_total", "_lo", "_hi", "_di", "_pos", "_before")
 
@@ -60,7 +62,7 @@ def exact_quantiles(
     value: str,
     q: float = 0.5,
     few_groups: bool = False,
-    materialise: Callable[[DataFrame], DataFrame] | None = None,
+    materialise: Materialise = None,
     weight: str | None = None,
     largest: int = LARGEST,
 ) -> DataFrame:
@@ -74,7 +76,7 @@ def exact_quantiles(
     - `materialise`: a function that writes a table and reads it back. The written bins have a known size, so
       Spark broadcasts them while they are small and shuffles when they are not. A located bin of more than
       `largest` rows with different values is divided again, as often as it takes: no task ranks more, however
-      close together the values of a group are.
+      close together the values of a group are. Goes before `few_groups`.
     - neither: distinct values are counted first and matched to their bins by a shuffle join; right
       where values repeat, as prices do.
 
@@ -105,11 +107,10 @@ def exact_quantiles(
         .withColumn("_pos", position)
     )
     located = _wanted(ranked, keys, "_bin", F.lit(0)).drop("_n")
-    if few_groups:
-        located = F.broadcast(located.drop("_rows", "_least", "_greatest"))
-    elif materialise is not None:
-        located = materialise(located)
-        values, located = _divided(values, located, [*keys, "_bin"], materialise, largest)
+    if materialise is not None:
+        values, located = _divided(values, materialise(located), [*keys, "_bin"], materialise, largest)
+    elif few_groups:
+        located = F.broadcast(located)
     # a bin keeps its name while it is divided, and its parts are numbered in further columns
     place = [*keys, *[c for c in located.columns if c.startswith("_bin")]]
     candidates = values.join(located, place)

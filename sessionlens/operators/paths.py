@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.exprs import literal_rows, pct, scalars
-from sessionlens.functions.ranks import exact_quantiles
+from sessionlens.functions.ranks import Materialise, exact_quantiles
 from sessionlens.functions.stats import wilson_ci
 from sessionlens.model import MICROS_PER_HOUR
 
@@ -46,7 +46,7 @@ def cart_recovery(us: DataFrame) -> DataFrame:
     )
 
 
-def purchase_path_summary(paths: DataFrame) -> DataFrame:
+def purchase_path_summary(paths: DataFrame, materialise: Materialise = None) -> DataFrame:
     """Sessions, share, revenue and exact medians per path; every path always present, in order."""
     counts = paths.groupBy("path").agg(F.count("*").alias("sessions"), F.round(F.sum("revenue"), 2).alias("revenue"))
     measures = F.array(
@@ -55,7 +55,7 @@ def purchase_path_summary(paths: DataFrame) -> DataFrame:
     )
     long = paths.select("path", F.explode(measures).alias("m")).select("path", "m.*")
     medians = (
-        exact_quantiles(long, ["path", "measure"], "value", 0.5, few_groups=True)
+        exact_quantiles(long, ["path", "measure"], "value", 0.5, few_groups=True, materialise=materialise)
         .groupBy("path")
         .agg(
             F.max(F.when(F.col("measure") == "hours", F.col("q_cont"))).alias("median_hours_since_cart"),

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.exprs import attach, ratio, scalars
-from sessionlens.functions.ranks import exact_quantiles
+from sessionlens.functions.ranks import Materialise, exact_quantiles
 from sessionlens.model import MICROS_PER_MINUTE, MICROS_PER_SECOND
 
 
-def revenue_summary(ss: DataFrame) -> DataFrame:
+def revenue_summary(ss: DataFrame, materialise: Materialise = None) -> DataFrame:
     """Revenue of funnel purchases, and of every purchasing session for context (one row)."""
     buyers = ss.where(F.col("ts_p").isNotNull())
     done, paid = F.col("s5"), F.when(F.col("s5") & (F.col("revenue") > 0), F.col("revenue"))
-    median = exact_quantiles(buyers.select(paid.alias("v")), [], "v", 0.5, few_groups=True)
+    median = exact_quantiles(buyers.select(paid.alias("v")), [], "v", 0.5, few_groups=True, materialise=materialise)
     med = median.agg(F.round(F.max("q_cont"), 2).alias("m"))
     return buyers.agg(
         F.count_if(done).alias("purchasing_sessions"),
@@ -58,7 +58,7 @@ _GAPS = (
 )
 
 
-def time_to_convert(ss: DataFrame) -> DataFrame:
+def time_to_convert(ss: DataFrame, materialise: Materialise = None) -> DataFrame:
     """Exact median minutes per step of converting sessions, and cart-tracking checks (one row)."""
     gaps = F.array(
         *[
@@ -67,7 +67,7 @@ def time_to_convert(ss: DataFrame) -> DataFrame:
         ]
     )
     long = ss.where("s5").select(F.explode(gaps).alias("g")).select("g.*")
-    medians = exact_quantiles(long, ["gap"], "minutes", 0.5, few_groups=True)
+    medians = exact_quantiles(long, ["gap"], "minutes", 0.5, few_groups=True, materialise=materialise)
     by_gap = medians.agg(
         *[F.round(F.max(F.when(F.col("gap") == n, F.col("q_cont"))), 1).alias(n) for n, _, _ in _GAPS]
     )

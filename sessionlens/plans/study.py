@@ -142,7 +142,7 @@ class Study:
 
     @cached_property
     def revenue(self) -> DataFrame:
-        return self._small(revenue.revenue_summary(self.sessions), "revenue")
+        return self._small(revenue.revenue_summary(self.sessions, self.materialise), "revenue")
 
     @cached_property
     def quality(self) -> DataFrame:
@@ -150,7 +150,7 @@ class Study:
 
     @cached_property
     def convert(self) -> DataFrame:
-        return self._small(revenue.time_to_convert(self.sessions), "convert")
+        return self._small(revenue.time_to_convert(self.sessions, self.materialise), "convert")
 
     @cached_property
     def channel_counts(self) -> DataFrame:
@@ -334,7 +334,7 @@ class Study:
             "product_overlap": catalog.overlap_summary(catalog.category_overlap(self.cells)),
             "channel_changes": inference.channel_changes(r.peak, r.trough),
             "channels_fell": inference.channels_fell(r.peak, r.trough),
-            "purchase_paths": paths.purchase_path_summary(self.paths),
+            "purchase_paths": paths.purchase_path_summary(self.paths, self.materialise),
             "cart_recovery": paths.recovery_curve(self.carts),
             "tests": star.stats_tests(self.fct_sessions, self.materialise),
             **({"periods": self.periods, "period_changes": self.compared_periods()} if self.previous else {}),
