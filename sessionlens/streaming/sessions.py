@@ -8,12 +8,10 @@ second row, as in `operators.session_state`. Sessions without an id are left out
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from sessionlens.model import MICROS_PER_SECOND, STEP_TS, STEPS
@@ -45,42 +43,16 @@ def stream_sessions(
 
 
 def stream_steps(ev: DataFrame, gap: dt.timedelta, lateness: dt.timedelta) -> DataFrame:
-    """First time of each funnel step and the flags of a session, given out by a timer once the session has ended.
+    """First time of each funnel step and the flags of a session, given out once the session has ended.
 
-    The state of a session is its five first times and its last one. Steps are not given out as they come: an earlier event that
-    comes late can still undo one.
+    The state of a session is its window and five first times, whatever it holds; every event of a session keeps it open, as in
+    `stream_sessions`, and sessions without a step do not show. Steps are not given out as they come: an earlier event that comes
+    late can still undo one. The aggregates run in generated code: a Python call a session cost about a millisecond each.
     """
-    gap_ms = int(gap.total_seconds() * 1000)
-    empty = (None,) * len(STEPS) + (0,)
-
-    def advance(
-        key: tuple[str | None, int], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            *first, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, *first)], columns=[*SESSION, *STEP_COLUMNS]).astype({c: "Int64" for c in STEP_COLUMNS})
-            return
-        *first, last = state.get if state.exists else empty
-        for rows in batches:
-            last = max(last, int(rows["event_timestamp"].max()))
-            for step, earliest in rows.groupby("event_name")["event_timestamp"].min().items():
-                i = STEPS.index(step)
-                first[i] = int(earliest) if first[i] is None else min(first[i], int(earliest))
-        state.update((*first, last))
-        state.setTimeoutTimestamp(last // 1000 + gap_ms + 1)
-
-    columns = ", ".join(f"{c} long" for c in STEP_COLUMNS)
-    steps = _timed(ev.where(F.col("event_name").isin(*STEPS)), lateness)
-    ended = (
-        steps.select(*SESSION, "event_name", "event_timestamp", EVENT_TIME)
-        .groupBy(*SESSION)
-        .applyInPandasWithState(
-            advance, f"user_pseudo_id string, session_id long, {columns}", f"{columns}, last long", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
-    return with_step_flags(ended)
+    window = F.session_window(EVENT_TIME, _interval(gap))
+    first = [F.min(F.when(F.col("event_name") == step, F.col("event_timestamp"))).alias(STEP_TS[step]) for step in STEPS]
+    ended = _timed(ev, lateness).groupBy(window, *SESSION).agg(*first).drop("session_window")
+    return with_step_flags(ended.where(F.coalesce(*STEP_COLUMNS).isNotNull()))
 
 
 @dataclass(frozen=True)

@@ -75,3 +75,19 @@ def test_sessions_without_an_id_and_an_empty_stream(spark):
     path, schema = files(spark, [[event("session_start", "a", None, START)]])
     run = replay(spark, path, schema, lambda ev: stream_steps(ev, GAP, LATENESS), END)
     assert run.table.count() == 0 and run.late == 0
+
+
+@pytest.mark.parametrize("build", [stream_sessions, stream_steps])
+def test_events_between_far_steps_keep_a_session_open(spark, build):
+    opened = visit("a", 1, 0, "session_start") + visit("a", 1, 50 * 60, "scroll")
+    others = [visit("b", 2, 95 * 60, "session_start"), visit("b", 2, 96 * 60, "view_item")]
+    path, schema = files(spark, [opened, *others, visit("a", 1, 100 * 60, "purchase"), visit("c", 3, 100 * 60, "scroll")])
+    run = replay(spark, path, schema, lambda ev: build(ev, GAP, LATENESS), END, files_per_batch=1)
+    found = run.table.where("ts_s IS NOT NULL OR ts_p IS NOT NULL").select("user_pseudo_id", F.col("ts_p").isNotNull()).collect()
+    assert sorted(map(tuple, found)) == [("a", True), ("b", False)] and run.late == 0
+
+
+def test_steps_stay_out_of_python(spark):
+    path, schema = files(spark, arrivals())
+    ev = stream_steps(spark.readStream.schema(schema).parquet(path), GAP, LATENESS)
+    assert "InPandas" not in ev._jdf.queryExecution().analyzed().toString()
