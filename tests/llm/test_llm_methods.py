@@ -61,6 +61,12 @@ def test_prefix_classes_are_equal_prefixes(strings, least):
     assert all(len(v) == 1 for v in [*by_class.values(), *by_prefix.values()])
 
 
+@pytest.mark.parametrize("text, least", [(b"a", 4), (b"ab", 9), (b"a", 1)])
+def test_prefix_classes_of_a_text_shorter_than_a_key(text, least):
+    positions, classes = bwt.prefix_classes(np.frombuffer(text, np.uint8), np.array([len(text)]), least)
+    assert sorted(positions.tolist()) == list(range(len(text))) and len(classes) == len(text)
+
+
 def removed_bytes(texts, least):
     seen, out = {}, {}
     for i, text in texts.items():
