@@ -62,7 +62,7 @@ def _session_spans(events: DataFrame) -> DataFrame:
 
 
 def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
-    """Per user: device, country, first touch and the items a list of theirs can show."""
+    """Per user: country and the items a list of theirs can show, once; events make their lists of them after the joins."""
     part = table(spark, sf_dir, "part")
     n_parts = scalars(part.agg(F.count("*").alias("n")))["n"]
     slots = users.select(
@@ -83,21 +83,10 @@ def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
         category.alias("item_category"),
         F.col("p_size").cast("double").alias("price"),
     )
-    # A list shows the shelf from its first slot on; carting carts the first item, where it can be.
-    as_items = lambda carted: F.transform(
-        "slots",
-        lambda it: F.struct(
-            it["item_name"].alias("item_name"),
-            it["item_category"].alias("item_category"),
-            it["price"].alias("price"),
-            F.when(it["cartable"] & F.lit(carted), 1).cast("long").alias("quantity"),
-        ),
-    )
     items = (
         slots.join(part.select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(listed)).alias("slots"))
-        .select("user_id", as_items(False).alias("shelf"), as_items(True).alias("carted_shelf"))
     )
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("long").alias("nation_id"), "n_name"
@@ -106,14 +95,20 @@ def _user_dims(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
     return (
         items.withColumn("nation_id", user % 25)
         .join(nation, "nation_id", "left")
-        .select(
-            "user_id",
-            "shelf",
-            "carted_shelf",
-            F.when(user % 10 == 0, "").otherwise(F.col("n_name")).alias("country"),
-            _pick(DEVICES, user % 3).alias("device"),
-            _pick(FIRST_TOUCH, user % 3).alias("first_touch"),
-        )
+        .select("user_id", "slots", F.when(user % 10 == 0, "").otherwise(F.col("n_name")).alias("country"))
+    )
+
+
+def _as_items(slots: Column, carted: Column) -> Column:
+    """The items of a list: it shows the shelf from its first slot on; carting carts the first item, where it can be."""
+    return F.transform(
+        slots,
+        lambda it: F.struct(
+            it["item_name"].alias("item_name"),
+            it["item_category"].alias("item_category"),
+            it["price"].alias("price"),
+            F.when(it["cartable"] & carted, 1).cast("long").alias("quantity"),
+        ),
     )
 
 
@@ -151,10 +146,12 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = (
         # Neither side has a size bound, so this is a shuffle join; a heavy (user, hour) is split by
         # adaptive execution.
-        events.join(spans.join(dims, "user_id").hint("merge"), ["user_id", "bucket"])
+        events.join(spans.hint("merge"), ["user_id", "bucket"])
         # Low page ids come up more often, so a few pages take most landings.
         .withColumn("page_id", F.floor(F.col("k") * F.col("k") * n_pages / 10000))
         .join(pages, "page_id", "left")
+        # The lists come last, so that no sort holds them a row an event; one row a user is hashed, and a heavy user's events are split.
+        .join(dims.hint("shuffle_hash"), "user_id")
     )
     own = F.struct(
         F.create_map(*[F.lit(x) for kv in EVENT_NAMES.items() for x in kv])[F.col("event_type")].alias("name"),
@@ -175,8 +172,7 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     is_own, name, k = F.col("row.own"), F.col("row.name"), F.col("k")
     carries_items = is_own & name.isin("view_item", "add_to_cart") & (k % 4 > 0)
-    shelf = F.when(name == "add_to_cart", F.col("carted_shelf")).otherwise(F.col("shelf"))
-    shown = F.slice(shelf, F.lit(1), (k % 4).cast("int"))
+    shown = _as_items(F.slice("slots", F.lit(1), (k % 4).cast("int")), name == "add_to_cart")
     day_number = F.floor(F.col("us") / (86_400 * MICROS_PER_SECOND)).cast("int")
     day = F.date_from_unix_date(day_number)
     return _canonical(
@@ -195,9 +191,9 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 engagement_time_msec=("int", F.when(is_own, F.round(F.col("value") * 1000))),
                 page_location=("string", F.col("url")),
             ).alias("event_params"),
-            F.struct(F.col("device").alias("category")).alias("device"),
+            F.struct(_pick(DEVICES, F.col("user_id") % 3).alias("category")).alias("device"),
             F.struct("country").alias("geo"),
-            F.struct(F.col("first_touch").alias("medium")).alias("traffic_source"),
+            F.struct(_pick(FIRST_TOUCH, F.col("user_id") % 3).alias("medium")).alias("traffic_source"),
             F.struct(
                 F.when((name == "purchase") & (k % 10 != 0), F.col("value")).alias("purchase_revenue")
             ).alias("ecommerce"),
