@@ -14,7 +14,7 @@ from sessionlens.functions.exprs import micros, scalars
 from sessionlens.model import EVENT_SCHEMA, MICROS_PER_SECOND
 
 GAP_US = 12 * 3600 * MICROS_PER_SECOND
-BUCKET_US = 3600 * MICROS_PER_SECOND
+BUCKET_US = GAP_US
 
 # Fixed values of the mapping.
 EVENT_NAMES = {
@@ -40,10 +40,10 @@ def _pick(labels, index: Column) -> Column:
 
 
 def _session_spans(events: DataFrame) -> DataFrame:
-    """(user, hour bucket) → the session it belongs to.
+    """(user, bucket) → the session it belongs to.
 
-    Two events of one hour are never 12 hours apart, so a session can only begin at the first event of a
-    bucket. Gaps are therefore found on one row per user and active hour: no task ever holds all events
+    Two events of one bucket are never more than a gap apart, so a session can only begin at the first event of a
+    bucket. Gaps are therefore found on one row per user and active bucket: no task ever holds all events
     of a user, however many that user has.
     """
     buckets = events.groupBy("user_id", "bucket").agg(
@@ -124,7 +124,11 @@ def _named_params(**values) -> Column:
 
 
 def _canonical(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
+    """The columns of the event schema. Where a type already is the wanted one but for nulls there is no cast: it would build nested
+    values anew, and hide from the optimiser that a parameter looked up in them is just a column."""
+    own = {f.name: f.dataType.simpleString() for f in df.schema}
+    same = lambda f: own[f.name] == f.dataType.simpleString()
+    return df.select(*[F.col(f.name) if same(f) else F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
 
 
 def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,16 +157,30 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         # The lists come last, so that no sort holds them a row an event; one row a user is hashed, and a heavy user's events are split.
         .join(dims.hint("shuffle_hash"), "user_id")
     )
+    k = F.col("k")
     own = F.struct(
         F.create_map(*[F.lit(x) for kv in EVENT_NAMES.items() for x in kv])[F.col("event_type")].alias("name"),
         F.lit(True).alias("own"),
+        F.when(k % 3 == 0, _pick(MEDIUMS, F.floor(k / 3) % 5)).alias("medium"),
+        F.round(F.col("value") * 1000).cast("long").alias("engaged"),
     )
-    added = [F.struct(F.lit(n).alias("name"), F.lit(False).alias("own")) for n in ("session_start", "page_view")]
+    added = [
+        F.struct(
+            F.lit(n).alias("name"), F.lit(False).alias("own"),
+            F.lit(None).cast("string").alias("medium"), F.lit(None).cast("long").alias("engaged"),
+        )
+        for n in ("session_start", "page_view")
+    ]
     is_first = (F.col("us") == F.col("session_first.us")) & (
         F.col("event_id") == F.col("session_first.event_id")
     )
     opens_page = F.col("event_id") % 2 == 0
-    rows = placed.withColumn(
+    day_number = F.floor(F.col("us") / (86_400 * MICROS_PER_SECOND)).cast("int")
+    # What all rows of an event have is made once, before it becomes rows.
+    told = placed.withColumns(
+        {"day": F.date_from_unix_date(day_number), "session_id": F.floor(F.col("session_first.us") / MICROS_PER_SECOND)}
+    ).withColumn("event_date", F.date_format("day", "yyyyMMdd"))
+    rows = told.withColumn(
         "row",
         F.explode(
             F.when(is_first, F.array(*added, own))
@@ -170,25 +188,20 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.array(own))
         ),
     )
-    is_own, name, k = F.col("row.own"), F.col("row.name"), F.col("k")
+    is_own, name = F.col("row.own"), F.col("row.name")
     carries_items = is_own & name.isin("view_item", "add_to_cart") & (k % 4 > 0)
     shown = _as_items(F.slice("slots", F.lit(1), (k % 4).cast("int")), name == "add_to_cart")
-    day_number = F.floor(F.col("us") / (86_400 * MICROS_PER_SECOND)).cast("int")
-    day = F.date_from_unix_date(day_number)
     return _canonical(
         rows.select(
-            F.date_format(day, "yyyyMMdd").alias("event_date"),
+            "event_date",
             F.col("us").alias("event_timestamp"),
             name.alias("event_name"),
             F.col("user_id").cast("string").alias("user_pseudo_id"),
             _named_params(
-                ga_session_id=("int", F.floor(F.col("session_first.us") / MICROS_PER_SECOND)),
+                ga_session_id=("int", F.col("session_id")),
                 ga_session_number=("int", F.col("session_number")),
-                medium=(
-                    "string",
-                    F.when(is_own & (k % 3 == 0), _pick(MEDIUMS, F.floor(k / 3) % 5)),
-                ),
-                engagement_time_msec=("int", F.when(is_own, F.round(F.col("value") * 1000))),
+                medium=("string", F.col("row.medium")),
+                engagement_time_msec=("int", F.col("row.engaged")),
                 page_location=("string", F.col("url")),
             ).alias("event_params"),
             F.struct(_pick(DEVICES, F.col("user_id") % 3).alias("category")).alias("device"),
@@ -198,7 +211,7 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.when((name == "purchase") & (k % 10 != 0), F.col("value")).alias("purchase_revenue")
             ).alias("ecommerce"),
             F.when(carries_items, shown).alias("items"),
-            day.alias("event_date_part"),
+            F.col("day").alias("event_date_part"),
         )
     )
 
