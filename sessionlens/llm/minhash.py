@@ -165,10 +165,14 @@ def by_salt(size: DataFrame, total: int, most: int):
     """Two functions that deal the rows of large groups over salts, by a column, and copy a group's row to each of its salts.
 
     `size` (g, size) counts `total` members. Groups above total / most are large, so there are fewer than `most` of them, and twice
-    as many salts: the list of them may be broadcast.
+    as many salts: the list of them may be broadcast. Where no group is large, nothing is joined: each broadcast costs the driver memory.
     """
     share = max(LEAST_SHARE, total // most)
-    large = F.broadcast(written(size.where(F.col("size") > share).select("g", F.ceil(F.col("size") / share).alias("salts")), "large"))
+    large = written(size.where(F.col("size") > share).select("g", F.ceil(F.col("size") / share).alias("salts")), "large")
+    if large.isEmpty():
+        whole = lambda df, by=None: df.withColumn("salt", F.lit(0).cast("long"))
+        return whole, whole
+    large = F.broadcast(large)
 
     def dealt(df: DataFrame, by: str) -> DataFrame:
         return df.join(large, "g", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), "salts"), F.lit(0))).drop("salts")

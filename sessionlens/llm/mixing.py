@@ -114,7 +114,7 @@ def meet(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         now = now.join(want.select(F.col("value").alias(d), F.col("want").alias(f"want_{d}")), d)
     now = written(now, "cells")
     counted, missed = F.col("tokens") > 0, []
-    got = F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight")))
+    kept = F.col("tokens") * F.least(F.lit(1.0), F.col("weight"))
     for _ in range(most):
         for d in DIMENSIONS:
             # cells before this one cut at 1, the others scaled: the largest of these factors is the one that fits
@@ -129,9 +129,10 @@ def meet(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             factor = F.max(factor).over(Window.partitionBy(d))
             now = now.withColumn("weight", F.when(counted, F.col("weight") * F.coalesce(factor, F.lit(1.0))).otherwise(F.col("weight")))
         now = written(now.drop("cut", "scaled"), "cells")
-        sums = [now.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.max(f"want_{d}").alias("want"), got.alias("got")) for d in DIMENSIONS]
+        # one aggregation for all dimensions: a round asks the driver for few exchanges
+        shares = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"want_{d}").alias("want"), kept.alias("kept")) for d in DIMENSIONS]
+        sums = now.select(F.explode(F.array(*shares)).alias("s")).groupBy("s.dimension", "s.value").agg(F.max("s.want").alias("want"), F.sum("s.kept").alias("got"))
         off = F.abs(F.col("got") - F.col("want")) > tolerance * F.greatest(F.col("want"), F.lit(1.0))
-        sums = sums[0].unionByName(sums[1]).unionByName(sums[2])
         missed = sums.where(off).orderBy(F.abs(F.col("got") - F.col("want")).desc(), "dimension", "value").limit(20).collect()
         if not missed:
             break

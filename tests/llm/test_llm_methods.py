@@ -422,3 +422,25 @@ def test_mixing_reports_what_cannot_be_met(spark):
     met, missed = mixing.meet(cells, targets, budget=0.5, most=3)
     assert {r["dimension"] for r in missed} & {"source", "lang"}
     assert all(0 <= r["probability"] <= 1 for r in met.collect())
+
+
+def test_a_round_of_mixing_checks_all_targets_in_one_aggregation(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", "p", 60), ("a", "y", "q", 20), ("b", "x", "q", 15), ("b", "y", "p", 20)], "source string, lang string, topic string, tokens long")
+    plans, collect = [], type(cells).collect
+    monkeypatch.setattr(type(cells), "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or collect(df))
+    met, missed = mixing.meet(cells, {"source": {"a": 0.5, "b": 0.5}}, budget=0.3)
+    checks = [p for p in plans if "dimension" in p]
+    assert not missed and checks and all(p.count("Aggregate [") == 1 and "Union" not in p for p in checks)
+    got = met.toPandas().eval("kept = tokens * probability").groupby("source").kept.sum()
+    assert got.to_dict() == pytest.approx({"a": 17.25, "b": 17.25}, rel=1e-3)
+
+
+def test_no_salts_are_joined_where_no_group_is_large(spark):
+    size = spark.createDataFrame([(1, 5), (2, 3)], "g long, size long")
+    dealt, copied = minhash.by_salt(size, 8, 4)
+    for df in (dealt(size, "size"), copied(size)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r["g"], r["size"], r["salt"]) for r in df.collect()) == [(1, 5, 0), (2, 3, 0)]
+    many = spark.createDataFrame([(1, minhash.LEAST_SHARE * 8), (2, 3)], "g long, size long")
+    dealt, copied = minhash.by_salt(many, minhash.LEAST_SHARE * 8, 8)
+    assert copied(many).where("g = 1").count() == 8 and copied(many).where("g = 2").count() == 1
