@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sessionlens.llm.common import LOWER, WORD_BYTES, bounds, mix, parts, pieces, signed, span_hashes, text_buffer, tokens, tuned, unsigned, written
+from sessionlens.llm.common import LOWER, WORD_BYTES, bounds, joined_by_sorting, mix, parts, pieces, signed, span_hashes, text_buffer, tokens, tuned, unsigned, written
 from sessionlens.llm.components import components
 from sessionlens.llm.fingerprint import distinct
 
@@ -164,22 +164,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def by_salt(size: DataFrame, total: int, most: int):
     """Two functions that deal the rows of large groups over salts, by a column, and copy a group's row to each of its salts.
 
-    `size` (g, size) counts `total` members. Groups above total / most are large, so there are fewer than `most` of them, and twice
-    as many salts: the list of them may be broadcast. Where no group is large, nothing is joined: each broadcast costs the driver memory.
+    `size` (g, size) counts `total` members. Groups above total / most are large, so there are fewer than `most` of them: their salts
+    are a constant in the plan, since a join would pass all rows of all groups and cost the driver a broadcast each time.
     """
     share = max(LEAST_SHARE, total // most)
-    large = written(size.where(F.col("size") > share).select("g", F.ceil(F.col("size") / share).alias("salts")), "large")
-    if large.isEmpty():
-        whole = lambda df, by=None: df.withColumn("salt", F.lit(0).cast("long"))
-        return whole, whole
-    large = F.broadcast(large)
+    large = size.where(F.col("size") > share).select("g", F.ceil(F.col("size") / share).cast("long").alias("salts")).collect()
+    listed = [F.array(*[F.lit(r[k]) for r in large]) for k in ("g", "salts")]
+    salts = F.coalesce(F.map_from_arrays(*listed)[F.col("g")], F.lit(1)) if large else F.lit(1)
 
     def dealt(df: DataFrame, by: str) -> DataFrame:
-        return df.join(large, "g", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), "salts"), F.lit(0))).drop("salts")
+        return df.withColumn("salt", F.pmod(F.xxhash64(by), salts.cast("long")))
 
     def copied(df: DataFrame) -> DataFrame:
-        salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
-        return df.join(large, "g", "left").withColumn("salt", F.explode(salts)).drop("salts")
+        if not large:
+            return df.withColumn("salt", F.lit(0).cast("long"))
+        return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
 
     return dealt, copied
 
@@ -297,12 +296,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     tuned(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed_docs = written(rows.mapInArrow(sign(size), SIGNED), "signatures")
-    # equal sets share the smallest id among them, which stands for all in the links
-    some = signed_docs.where("doc_id is not null and n_shingles > 0").select("doc_id", "d1", "d2")
-    rep = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("a"))
-    equal = some.join(rep, ["d1", "d2"]).select("a", F.col("doc_id").alias("b")).where("a != b")
-    found = components(links(signed_docs, rows, size, percent).union(equal)).withColumnRenamed("node", "doc_id")
+    with joined_by_sorting(docs.sparkSession):
+        signed_docs = written(rows.mapInArrow(sign(size), SIGNED), "signatures")
+        # equal sets share the smallest id among them, which stands for all in the links
+        some = signed_docs.where("doc_id is not null and n_shingles > 0").select("doc_id", "d1", "d2")
+        rep = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("a"))
+        equal = some.join(rep, ["d1", "d2"]).select("a", F.col("doc_id").alias("b")).where("a != b")
+        found = components(links(signed_docs, rows, size, percent).union(equal)).withColumnRenamed("node", "doc_id")
     out = signed_docs.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

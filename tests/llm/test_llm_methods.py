@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from fixtures import SF
-from sessionlens.llm import bwt, decontaminate, fingerprint, html, lines, minhash, mixing, pii, suffix, toxicity
+from sessionlens.llm import bwt, components, decontaminate, fingerprint, html, lines, minhash, mixing, pii, suffix, toxicity
 from sessionlens.llm.common import Members, mix, span_hashes, text_buffer, tokens, WORD_BYTES
 
 
@@ -444,3 +444,31 @@ def test_no_salts_are_joined_where_no_group_is_large(spark):
     many = spark.createDataFrame([(1, minhash.LEAST_SHARE * 8), (2, 3)], "g long, size long")
     dealt, copied = minhash.by_salt(many, minhash.LEAST_SHARE * 8, 8)
     assert copied(many).where("g = 1").count() == 8 and copied(many).where("g = 2").count() == 1
+
+
+def test_salts_of_large_groups_are_a_constant(spark):
+    many = spark.createDataFrame([(1, minhash.LEAST_SHARE * 8), (2, 3), (None, 1)], "g long, size long")
+    dealt, copied = minhash.by_salt(many, minhash.LEAST_SHARE * 8, 8)
+    rows = spark.range(1000).selectExpr("id", "if(id < 900, 1L, 2L) as g")
+    for df in (dealt(rows, "id"), copied(many)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    salts = dealt(rows, "id").groupBy("g").agg({"salt": "max"}).collect()
+    assert {tuple(r) for r in salts} == {(1, 7), (2, 0)}
+    assert dealt(rows, "id").join(copied(many), ["g", "salt"]).count() == 1000
+
+
+def test_rounds_of_labels_have_few_tasks_for_few_links(spark, monkeypatch):
+    plans, keep = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, *a))
+    found = components.components(spark.createDataFrame([(1, 2), (2, 3), (7, 5)], "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5)}
+    assert all(p.count("Repartition 8, false") >= 4 for p in plans[2:])
+
+
+def test_near_duplicates_turn_no_join_into_a_broadcast(spark, monkeypatch):
+    key, seen, keep = "spark.sql.adaptive.autoBroadcastJoinThreshold", [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, *a: seen.append(spark.conf.get(key, None)) or keep(df, *a))
+    before = spark.conf.get(key, None)
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z")], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert out == {1: 1, 2: 1, 3: 3} and set(seen) == {"-1"} and spark.conf.get(key, None) == before
