@@ -26,8 +26,7 @@ LONG = 13
 
 #: The runs that a fingerprint can be the least unit of: units of the run, and how many of them stand before the fingerprint.
 SLOTS = [(size, before) for size in range(1, RUN + 1) for before in range(size)]
-RUNS = [f"run{size}{before}" for size, before in SLOTS]
-SPOTS = ", ".join(["fp long", "doc_id long", "digest int", "pos int", *(f"{name} long" for name in RUNS)])
+SPOTS = "fp long, doc_id long, digest int, run long, size int, pos int"
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -89,17 +88,22 @@ def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run that a fingerprint is the least of."""
+    sizes, befores = np.array(SLOTS, np.int32).T
     for piece in pieces(batches):
         u = Units(*text_buffer(piece.column("text")))
         at, runs = fingerprints(u)
-        owner = u.owner[at]
+        slot, of = np.nonzero(runs)
+        place = at[of]
+        owner = u.owner[place]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(signed(u.hashes[at])),
+                pa.array(signed(u.hashes[place])),
                 pa.array(piece.column("doc_id").to_numpy(zero_copy_only=False)[owner].astype(np.int64)),
                 pa.array(piece.column("digest").to_numpy(zero_copy_only=False)[owner].astype(np.int32)),
-                pa.array((at - u.edges[owner]).astype(np.int32)),
-                *(pa.array(signed(r)) for r in runs),
+                pa.array(signed(runs[slot, of])),
+                pa.array(sizes[slot]),
+                pa.array((place - u.edges[owner]).astype(np.int32) - befores[slot]),
             ],
             [x.split()[0] for x in SPOTS.split(", ")],
         )
@@ -111,12 +115,7 @@ def extended(docs: DataFrame) -> DataFrame:
     own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     often = own.select("text").mapInArrow(marks, "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     places = own.mapInArrow(spots, SPOTS).join(written(often, "fingerprints"), "fp")
-    around = F.array(*[
-        F.struct(F.col(name).alias("run"), F.lit(size).alias("size"), (F.col("pos") - before).alias("pos"))
-        for name, (size, before) in zip(RUNS, SLOTS)
-    ])
-    around = F.filter(around, lambda x: x["run"] != 0)
-    return written(places.select("doc_id", "digest", F.explode(around).alias("x")).select("doc_id", "digest", "x.*"), "runs")
+    return written(places.select("doc_id", "digest", "run", "size", "pos"), "runs")
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -472,3 +472,13 @@ def test_near_duplicates_turn_no_join_into_a_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z")], "doc_id long, text string")
     out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
     assert out == {1: 1, 2: 1, 3: 3} and set(seen) == {"-1"} and spark.conf.get(key, None) == before
+
+
+def test_runs_of_a_fingerprint_are_rows_of_their_own(spark, monkeypatch):
+    plans, keep = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    text = "one is here.\ntwo is there.\nthree is gone.\nfour comes."
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "none of it.")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["n_units"], r["n_removed"]) for r in lines.dedup_lines(docs).collect()}
+    assert out == {1: (text, 4, 0), 2: ("", 4, 4), 3: ("none of it.", 1, 0)}
+    assert len(plans) == 3 and not any("Generate" in p for p in plans)
