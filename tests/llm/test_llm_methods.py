@@ -474,6 +474,17 @@ def test_near_duplicates_turn_no_join_into_a_broadcast(spark, monkeypatch):
     assert out == {1: 1, 2: 1, 3: 3} and set(seen) == {"-1"} and spark.conf.get(key, None) == before
 
 
+def test_suffixes_that_stand_alone_are_not_sorted_again(monkeypatch):
+    sizes, stable = [], bwt._stable
+    monkeypatch.setattr(bwt, "_stable", lambda key: sizes.append(len(key)) or stable(key))
+    text = np.random.default_rng(3).integers(1, 250, 5000)
+    symbols = np.concatenate([text, [0], text[:100], [0]])
+    order = bwt.sorted_suffixes(symbols, 50)[0]
+    upto = [bytes(symbols[i : i + 50].astype(np.uint8)).split(b"\0")[0] for i in order]
+    assert sorted(order) == list(range(len(symbols))) and upto == sorted(upto)
+    assert sizes[0] == len(symbols) and len(sizes) > 1 and max(sizes[1:]) <= 300
+
+
 def test_runs_of_a_fingerprint_are_rows_of_their_own(spark, monkeypatch):
     plans, keep = [], lines.written
     monkeypatch.setattr(lines, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
