@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -90,6 +91,81 @@ def test_bytes_equal_brute_force(docs, texts, hot, monkeypatch):
     assert got == removed_bytes(texts, 50)
 
 
+def test_texts_that_earlier_documents_hold_whole_are_not_sent(spark, monkeypatch):
+    r = random.Random(5)
+    line = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    common = line(20_000)
+    texts = {i: line(100) + common + line(100) for i in range(24)}
+    sent, make = spark.sparkContext.accumulator(0), suffix.stretch_rows
+
+    def counting(*a):
+        run = make(*a)
+
+        def rows(batches):
+            for batch in run(batches):
+                sent.add(sum((size & ((1 << 40) - 1)) - 40 * (size >> 40) for size in batch.column("size").to_pylist()))
+                yield batch
+
+        return rows
+
+    monkeypatch.setattr(suffix, "stretch_rows", counting)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix.op4_suffix(docs).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert got == removed_bytes(texts, 50) and 0 < sent.value < len(common)
+
+
+@pytest.mark.parametrize("many, hot", [(64, 1000), (1, 1000), (1, 1), (0, 3)])
+def test_stretches_of_small_flushes_equal_brute_force(many, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "MANY", many)
+    monkeypatch.setattr(suffix, "HELD", 40)
+    monkeypatch.setattr(suffix, "TRANSFORMED", 3000)
+    r = random.Random(many + hot)
+    lines = ["".join(r.choices("abc", k=r.randint(10, 90))) for _ in range(12)]
+    rows = [(r.randint(-30, 30), " ".join(r.choices(lines, k=r.randint(0, 9))) + r.choice(["", "x" * 70, "ab" * 60])) for _ in range(80)]
+    rows.append(rows[0])
+    n, holders, hot_anchors = 5, defaultdict(set), []
+    for i, text in rows:
+        raw = text.encode()
+        for p in range(len(raw) - 49):
+            holders[raw[p : p + 50]].add(i)
+    wanted = set()
+    for k, (i, text) in enumerate(rows):
+        raw = text.encode()
+        wanted |= {(i, k if k < 80 else 0, q) for p in range(len(raw) - 49) if min(holders[raw[p : p + 50]]) < i for q in range(p, p + 50)}
+
+    def dealt(batches):
+        table = pa.Table.from_batches(batches)
+        return [table.filter(pc.equal(table["bucket"], b)) for b in range(n)]
+
+    def batches(some, **more):
+        yield pa.RecordBatch.from_pydict({"doc_id": [i for _, i, _ in some], "text": [t for _, _, t in some], **more})
+
+    numbered = [(k if k < 80 else 0, i, t) for k, (i, t) in enumerate(rows)]
+    tasks = [numbered[k::4] for k in range(4)]
+    seen = [b for task in tasks for x in task for b in suffix.anchor_rows(n)(batches([x]))]
+    seen += [b for task in tasks[:2] for b in suffix.anchor_rows(n)(batches(task))]  # again, in larger flushes
+    held = defaultdict(list)
+    for table in dealt(seen):
+        for i, stretch in zip(*suffix._hits(hot)(table).to_pydict().values()):
+            hot_anchors.append(stretch) if i is None else held[i].append(stretch)
+    broadcast = type("", (), {"value": np.array(hot_anchors, np.int64).view(np.uint64)})
+    sent = []
+    for task in tasks:
+        task = [x for x in task if x[1] in held]
+        digests, known = pa.array([k for k, _, _ in task], pa.int32()), pa.array([held[i] for _, i, _ in task], pa.list_(pa.int64()))
+        sent += suffix.stretch_rows(n, broadcast)(batches(task, digest=digests, stretches=known))
+    got = set()
+    for table in dealt(sent):
+        for i, k, a, b in zip(*suffix._gone(table).to_pydict().values()) if len(table) else ():
+            got |= {(i, k, q) for q in range(a, b)}
+    assert got == wanted and wanted
+
+
 # near-duplicates
 
 
